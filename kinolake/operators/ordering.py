@@ -4,7 +4,12 @@ A window over ``partitionBy(video)`` sends every row of a video to one task, and
 single video may hold a large part of the table. The primitives here cut each series
 into buckets of its ordering key. Totals per (series, bucket) are aggregated on the map
 side, carried across buckets on that small table, and joined back on (series, bucket);
-the join and the window inside a bucket share one exchange of the rows.
+the join and the window inside a bucket share one exchange of the rows. Statistics are
+attached with left joins: the rows are then never the side that is broadcast.
+
+Where the longest series is known to fit one task (``longest``, measured once at the source
+by :func:`longest_series`), plain windows over the series are used instead: all steps then
+share a single exchange by series.
 """
 
 from __future__ import annotations
@@ -16,6 +21,24 @@ from pyspark.sql import functions as F
 
 DAY = 86400.0
 CHUNK_ROWS = 65536
+SINGLE_TASK_ROWS = 500_000
+
+
+def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest series: one job over the key columns, combined before the shuffle."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def fits_one_task(longest: int | None) -> bool:
+    return longest is not None and longest <= SINGLE_TASK_ROWS
+
+
+def by_series(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by series with the full shuffle width, which later steps reuse.
+
+    Change-point searches are bound by CPU, not by bytes: small partitions must not be merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def time_bucket(seconds: Column, width: float = DAY) -> Column:
@@ -33,13 +56,22 @@ def value_bucket(value: Column, per_octave: int = 256) -> Column:
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                  measures: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+                  measures: dict[str, Column], totals: dict[str, str] | None = None,
+                  longest: int | None = None) -> DataFrame:
     """Sum of each measure over all earlier rows of the series (0 for the first row).
 
     ``bucket`` must not decrease along ``order``. ``totals`` maps a measure to the name of
     a column that receives its sum over the whole series.
     """
     totals = totals or {}
+    if fits_one_task(longest):
+        series = Window.partitionBy(*keys)
+        earlier = series.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        whole = {name: F.sum(measure).over(series) for name, measure in measures.items()}
+        return df.select(
+            "*", *[F.coalesce(F.sum(measure).over(earlier), whole[name] * 0).alias(name)
+                   for name, measure in measures.items()],
+            *[whole[name].alias(total) for name, total in totals.items()])
     rows = df.withColumn("_bucket", bucket)
     for name, measure in measures.items():
         rows = rows.withColumn(f"_m_{name}", measure)
@@ -54,17 +86,17 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
         *[F.sum(f"_s_{name}").over(series).alias(total) for name, total in totals.items()])
     inside = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = rows.join(carried, [*keys, "_bucket"])
+    joined = rows.join(carried, [*keys, "_bucket"], "left")
     out = [F.coalesce(F.sum(f"_m_{name}").over(inside) + F.col(f"_before_{name}"),
                       F.col(f"_before_{name}")).alias(name) for name in measures]
     return joined.select(*df.columns, *out, *totals.values())
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                position: str = "pos", count: str | None = "n") -> DataFrame:
+                position: str = "pos", count: str | None = "n", longest: int | None = None) -> DataFrame:
     """Zero-based position in the series and, unless ``count`` is None, the series length."""
     return running_total(df, keys, order, bucket, {position: F.lit(1).cast("long")},
-                         {position: count} if count else None)
+                         {position: count} if count else None, longest)
 
 
 def with_neighbours(df: DataFrame, before: int, after: int, position: str = "pos",
@@ -84,17 +116,29 @@ def with_neighbours(df: DataFrame, before: int, after: int, position: str = "pos
               .withColumn("_own", F.col("_chunk") == chunk))
 
 
-def chunk_window(keys: Sequence[str], position: str = "pos"):
-    return Window.partitionBy(*keys, "_chunk").orderBy(position)
+def neighbourhood(df: DataFrame, keys: Sequence[str], before: int, after: int, chunk_rows: int = CHUNK_ROWS,
+                  longest: int | None = None, position: str = "pos"):
+    """Numbered rows and an ordered window in which the given reach is complete.
+
+    Pass the result through :func:`own_rows` to drop the copied rows.
+    """
+    if fits_one_task(longest):
+        return df, Window.partitionBy(*keys).orderBy(position)
+    chunks = with_neighbours(df, before, after, position, chunk_rows)
+    return chunks, Window.partitionBy(*keys, "_chunk").orderBy(position)
 
 
 def own_rows(df: DataFrame) -> DataFrame:
-    return df.filter("_own").drop("_own", "_chunk")
+    return df.filter("_own").drop("_own", "_chunk") if "_own" in df.columns else df
 
 
 def surrounding(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-                value: Column, last: str, following: str) -> DataFrame:
+                value: Column, last: str, following: str, longest: int | None = None) -> DataFrame:
     """Last non-null value at or before each row and first one at or after it."""
+    if fits_one_task(longest):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(last),
+                         F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(following))
     rows = df.withColumn("_bucket", bucket).withColumn("_v", value)
     place = F.struct(*[F.col(c) for c in order])
     known = F.when(F.col("_v").isNotNull(), place)
@@ -106,7 +150,7 @@ def surrounding(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
         F.last("_last", True).over(series.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
         F.first("_first", True).over(series.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    joined = rows.join(carried, [*keys, "_bucket"])
+    joined = rows.join(carried, [*keys, "_bucket"], "left")
     return joined.select(
         *df.columns,
         F.coalesce(F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
@@ -116,14 +160,14 @@ def surrounding(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
 
 
 def rank_groups(df: DataFrame, keys: Sequence[str], value: str,
-                aggregates: Sequence[Column] = ()) -> DataFrame:
+                aggregates: Sequence[Column] = (), longest: int | None = None) -> DataFrame:
     """One row per distinct value of a series: its count and the count of smaller values.
 
     Equal values are merged before the shuffle. Adds ``cnt``, ``before`` and ``total``.
     """
     groups = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"), *aggregates)
     return running_total(groups, keys, [value], value_bucket(F.col(value)),
-                         {"before": F.col("cnt")}, {"before": "total"})
+                         {"before": F.col("cnt")}, {"before": "total"}, longest)
 
 
 def median_pick(value: str) -> Column:

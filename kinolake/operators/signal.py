@@ -43,8 +43,10 @@ def videos_without_signal(samples: DataFrame, fitted: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER,
-             bucket_seconds: float = o.DAY) -> DataFrame:
-    return o.number_rows(df, keys, order, o.time_bucket(F.col(order[0]), bucket_seconds))
+             bucket_seconds: float = o.DAY, longest: int | None = None) -> DataFrame:
+    """Samples with their zero-based position ``pos`` and the series length ``n``."""
+    rows = o.by_series(df, *keys) if o.fits_one_task(longest) else df
+    return o.number_rows(rows, keys, order, o.time_bucket(F.col(order[0]), bucket_seconds), longest=longest)
 
 
 def time_slice(df: DataFrame, t0: float | None, t1: float | None, closed: bool = False,
@@ -73,7 +75,7 @@ def _effective_window(n: Column, window: int, degree: int) -> Column:
 
 
 def savgol(df: DataFrame, columns: Sequence[str], window: int = 11, degree: int = 2,
-           keys: Sequence[str] = KEYS, chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+           keys: Sequence[str] = KEYS, chunk_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Local polynomial smoothing of numbered samples.
 
     Inner rows are evaluated at the centre of their window; the first and last half
@@ -84,12 +86,12 @@ def savgol(df: DataFrame, columns: Sequence[str], window: int = 11, degree: int
     sizes = [w for w in range(3, window + 1, 2) if w > degree]
     tables = F.create_map(*[x for w in sizes for x in (
         F.lit(w), F.array(*[F.array(*[F.lit(c) for c in row]) for row in smoothing_weights(w, degree)]))])
-    frame = o.chunk_window(keys).rowsBetween(-reach, reach)
     pos, n = F.col("pos"), F.col("n")
     w = _effective_window(n, window, degree)
     start = F.greatest(F.least(pos - (w - 1) / 2, n - w), F.lit(0)).cast("int")
     skipped = F.greatest(pos - reach, F.lit(0)).cast("int")
-    chunks = o.with_neighbours(df, reach, reach, chunk_rows=chunk_rows)
+    chunks, window_rows = o.neighbourhood(df, keys, reach, reach, chunk_rows, longest)
+    frame = window_rows.rowsBetween(-reach, reach)
     chunks = chunks.withColumn("_near", F.collect_list(F.struct(*columns)).over(frame))
     chunks = o.own_rows(chunks)
     enough = n >= F.greatest(w, F.lit(2))
@@ -107,17 +109,21 @@ def savgol(df: DataFrame, columns: Sequence[str], window: int = 11, degree: int
     return rows.withColumns(smooth).select(*df.columns)
 
 
-def minmax(df: DataFrame, columns: Sequence[str], mode: str = "guarded",
-           keys: Sequence[str] = KEYS) -> DataFrame:
+def minmax(df: DataFrame, columns: Sequence[str], mode: str = "guarded", keys: Sequence[str] = KEYS,
+           longest: int | None = None) -> DataFrame:
     """Scale each channel of each series to [0, 1].
 
     ``guarded`` leaves channels with a range up to 1e-8 (and one-row series) unchanged,
     ``zero`` maps a zero range to 0, ``epsilon`` adds 1e-12 to the range.
     """
-    limits = df.groupBy(*keys).agg(
-        *[F.min(c).alias(f"_lo_{c}") for c in columns],
-        *[F.max(c).alias(f"_hi_{c}") for c in columns], F.count(F.lit(1)).alias("_rows"))
-    rows = df.join(limits, list(keys))
+    stats = {**{f"_lo_{c}": F.min(c) for c in columns}, **{f"_hi_{c}": F.max(c) for c in columns},
+             "_rows": F.count(F.lit(1))}
+    if o.fits_one_task(longest):
+        series = Window.partitionBy(*keys)
+        rows = df.withColumns({name: value.over(series) for name, value in stats.items()})
+    else:
+        limits = df.groupBy(*keys).agg(*[value.alias(name) for name, value in stats.items()])
+        rows = df.join(limits, list(keys), "left")
     scaled = {}
     for c in columns:
         shifted, width = F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
@@ -133,11 +139,11 @@ def minmax(df: DataFrame, columns: Sequence[str], mode: str = "guarded",
 
 
 def median_filter(df: DataFrame, columns: Sequence[str], size: int = 5, keys: Sequence[str] = KEYS,
-                  chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Running median of numbered samples; places outside the series count as zero."""
     half = size // 2
-    frame = o.chunk_window(keys).rowsBetween(-half, half)
-    chunks = o.with_neighbours(df, half, half, chunk_rows=chunk_rows)
+    chunks, window_rows = o.neighbourhood(df, keys, half, half, chunk_rows, longest)
+    frame = window_rows.rowsBetween(-half, half)
     chunks = chunks.withColumns({f"_near_{c}": F.collect_list(c).over(frame) for c in columns})
     padding = F.array_repeat(F.lit(0.0), (F.lit(size) - F.size(f"_near_{columns[0]}")).cast("int"))
     out = {c: F.element_at(F.array_sort(F.concat(F.col(f"_near_{c}"), padding)), half + 1) for c in columns}
@@ -145,18 +151,21 @@ def median_filter(df: DataFrame, columns: Sequence[str], size: int = 5, keys: Se
 
 
 def interpolate_bad(df: DataFrame, columns: Sequence[str], bad: Column, keys: Sequence[str] = KEYS,
-                    bucket_rows: int = o.CHUNK_ROWS) -> DataFrame:
+                    bucket_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Replace bad samples by a straight line over row positions between good neighbours.
 
     Leading and trailing bad samples take the nearest good value. Series with fewer than
     two good samples stay unchanged.
     """
     good = ~bad
-    usable = df.groupBy(*keys).agg(F.count_if(good).alias("_good"))
     rows = df.withColumn("_ok", good)
+    usable = rows.groupBy(*keys).agg(F.count_if("_ok").alias("_good"))
     rows = o.surrounding(rows, keys, ["pos"], o.id_bucket(F.col("pos"), bucket_rows),
-                         F.when(F.col("_ok"), F.struct("pos", *columns)), "_p", "_q")
-    rows = rows.join(usable, list(keys))
+                         F.when(F.col("_ok"), F.struct("pos", *columns)), "_p", "_q", longest)
+    if o.fits_one_task(longest):
+        rows = rows.withColumn("_good", F.count_if("_ok").over(Window.partitionBy(*keys)))
+    else:
+        rows = rows.join(usable, list(keys), "left")
     p, q = F.col("_p"), F.col("_q")
     share = (F.col("pos") - p["pos"]) / (q["pos"] - p["pos"])
     filled = {}
@@ -167,31 +176,31 @@ def interpolate_bad(df: DataFrame, columns: Sequence[str], bad: Column, keys: Se
     return rows.withColumns(filled).select(*df.columns)
 
 
-def direction_encode(df: DataFrame, magnitude: str, coherence: str, direction: str) -> DataFrame:
+def direction_encode(df: DataFrame, magnitude: str, coherence: str, direction: str,
+                     longest: int | None = None) -> DataFrame:
     """Magnitude, coherence and direction as sine and cosine, scaled per video."""
     wide = df.withColumns({"dir_sin": F.sin(direction), "dir_cos": F.cos(direction)})
-    return minmax(wide, [magnitude, coherence, "dir_sin", "dir_cos"], mode="zero")
+    return minmax(wide, [magnitude, coherence, "dir_sin", "dir_cos"], mode="zero", longest=longest)
 
 
 # -- neighbours -----------------------------------------------------------
 
 def frame_pairs(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
-                chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+                chunk_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Each numbered sample with its predecessor (``prev_*``, null for the first)."""
-    w = o.chunk_window(keys)
-    chunks = o.with_neighbours(df, 1, 0, chunk_rows=chunk_rows)
+    chunks, w = o.neighbourhood(df, keys, 1, 0, chunk_rows, longest)
     return o.own_rows(chunks.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns}))
 
 
 def difference(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, time: str = "timestamp",
-               chunk_rows: int = o.CHUNK_ROWS) -> DataFrame:
+               chunk_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Per-row change ``d_*`` of numbered samples and time ``step`` to the predecessor.
 
     Centred differences are halved, ends are one-sided; dividing by a series' time step
     gives its derivative.
     """
-    w = o.chunk_window(keys)
-    chunks = o.with_neighbours(df, 1, 1, chunk_rows=chunk_rows)
+    chunks, w = o.neighbourhood(df, keys, 1, 1, chunk_rows, longest)
+
     def change(c: str) -> Column:
         lag, lead = F.lag(c).over(w), F.lead(c).over(w)
         return (F.when(F.col("n") == 1, F.lit(0.0))
@@ -202,8 +211,10 @@ def difference(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS
         {**{f"d_{c}": change(c) for c in columns}, "step": F.col(time) - F.lag(time).over(w)}))
 
 
-def time_step(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def time_step(df: DataFrame, keys: Sequence[str] = KEYS, longest: int | None = None) -> DataFrame:
     """Exact median of ``step`` per series (1.0 for one-row series) as ``dt``."""
+    if o.fits_one_task(longest):
+        return df.groupBy(*keys).agg(F.coalesce(F.median("step"), F.lit(1.0)).alias("dt"))
     groups = o.rank_groups(df.filter(F.col("step").isNotNull()), keys, "step")
     medians = groups.groupBy(*keys).agg(o.median_pick("step").alias("_dt"))
     every = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
@@ -211,15 +222,20 @@ def time_step(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         *keys, F.coalesce("_dt", F.lit(1.0)).alias("dt"))
 
 
-def gradient(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+def gradient(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
+             longest: int | None = None) -> DataFrame:
     """Derivative ``v_*`` of numbered samples with the series' median time step."""
-    rows = difference(df, columns, keys)
-    rows = rows.join(time_step(rows, keys), list(keys))
+    rows = difference(df, columns, keys, longest=longest)
+    if o.fits_one_task(longest):
+        rows = rows.withColumn("dt", F.coalesce(F.median("step").over(Window.partitionBy(*keys)), F.lit(1.0)))
+    else:
+        rows = rows.join(time_step(rows, keys), list(keys), "left")
     return rows.withColumns({f"v_{c}": F.try_divide(F.col(f"d_{c}"), F.col("dt")) for c in columns}).drop(
         "step", *[f"d_{c}" for c in columns])
 
 
-def rank_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+def rank_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
+                     longest: int | None = None) -> DataFrame:
     """Spearman correlation of position and value per series and channel (long form).
 
     Average ranks for ties; series of up to two rows and constant channels give 0. The
@@ -228,7 +244,7 @@ def rank_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
     long = df.select(*keys, "pos", F.explode(F.array(*[
         F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in columns])).alias("_c"))
     long = long.select(*keys, "pos", "_c.channel", "_c.value")
-    groups = o.rank_groups(long, [*keys, "channel"], "value", [F.sum("pos").alias("pos_sum")])
+    groups = o.rank_groups(long, [*keys, "channel"], "value", [F.sum("pos").alias("pos_sum")], longest)
     rank = F.col("before") + (F.col("cnt") + 1) / 2.0 - 1.0
     n = F.col("n").cast("double")
     sums = groups.groupBy(*keys, "channel").agg(
@@ -242,10 +258,10 @@ def rank_correlation(df: DataFrame, columns: Sequence[str], keys: Sequence[str]
 
 
 def cumulative_path(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS,
-                    bucket_rows: int = o.CHUNK_ROWS) -> DataFrame:
+                    bucket_rows: int = o.CHUNK_ROWS, longest: int | None = None) -> DataFrame:
     """Running sums ``cum_*`` including the current row of numbered samples."""
     names = {f"cum_{c}": F.col(c) for c in columns}
-    rows = o.running_total(df, keys, ["pos"], o.id_bucket(F.col("pos"), bucket_rows), names)
+    rows = o.running_total(df, keys, ["pos"], o.id_bucket(F.col("pos"), bucket_rows), names, longest=longest)
     return rows.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(c) for c in columns})
 
 
@@ -261,7 +277,8 @@ def flow_vectors(direction: Column, magnitude: Column, scale: float = 0.35) -> t
 
 # -- intervals ------------------------------------------------------------
 
-def scene_edges(bounds: DataFrame, extent: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def scene_edges(bounds: DataFrame, extent: DataFrame, keys: Sequence[str] = KEYS,
+                longest: int | None = None) -> DataFrame:
     """Consecutive intervals of each video between its start, its boundaries and its end.
 
     ``bounds`` has ``time``; ``extent`` has one row per video with ``start`` and ``end``.
@@ -269,10 +286,9 @@ def scene_edges(bounds: DataFrame, extent: DataFrame, keys: Sequence[str] = KEYS
     edges = bounds.select(*keys, F.col("time").alias("edge"), F.lit(1).alias("_kind"))
     edges = edges.unionByName(extent.select(*keys, F.col("start").alias("edge"), F.lit(0).alias("_kind")))
     edges = edges.unionByName(extent.select(*keys, F.col("end").alias("edge"), F.lit(2).alias("_kind")))
-    rows = o.number_rows(edges, keys, ["edge", "_kind"], o.time_bucket(F.col("edge")), "scene_id", "n")
-    rows = rows.withColumnRenamed("scene_id", "pos")
-    w = o.chunk_window(keys)
-    pairs = o.with_neighbours(rows, 0, 1).withColumn("end_time", F.lead("edge").over(w))
+    rows = o.number_rows(edges, keys, ["edge", "_kind"], o.time_bucket(F.col("edge")), longest=longest)
+    pairs, w = o.neighbourhood(rows, keys, 0, 1, longest=longest)
+    pairs = pairs.withColumn("end_time", F.lead("edge").over(w))
     return (o.own_rows(pairs).filter(F.col("pos") < F.col("n") - 1)
             .select(*keys, F.col("pos").alias("scene_id"), F.col("edge").alias("start_time"), "end_time"))
 
@@ -299,17 +315,18 @@ def frames_to_intervals(frames: DataFrame, intervals: DataFrame, keys: Sequence[
 
 
 def assign_by_boundaries(samples: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS,
-                         time: str = "timestamp", order: Sequence[str] = ("idx",)) -> DataFrame:
+                         time: str = "timestamp", order: Sequence[str] = ("idx",),
+                         longest: int | None = None) -> DataFrame:
     """Segment number of each sample: how many boundaries lie strictly before it."""
     marks = bounds.select(*keys, F.col("time").alias(time), F.lit(1).alias("_mark"))
     rows = samples.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
     rows = o.running_total(rows, keys, [time, "_mark", *order], o.time_bucket(F.col(time)),
-                           {"segment": F.col("_mark").cast("long")})
+                           {"segment": F.col("_mark").cast("long")}, longest=longest)
     return rows.filter("_mark = 0").drop("_mark")
 
 
 def nearest_sample(bounds: DataFrame, samples: DataFrame, keys: Sequence[str] = KEYS,
-                   time: str = "timestamp") -> DataFrame:
+                   time: str = "timestamp", longest: int | None = None) -> DataFrame:
     """For each boundary ``time`` the sample at the least time distance, the earlier on a tie."""
     points = samples.groupBy(*keys, F.col(time).alias("_t")).agg(F.min("idx").alias("idx"))
     points = points.withColumn("_mark", F.lit(0))
@@ -317,7 +334,7 @@ def nearest_sample(bounds: DataFrame, samples: DataFrame, keys: Sequence[str] =
                           F.lit(1).alias("_mark"))
     both = points.unionByName(marks)
     sample = F.when(F.col("_mark") == 0, F.struct("_t", "idx"))
-    rows = o.surrounding(both, keys, ["_t", "_mark", "idx"], o.time_bucket(F.col("_t")), sample, "_p", "_q")
+    rows = o.surrounding(both, keys, ["_t", "_mark", "idx"], o.time_bucket(F.col("_t")), sample, "_p", "_q", longest)
     p, q, t = F.col("_p"), F.col("_q"), F.col("_t")
     pick = F.when(q.isNull() | (t - p["_t"] <= q["_t"] - t), p).otherwise(q)
     return rows.filter("_mark = 1").select(

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinolake.operators.ordering import longest_series
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -51,13 +53,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("idx"),
         (micros("ts") / 1e6).alias("timestamp"), "event_type",
-        F.col("value").alias("pan"), k.alias("tilt"), ((F.col("value") - k) / 10).alias("zoom"),
+        F.col("value").alias("pan"), k.alias("tilt"), ((F.col("value") - k) / 7).alias("zoom"),
         F.sqrt(F.col("value") * F.col("value") + k * k).alias("camera_magnitude"))
 
 
 EVENTS_SQL = """ev AS (
   SELECT user_id AS video_id, event_id AS idx, epoch_us(ts) / 1e6::DOUBLE AS "timestamp", event_type,
-         value AS pan, k AS tilt, (value - k) / 10 AS zoom, sqrt(value * value + k * k) AS camera_magnitude
+         value AS pan, k AS tilt, (value - k) / 7 AS zoom, sqrt(value * value + k * k) AS camera_magnitude
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
 
 NUMBERED_SQL = EVENTS_SQL + """, sig AS (
@@ -69,6 +71,11 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).drop("event_type")
 
 
+def longest(spark: SparkSession, sf_dir: str) -> int:
+    """Samples of the longest video, which decides between plain and chunked windows."""
+    return longest_series(table(spark, sf_dir, "events"), ["user_id"])
+
+
 # -- parts as segments, line items as assignments to scenes ----------------
 
 # Rating names by brand number modulo eight.

@@ -82,8 +82,8 @@ SELECT vec_id, round(list_dot_product(v, w), 6) + 0.0 AS dot,
 def vector_measures(spark, sf):
     from kinolake.operators import ordering as o
     e = table(spark, sf, "embeddings").withColumn("series", F.lit(0))
-    e = o.with_neighbours(o.number_rows(e, ["series"], ["vec_id"], o.id_bucket(F.col("vec_id"))), 0, 1)
-    e = o.own_rows(e.withColumn("next", F.lead("embedding").over(o.chunk_window(["series"]))))
+    e, w = o.neighbourhood(o.number_rows(e, ["series"], ["vec_id"], o.id_bucket(F.col("vec_id"))), ["series"], 0, 1)
+    e = o.own_rows(e.withColumn("next", F.lead("embedding").over(w)))
     a, b = F.col("embedding"), F.col("next")
     return e.select("vec_id", r6(v.dot(a, b)).alias("dot"), r6(v.cosine(a, b)).alias("cosine"),
                     r6(v.array_norm(a)).alias("norm"), r6(F.get(v.l2_normalise(a), F.lit(0))).alias("first_unit"))

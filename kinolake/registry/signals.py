@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from kinolake.operators import changepoints as cp
 from kinolake.operators import ordering as o
 from kinolake.operators import signal as sg
-from kinolake.registry.base import EVENTS_SQL, NUMBERED_SQL, events, query, r6, rounded, signal, table
+from kinolake.registry.base import EVENTS_SQL, NUMBERED_SQL, events, longest, query, r6, rounded, signal, table
 
 CHANNELS = ["pan", "tilt", "zoom", "camera_magnitude"]
 
 
-def numbered(spark, sf):
-    return sg.numbered(signal(spark, sf))
+def numbered(spark, sf, size=None):
+    return sg.numbered(signal(spark, sf), longest=size if size is not None else longest(spark, sf))
 
 
 @query("pr02_signal_rows", f"""WITH {EVENTS_SQL} SELECT video_id, idx, round("timestamp", 6) AS "timestamp", round(pan, 6) AS pan,
@@ -64,7 +64,8 @@ def round_sql(names, prefix="") -> str:
 
 @query("wn01_savgol", f"WITH {NUMBERED_SQL}, {savgol_sql()} SELECT idx, {round_sql(CHANNELS)} FROM smooth")
 def savgol(spark, sf):
-    return rounded(sg.savgol(numbered(spark, sf), CHANNELS), *CHANNELS).select("idx", *CHANNELS)
+    size = longest(spark, sf)
+    return rounded(sg.savgol(numbered(spark, sf, size), CHANNELS, longest=size), *CHANNELS).select("idx", *CHANNELS)
 
 
 def scaled_sql(source, mode):
@@ -83,7 +84,7 @@ def scaled_sql(source, mode):
 
 @query("wn02_minmax", f"WITH {EVENTS_SQL} {scaled_sql('ev', 'guarded')}")
 def minmax(spark, sf):
-    return rounded(sg.minmax(signal(spark, sf), CHANNELS), *CHANNELS).select("idx", *CHANNELS)
+    return rounded(sg.minmax(signal(spark, sf), CHANNELS, longest=longest(spark, sf)), *CHANNELS).select("idx", *CHANNELS)
 
 
 @query("wn02b_minmax_variants", f"""WITH {EVENTS_SQL} SELECT *, 'zero' AS mode FROM ({scaled_sql('ev', 'zero')})
@@ -100,7 +101,8 @@ def minmax_variants(spark, sf):
    ON q.video_id = p.video_id AND q.pos BETWEEN p.pos - 2 AND p.pos + 2)
   SELECT idx, round(median(pan), 6) + 0.0 AS pan, round(median(tilt), 6) + 0.0 AS tilt FROM near GROUP BY idx""")
 def median_filter(spark, sf):
-    return rounded(sg.median_filter(numbered(spark, sf), ["pan", "tilt"]), "pan", "tilt").select("idx", "pan", "tilt")
+    size = longest(spark, sf)
+    return rounded(sg.median_filter(numbered(spark, sf, size), ["pan", "tilt"], longest=size), "pan", "tilt").select("idx", "pan", "tilt")
 
 
 @query("wn04_interpolate_bad", f"""WITH {NUMBERED_SQL}, g AS (SELECT *, pan >= 20 AS ok, sum((pan >= 20)::INT) OVER (PARTITION BY video_id) AS goods,
@@ -112,7 +114,8 @@ def median_filter(spark, sf):
       ELSE a.tilt + (b.tilt - a.tilt) * ((g.pos - p) / (q - p)) END, 6) + 0.0 AS tilt
   FROM g LEFT JOIN sig a ON a.video_id = g.video_id AND a.pos = g.p LEFT JOIN sig b ON b.video_id = g.video_id AND b.pos = g.q""")
 def interpolate_bad(spark, sf):
-    rows = sg.interpolate_bad(numbered(spark, sf), ["pan", "tilt"], F.col("pan") < 20)
+    size = longest(spark, sf)
+    rows = sg.interpolate_bad(numbered(spark, sf, size), ["pan", "tilt"], F.col("pan") < 20, longest=size)
     return rounded(rows, "pan", "tilt").select("idx", "pan", "tilt")
 
 
@@ -126,7 +129,8 @@ DERIVATIVE_SQL = """step AS (SELECT *, "timestamp" - lag("timestamp") OVER v AS
 @query("wn05_gradient", f"""WITH {NUMBERED_SQL}, {DERIVATIVE_SQL}, dt AS (SELECT video_id, coalesce(median(step), 1.0) AS dt FROM step GROUP BY video_id)
   SELECT idx, round(d_pan / dt * 3600, 6) + 0.0 AS v_pan, round(d_tilt / dt * 3600, 6) + 0.0 AS v_tilt FROM step JOIN dt USING (video_id)""")
 def gradient(spark, sf):
-    g = sg.gradient(numbered(spark, sf), ["pan", "tilt"])
+    size = longest(spark, sf)
+    g = sg.gradient(numbered(spark, sf, size), ["pan", "tilt"], longest=size)
     return g.select("idx", r6(F.col("v_pan") * 3600).alias("v_pan"), r6(F.col("v_tilt") * 3600).alias("v_tilt"))
 
 
@@ -136,7 +140,8 @@ def gradient(spark, sf):
   SELECT video_id, c.channel, round(CASE WHEN max(n) <= 2 THEN 0.0 ELSE coalesce(corr(pos, CASE c.channel WHEN 'pan' THEN rp ELSE rt END), 0.0) END, 6) + 0.0 AS monotonicity
   FROM r, (VALUES ('pan'), ('tilt')) c(channel) GROUP BY video_id, c.channel""")
 def monotonicity(spark, sf):
-    return rounded(sg.rank_correlation(numbered(spark, sf), ["pan", "tilt"]), "monotonicity")
+    size = longest(spark, sf)
+    return rounded(sg.rank_correlation(numbered(spark, sf, size), ["pan", "tilt"], longest=size), "monotonicity")
 
 
 def end_positions(df):
@@ -162,13 +167,14 @@ def boundary_times(spark, sf):
 def direction_encode(spark, sf):
     e = signal(spark, sf).withColumn("direction", F.col("pan"))
     names = ["pan", "tilt", "dir_sin", "dir_cos"]
-    return rounded(sg.direction_encode(e, "pan", "tilt", "direction"), *names).select("idx", *names)
+    return rounded(sg.direction_encode(e, "pan", "tilt", "direction", longest(spark, sf)), *names).select("idx", *names)
 
 
 @query("wn20_cumulative_path", f"""WITH {NUMBERED_SQL} SELECT idx, round(sum(pan) OVER v, 4) + 0.0 AS cum_pan, round(sum(zoom) OVER v, 4) + 0.0 AS cum_zoom
   FROM sig WINDOW v AS (PARTITION BY video_id ORDER BY pos)""")
 def cumulative_path(spark, sf):
-    c = sg.cumulative_path(numbered(spark, sf), ["pan", "zoom"])
+    size = longest(spark, sf)
+    c = sg.cumulative_path(numbered(spark, sf, size), ["pan", "zoom"], longest=size)
     return c.select("idx", *[(F.round(x, 4) + 0.0).alias(x) for x in ("cum_pan", "cum_zoom")])
 
 
@@ -189,7 +195,8 @@ def flow_vectors(spark, sf):
 @query("wn23_frame_pairs", f"""WITH {NUMBERED_SQL} SELECT idx, pan, lag(idx) OVER v AS prev_idx, lag(pan) OVER v AS prev_pan FROM sig
   WINDOW v AS (PARTITION BY video_id ORDER BY pos)""")
 def frame_pairs(spark, sf):
-    return sg.frame_pairs(numbered(spark, sf), ["idx", "pan"]).select("idx", "pan", "prev_idx", "prev_pan")
+    size = longest(spark, sf)
+    return sg.frame_pairs(numbered(spark, sf, size), ["idx", "pan"], longest=size).select("idx", "pan", "prev_idx", "prev_pan")
 
 
 # boundaries of a video: the times of its "signup" events
@@ -209,13 +216,13 @@ def extent(e):
     return e.groupBy("video_id").agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
 
 
-def intervals(e):
-    return sg.scene_edges(bounds(e), extent(e))
+def intervals(e, size=None):
+    return sg.scene_edges(bounds(e), extent(e), longest=size)
 
 
 @query("wn24_scene_edges", f"""WITH {EVENTS_SQL}, {EDGES_SQL} SELECT video_id, scene_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time FROM intervals""")
 def scene_edges(spark, sf):
-    return rounded(intervals(events(spark, sf)), "start_time", "end_time")
+    return rounded(intervals(events(spark, sf), longest(spark, sf)), "start_time", "end_time")
 
 
 @query("jn06_frames_to_intervals", f"""WITH {EVENTS_SQL}, {EDGES_SQL} SELECT ev.idx, i.scene_id, false AS closed FROM ev JOIN intervals i
@@ -224,7 +231,8 @@ def scene_edges(spark, sf):
     AND ("timestamp" < end_time OR ("timestamp" = end_time AND end_time = (SELECT e FROM extent x WHERE x.video_id = ev.video_id)))""")
 def frames_to_intervals(spark, sf):
     e = events(spark, sf)
-    out = [sg.frames_to_intervals(e, intervals(e), closed_last=c).select("idx", "scene_id", F.lit(c).alias("closed"))
+    scenes = intervals(e, longest(spark, sf))
+    out = [sg.frames_to_intervals(e, scenes, closed_last=c).select("idx", "scene_id", F.lit(c).alias("closed"))
            for c in (False, True)]
     return out[0].unionByName(out[1])
 
@@ -233,7 +241,8 @@ def frames_to_intervals(spark, sf):
    ON b.video_id = ev.video_id AND b."time" < ev."timestamp" GROUP BY ev.idx""")
 def assign_by_boundaries(spark, sf):
     e = events(spark, sf)
-    return sg.assign_by_boundaries(e.select("video_id", "idx", "timestamp"), bounds(e)).select("idx", "segment")
+    return sg.assign_by_boundaries(e.select("video_id", "idx", "timestamp"), bounds(e),
+                                   longest=2 * longest(spark, sf)).select("idx", "segment")
 
 
 @query("jn08_nearest_sample", f"""WITH {EVENTS_SQL}, b AS (SELECT video_id, "timestamp" + 1800.5 AS "time" FROM ev WHERE event_type = 'signup')
@@ -242,40 +251,47 @@ def assign_by_boundaries(spark, sf):
 def nearest_sample(spark, sf):
     e = events(spark, sf)
     shifted = bounds(e).withColumn("time", F.col("time") + 1800.5)
-    near = sg.nearest_sample(shifted, e.filter(F.col("event_type") != "signup"))
+    near = sg.nearest_sample(shifted, e.filter(F.col("event_type") != "signup"),
+                             longest=2 * longest(spark, sf))
     return rounded(near, "time").select("video_id", "time", "nearest_idx")
 
 
-def scaled_signal(spark, sf, columns=CHANNELS):
-    return sg.minmax(sg.savgol(numbered(spark, sf), columns), columns)
+def scaled_signal(spark, sf, size):
+    return sg.minmax(sg.savgol(numbered(spark, sf, size), CHANNELS, longest=size), CHANNELS, longest=size)
 
 
 @query("wn10_change_points_l2")
 def change_points_l2(spark, sf):
-    return cp.change_points(scaled_signal(spark, sf), ["video_id"], CHANNELS, "l2", 3.0)
+    size = longest(spark, sf)
+    return cp.change_points(scaled_signal(spark, sf, size), ["video_id"], CHANNELS, "l2", 3.0, longest=size)
 
 
 @query("wn10_change_points_l1")
 def change_points_l1(spark, sf):
-    return cp.change_points(scaled_signal(spark, sf), ["video_id"], CHANNELS, "l1", 2.0)
+    size = longest(spark, sf)
+    return cp.change_points(scaled_signal(spark, sf, size), ["video_id"], CHANNELS, "l1", 2.0, longest=size)
 
 
 @query("wn10_change_points_rbf")
 def change_points_rbf(spark, sf):
-    e = sg.direction_encode(numbered(spark, sf).withColumn("direction", F.col("zoom")), "pan", "tilt", "direction")
+    size = longest(spark, sf)
+    rows = numbered(spark, sf, size).withColumn("direction", F.col("zoom"))
+    e = sg.direction_encode(rows, "pan", "tilt", "direction", longest=size)
     return cp.change_points(e, ["video_id"], ["pan", "tilt", "dir_sin", "dir_cos"], "rbf", 3.0, min_rows=3)
 
 
 @query("wn12_trajectory_boundaries")
 def trajectory_boundaries(spark, sf):
     from kinolake.plans.trajectory import trajectory_boundaries as run
-    return rounded(run(numbered(spark, sf), ["pan", "tilt", "zoom"]), "time")
+    size = longest(spark, sf)
+    return rounded(run(numbered(spark, sf, size), ["pan", "tilt", "zoom"], longest=size), "time")
 
 
 @query("ag17_penalty_sweep")
 def penalty_sweep(spark, sf):
-    s = numbered(spark, sf)
+    size = longest(spark, sf)
+    s = numbered(spark, sf, size)
     penalties = np.linspace(0.5, 20.0, 40).tolist()
-    smooth = sg.minmax(sg.savgol(s, CHANNELS), CHANNELS).withColumn("variant", F.lit("savgol"))
-    median = sg.minmax(sg.median_filter(s, CHANNELS), CHANNELS).withColumn("variant", F.lit("median"))
-    return cp.penalty_sweep(smooth.unionByName(median), ["video_id", "variant"], CHANNELS, penalties)
+    smooth = sg.minmax(sg.savgol(s, CHANNELS, longest=size), CHANNELS, longest=size).withColumn("variant", F.lit("savgol"))
+    median = sg.minmax(sg.median_filter(s, CHANNELS, longest=size), CHANNELS, longest=size).withColumn("variant", F.lit("median"))
+    return cp.penalty_sweep(smooth.unionByName(median), ["video_id", "variant"], CHANNELS, penalties, longest=size)
