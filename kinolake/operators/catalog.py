@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolake.functions import scalars as s
@@ -85,8 +85,7 @@ def in_progress(tasks: DataFrame, manifest: DataFrame, project: str, video: str)
 
 
 def _smallest(df: DataFrame, key: str, value: str, count: int) -> DataFrame:
-    """The smallest values per key, by merging bounded lists."""
-    from pyspark.sql import Window
+    """The smallest values per key; the rank filter keeps few rows per task before the shuffle."""
     ranked = df.select(key, value).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(value)))
     return ranked.filter(F.col("_r") <= count).groupBy(key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", value))), lambda x: x[value].cast("string")).alias("_firsts"))

@@ -57,15 +57,11 @@ def probe_rejects(spark, sf):
     return c.probe_to_video(probes(spark, sf), "probe")[1]
 
 
-@query("src08_content_hash", """SELECT doc_id, substr(sha256(CASE WHEN strlen(text) <= 65536 THEN text ELSE NULL END || strlen(text)), 1, 16) AS content_hash FROM documents
-   WHERE strlen(text) <= 65536 UNION ALL SELECT doc_id, NULL FROM documents WHERE strlen(text) > 65536""")
+@query("src08_content_hash", """SELECT doc_id, substr(sha256(array_slice(encode(text), 1, 65536) || encode(strlen(text)::VARCHAR)), 1, 16) AS content_hash FROM documents""")
 def content_hash(spark, sf):
-    d = table(spark, sf, "documents")
     content = F.encode("text", "UTF-8")
-    size = F.octet_length(content)
-    digest = s.content_hash(content, size)
-    # SQL without byte slices: documents beyond 64 KiB are compared by presence only
-    return d.select("doc_id", F.when(size <= 65536, digest).alias("content_hash"))
+    return table(spark, sf, "documents").select(
+        "doc_id", s.content_hash(content, F.octet_length(content)).alias("content_hash"))
 
 
 @query("snk04_versions_enriched", """SELECT o_custkey AS project, o_orderkey AS version, nullif(substr(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || repeat(o_orderstatus, 130)
