@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from kinolake.functions import vectors as v
 from kinolake.operators import ordering as o
+from kinolake.session import cut_lineage
 from kinolake.settings import EDITOR
 
 SCENE_BLOCK, SEGMENT_BLOCK = 256, 8192
@@ -224,7 +225,8 @@ def fill_gaps(pools: DataFrame, scenes: DataFrame, segments: DataFrame, minimum:
         ranked = retrieve_candidates(gap_scenes, segments, project, alpha, depth)
         lists = unassigned(ranked, pools, project)
         return _take_in_order(lists, gaps, project, depth)[0]
-    free = unassigned(segments, pools, project)
+    gaps, gap_scenes = cut_lineage(gaps), cut_lineage(gap_scenes)
+    free = cut_lineage(unassigned(segments, pools, project))
     length = 4 * minimum
     while True:
         lists = retrieve_candidates(gap_scenes, free, project, alpha, length)
@@ -254,7 +256,7 @@ def _take_in_order(lists: DataFrame, gaps: DataFrame, project: str, length: int)
         marked = pdf.loc[keep].assign(_short=False)
         return pd.concat([marked, pdf.loc[short].assign(_short=True)])
 
-    taken = rows.groupBy(project).applyInPandas(choose, schema)
+    taken = cut_lineage(rows.groupBy(project).applyInPandas(choose, schema))
     return taken.filter("NOT _short").drop("_short", "needed"), taken.filter("_short")
 
 

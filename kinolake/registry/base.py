@@ -136,10 +136,10 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("scene_id"), F.col("l_partkey").alias("segment_id"),
-        F.col("l_linenumber").alias("bucket_idx"), F.col("l_suppkey").alias("seq"),
+        F.col("l_linenumber").alias("bucket_idx"), (F.col("l_suppkey") * 100000000 + F.col("l_partkey")).alias("seq"),
         (1 - F.col("l_discount") * 5).alias("narrative_score"))
 
 
 ASSIGNMENTS_SQL = """asg AS (
-  SELECT l_orderkey AS scene_id, l_partkey AS segment_id, l_linenumber AS bucket_idx, l_suppkey AS seq,
+  SELECT l_orderkey AS scene_id, l_partkey AS segment_id, l_linenumber AS bucket_idx, l_suppkey * 100000000 + l_partkey AS seq,
          1 - l_discount * 5 AS narrative_score FROM lineitem)"""

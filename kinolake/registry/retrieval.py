@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from kinolake.operators import changepoints as cp
@@ -10,6 +12,7 @@ from kinolake.operators import retrieve as rt
 from kinolake.operators import signal as sg
 from kinolake.plans.retrieval import candidate_pools
 from kinolake.registry.base import query, r6, rounded, table
+from kinolake.settings import EDITOR
 
 
 def items(spark, sf):
@@ -32,17 +35,18 @@ def segments(spark, sf):
         F.array("lang", "source", F.concat(F.lit("l"), (F.col("vec_id") % 10).cast("string"))).alias("tags"))
 
 
-ITEMS_SQL = """items AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS len,
+ITEMS_SQL_K = """items AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS len,
     [upper(lang), 'L' || label] AS kws, [lang, source, 'l' || (vec_id % 10)] AS tags FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
   pairs AS (SELECT a.vec_id AS scene, b.vec_id AS segment_id, list_dot_product(a.v, b.v) / (a.len * b.len) AS same, list_dot_product(list_reverse(a.v), b.v) / (a.len * b.len) AS emb,
     len(list_intersect([lower(x) FOR x IN a.kws], [lower(x) FOR x IN b.tags])) / len(list_distinct(list_concat([lower(x) FOR x IN a.kws], [lower(x) FOR x IN b.tags]))) AS kw FROM items a, items b),
   scored AS (SELECT *, 0.7 * emb + (1.0 - 0.7) * kw AS score FROM pairs),
-  cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY round(score, 9) DESC, segment_id) AS rank FROM scored) WHERE rank <= 15),
+  cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY round(score, 9) DESC, segment_id) AS rank FROM scored) WHERE rank <= {k}),
   pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY round(score, 9) DESC, scene) AS w FROM cand) WHERE w = 1)"""
+ITEMS_SQL, FEW_SQL = ITEMS_SQL_K.replace("{k}", "15"), ITEMS_SQL_K.replace("{k}", "3")
 
 
-def candidates(spark, sf):
-    return rt.retrieve_candidates(scenes(spark, sf), segments(spark, sf))
+def candidates(spark, sf, k=15):
+    return rt.retrieve_candidates(scenes(spark, sf), segments(spark, sf), k=k)
 
 
 @query("tk01_retrieve_candidates", f"""WITH {ITEMS_SQL} SELECT 's' || scene AS scene_id, segment_id, round(emb, 6) + 0.0 AS embedding_score, round(kw, 6) + 0.0 AS keyword_score,
@@ -77,28 +81,29 @@ def contested_count(spark, sf):
     return rt.contested_count(candidates(spark, sf)).drop("project")
 
 
-@query("ag12_gap_report", f"""WITH {ITEMS_SQL}, n AS (SELECT i.vec_id, count(p.segment_id) AS size FROM items i LEFT JOIN pool p ON p.scene = i.vec_id GROUP BY i.vec_id)
+@query("ag12_gap_report", f"""WITH {FEW_SQL}, n AS (SELECT i.vec_id, count(p.segment_id) AS size FROM items i LEFT JOIN pool p ON p.scene = i.vec_id GROUP BY i.vec_id)
   SELECT 's' || vec_id AS scene_id, size AS pool_size, 'Scene s' || vec_id || ' has only ' || size || ' candidate(s) after deduplication (minimum 3)' AS message FROM n WHERE size < 3""")
 def gap_report(spark, sf):
-    pools = rt.resolve_contested(candidates(spark, sf))
+    pools = rt.resolve_contested(candidates(spark, sf, 3))
     return rt.gap_report(scenes(spark, sf), pools).drop("project", "scene_pos")
 
 
-@query("st02_unassigned", f"WITH {ITEMS_SQL} SELECT vec_id AS segment_id FROM items WHERE vec_id NOT IN (SELECT segment_id FROM pool)")
+@query("st02_unassigned", f"WITH {FEW_SQL} SELECT vec_id AS segment_id FROM items WHERE vec_id NOT IN (SELECT segment_id FROM pool)")
 def unassigned(spark, sf):
-    pools = rt.resolve_contested(candidates(spark, sf))
+    pools = rt.resolve_contested(candidates(spark, sf, 3))
     return rt.unassigned(segments(spark, sf), pools).select("segment_id")
 
 
 @query("tk02_fill_gaps")
 def fill_gaps(spark, sf):
-    pools = rt.resolve_contested(candidates(spark, sf))
+    pools = rt.resolve_contested(candidates(spark, sf, 3))
     return rt.fill_gaps(pools, scenes(spark, sf), segments(spark, sf)).drop("project")
 
 
 @query("pl04_candidate_pools")
 def pools(spark, sf):
-    return candidate_pools(scenes(spark, sf), segments(spark, sf)).pools.drop("project")
+    settings = replace(EDITOR, candidates_per_scene=3)
+    return candidate_pools(scenes(spark, sf), segments(spark, sf), settings).pools.drop("project")
 
 
 @query("jn03_lookup", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type <> 'SMALL'""")

@@ -10,9 +10,8 @@ from kinolake.functions import scalars as s
 
 # Media suffixes and the name of a version file.
 MEDIA_GLOB, MEDIA_PATTERN = "*.[mM][pPoO][4vV]", r"(?i)\.(mp4|mov)$"
-VERSION_FILE = r"/v(\d+)\.json$"
-SEGMENT_PATH = r"/videos/([^/]+)/segments/[^/]+$"
-DESCRIPTION_PATH = r"/videos/([^/]+)/descriptions/[^/]+$"
+VERSION_FILE, VERSION_PARTITION = r"/v(\d+)\.json$", r"/version=(\d+)/[^/]+$"
+VIDEO_IN_PATH = r"/videos/([^/]+)/[^/]+/[^/]+$"
 
 
 def scan_media(spark: SparkSession, folder: str, with_hash: bool = False) -> DataFrame:
@@ -34,28 +33,25 @@ def read_typed(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
-def scan_projects(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Project documents under ``root/*/project.json``; unreadable ones are skipped."""
-    typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    full = T.StructType([*typed.fields, T.StructField("_bad", T.StringType())])
+def scan_projects(spark: SparkSession, root: str, schema: str, pattern: str = "*/project.json") -> DataFrame:
+    """Project documents under ``root``; unreadable ones are skipped."""
+    full = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_bad", T.StringType())])
     rows = (spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_bad").json(f"{root}/*/project.json"))
+            .option("columnNameOfCorruptRecord", "_bad").json(f"{root}/{pattern}"))
     return rows.filter("_bad IS NULL AND name IS NOT NULL").drop("_bad").orderBy("name")
 
 
-def scan_segments(spark: SparkSession, root: str, project: str, segment_schema: str,
-                  description_schema: str) -> tuple[DataFrame, DataFrame]:
-    """Segments and descriptions of a project; videos without a description file are left out.
+def scan_segments(spark: SparkSession, project_folder: str, schema: str, segment_files: str = "videos/*/segments/*.json",
+                  description_files: str = "videos/*/descriptions/*.json", video_in_path: str = VIDEO_IN_PATH) -> DataFrame:
+    """Segments of a project's videos; videos without a description file are left out whole.
 
-    The video key is taken from the path. Description files are only listed for the check.
+    The video key comes from the path. Description files are listed, not read.
     """
-    base = f"{root}/{project}/videos/*"
-    read = lambda schema, part, pattern: (
-        spark.read.schema(schema).option("multiLine", True).json(f"{base}/{part}/*.json")
-        .withColumn("video_hash", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)))
-    segments = read(segment_schema, "segments", SEGMENT_PATH)
-    descriptions = read(description_schema, "descriptions", DESCRIPTION_PATH)
-    return segments.join(descriptions.select("video_hash"), "video_hash", "left_semi"), descriptions
+    segments = (spark.read.schema(schema).option("multiLine", True).json(f"{project_folder}/{segment_files}")
+                .withColumn("video_hash", F.regexp_extract(F.col("_metadata.file_path"), video_in_path, 1)))
+    listed = spark.read.format("binaryFile").load(f"{project_folder}/{description_files}")
+    described = listed.select(F.regexp_extract("path", video_in_path, 1).alias("video_hash"))
+    return segments.join(described, "video_hash", "left_semi")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -63,12 +59,17 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def list_versions(spark: SparkSession, folder: str) -> DataFrame:
-    """Version numbers with their file times; names must match ``v<digits>.json``."""
-    files = spark.read.format("binaryFile").load(folder)
-    number = F.regexp_extract("path", VERSION_FILE, 1)
-    return (files.select(number.alias("_v"), F.col("modificationTime").alias("created_at"))
-            .filter("_v <> ''").select(F.col("_v").cast("int").alias("version"), "created_at").orderBy("version"))
+def list_versions(spark: SparkSession, folder: str, pattern: str = VERSION_FILE) -> DataFrame:
+    """Version numbers with their newest file time, ascending; other names are ignored.
+
+    ``pattern`` is ``VERSION_FILE`` for one document per version, or ``VERSION_PARTITION``
+    for folders written by ``save_versioned``.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    number = F.regexp_extract("path", pattern, 1)
+    return (files.select(number.alias("_v"), "modificationTime").filter("_v <> ''")
+            .groupBy(F.col("_v").cast("int").alias("version"))
+            .agg(F.max("modificationTime").alias("created_at")).orderBy("version"))
 
 
 def read_version(spark: SparkSession, folder: str, version: int | str = "latest") -> DataFrame:
