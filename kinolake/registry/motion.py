@@ -287,3 +287,30 @@ def analyse_trajectory(spark, sf):
     shifted = p.withColumn("timestamp", F.col("timestamp") - first)
     durations = shifted.groupBy("video_id").agg(F.max("timestamp").alias("duration"))
     return trajectory.analyse_trajectory(shifted, durations)
+
+
+def scene_analysis(spark, sf):
+    from kinolake.plans.scenes import analyse_scenes
+    shift = lambda df: df.withColumn("timestamp", F.col("timestamp") - 1704067200.0)
+    e = shift(events(spark, sf))
+    v = table(spark, sf, "embeddings")
+    vectors = e.select("video_id", "idx", "timestamp", (F.col("idx") % v.count()).alias("vec_id")).join(
+        v.select("vec_id", F.col("embedding").alias("vector")), "vec_id").drop("vec_id")
+    flow = flow_frames(e).join(e.select("idx", (F.col("zoom") / 10).alias("dominant_direction")), "idx")
+    return analyse_scenes(e.drop("event_type"), quality_frames(e), flow, vectors)
+
+
+@query("pl02_analyse_scenes")
+def analyse_scenes(spark, sf):
+    a = scene_analysis(spark, sf)
+    keys = ["video_id", "scene_id"]
+    frames = a.keyframes.groupBy(*keys).agg(F.count("*").alias("keyframes"))
+    subs = a.subsegments.groupBy(*keys).agg(F.count_distinct("subsegment_id").alias("subsegments"))
+    return a.scenes.join(frames, keys, "left").join(subs, keys, "left")
+
+
+@query("pl02_secondary_boundaries")
+def secondary_boundaries(spark, sf):
+    a = scene_analysis(spark, sf)
+    flow = a.flow_boundaries.select("video_id", "time", F.lit("flow").alias("kind"))
+    return flow.unionByName(a.embedding_boundaries.select("video_id", "time", F.lit("embedding").alias("kind")))
