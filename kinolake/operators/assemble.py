@@ -19,6 +19,7 @@ from kinolake.settings import EDITOR, VELOCITY_CHANNELS
 # Paths examined per wanted chain, and widenings of the duration range.
 PATHS_PER_CHAIN, WIDENINGS, WIDENING_FACTOR = 10, 3, 1.2
 
+LAYERS_PER_CUT = 4
 SEGMENT_FIELDS = ("start", "end", "video_file", "rating",
                   *[f"{c}_{k}" for c in VELOCITY_CHANNELS for k in ("entry_vel", "exit_vel", "std_deriv", "monotonicity")])
 
@@ -41,14 +42,13 @@ def scene_nodes(assignments: DataFrame, segments: DataFrame) -> DataFrame:
     Ranks come from the assignments alone: a bucket of only unknown segments keeps its
     rank and so disconnects the scene. A repeated assignment counts once, the last one.
     """
-    last = assignments.groupBy("scene_id", "bucket_idx", "segment_id").agg(
-        F.max_by("narrative_score", "seq").alias("narrative_score"))
-    order = Window.partitionBy("scene_id").orderBy("bucket_idx")
-    buckets = assignments.select("scene_id", "bucket_idx").distinct()
-    buckets = buckets.select("scene_id", "bucket_idx", F.row_number().over(order).alias("rank"),
-                             F.count(F.lit(1)).over(Window.partitionBy("scene_id")).cast("int").alias("last_rank"))
-    known = segments.select("segment_id", *SEGMENT_FIELDS)
-    return last.join(buckets, ["scene_id", "bucket_idx"]).join(known, "segment_id")
+    scene = Window.partitionBy("scene_id")
+    rows = assignments.repartition("scene_id")  # one exchange serves all three windows
+    repeated = Window.partitionBy("scene_id", "bucket_idx", "segment_id").orderBy(F.desc("seq"))
+    rows = rows.withColumn("_r", F.row_number().over(repeated)).filter("_r = 1").drop("_r", "seq")
+    rows = rows.withColumn("rank", F.dense_rank().over(scene.orderBy("bucket_idx")))
+    rows = rows.withColumn("last_rank", F.max("rank").over(scene))
+    return rows.join(segments.select("segment_id", *SEGMENT_FIELDS), "segment_id")
 
 
 def bucket_edges(nodes: DataFrame, settings=EDITOR) -> DataFrame:
@@ -74,27 +74,28 @@ def cheapest_paths(nodes: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
     """
     edges = cut_lineage(edges)
     layers = edges.agg(F.max("rank")).first()[0] or 1
-    # partial paths are keyed by the current node, renamed to meet the edges
+    # a path is keyed by its current node; finished ones ride along until the last layer
     state = nodes.filter("rank = 1").select(
         "scene_id", "last_rank", F.col("segment_id").alias("from_id"), F.lit(0.0).alias("total_cost"),
         (F.col("end") - F.col("start")).alias("total_duration"), F.array(_link(F.lit(0.0))).alias("links"))
     best = Window.partitionBy("scene_id", "from_id").orderBy("total_cost", "_ids")
     ids = F.transform("links", lambda x: x["segment_id"])
-    done = state.filter("last_rank = 1")
     for rank in range(2, layers + 1):
-        step = edges.filter(F.col("rank") == rank).drop("last_rank", "from_bucket").join(state, ["scene_id", "from_id"])
-        state = step.select(
-            "scene_id", "last_rank", F.col("segment_id").alias("from_id"),
-            (F.col("total_cost") + F.col("cost")).alias("total_cost"),
-            (F.col("total_duration") + F.col("end") - F.col("start")).alias("total_duration"),
-            F.concat("links", F.array(_link(F.col("cost")))).alias("links"))
+        steps = edges.filter(F.col("rank") == rank).drop("last_rank", "from_bucket", "rank")
+        grown = state.join(steps, ["scene_id", "from_id"], "left")
+        grown = grown.filter((F.col("last_rank") < rank) | F.col("segment_id").isNotNull())
+        moved = F.col("segment_id").isNotNull()
+        state = grown.select(
+            "scene_id", "last_rank", F.coalesce("segment_id", "from_id").alias("from_id"),
+            (F.col("total_cost") + F.coalesce("cost", F.lit(0.0))).alias("total_cost"),
+            (F.col("total_duration") + F.coalesce(F.col("end") - F.col("start"), F.lit(0.0))).alias("total_duration"),
+            F.when(moved, F.concat("links", F.array(_link(F.col("cost"))))).otherwise(F.col("links")).alias("links"))
         state = (state.withColumn("_ids", ids).withColumn("_r", F.row_number().over(best))
                  .filter(F.col("_r") <= keep).drop("_r", "_ids"))
-        if rank % 4 == 0 and rank < layers:
+        if rank % LAYERS_PER_CUT == 0 and rank < layers:
             state = cut_lineage(state)
-        done = done.unionByName(state.filter(F.col("last_rank") == rank))
     full = Window.partitionBy("scene_id").orderBy("total_cost", "_ids")
-    done = done.drop("from_id", "last_rank").withColumn("_ids", ids)
+    done = state.filter(F.size("links") == F.col("last_rank")).drop("from_id", "last_rank").withColumn("_ids", ids)
     return done.withColumn("path_no", F.row_number().over(full)).filter(F.col("path_no") <= keep).drop("_ids")
 
 
@@ -150,7 +151,7 @@ def greedy_chains(assignments: DataFrame, segments: DataFrame, targets: DataFram
 def find_chains(assignments: DataFrame, segments: DataFrame, targets: DataFrame, settings=EDITOR) -> DataFrame:
     """Cheapest chains per scene under its duration target, else one greedy chain."""
     k = settings.chains_per_scene
-    nodes = scene_nodes(assignments, segments)
+    nodes = cut_lineage(scene_nodes(assignments, segments))
     paths = cheapest_paths(nodes, bucket_edges(nodes, settings), k * PATHS_PER_CHAIN)
     accepted = cut_lineage(accept_chains(paths, targets, k))
     left = assignments.join(accepted.select("scene_id"), "scene_id", "left_anti")
@@ -174,11 +175,14 @@ def selected_chain(scenes: DataFrame, chains: DataFrame, selections: DataFrame)
     ``selections``: scene_id, chain_index, override_index. ``chains``: scene_id, chain_no, …
     """
     picked = selections.select("scene_id", F.coalesce("override_index", "chain_index").alias("_want"))
-    counts = chains.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_chains"))
-    rows = scenes.join(picked, "scene_id", "left").join(counts, "scene_id", "left")
-    inside = (F.col("_want") >= 0) & (F.col("_want") < F.col("_chains"))
-    rows = rows.withColumn("chain_no", F.when(inside, F.col("_want")).when(F.col("_want").isNotNull(), F.lit(0)).cast("int"))
-    return rows.drop("_want", "_chains").join(chains, ["scene_id", "chain_no"], "left")
+    counted = chains.withColumn("_chains", F.count(F.lit(1)).over(Window.partitionBy("scene_id")))
+    rows = scenes.join(picked, "scene_id", "left").join(counted, "scene_id", "left")
+    want = F.col("_want")
+    pick = F.when((want >= 0) & (want < F.col("_chains")), want).otherwise(F.lit(0))
+    rows = rows.filter(F.col("chain_no").isNull() | (F.col("chain_no") == pick))
+    facts = {c: F.when(want.isNotNull(), F.col(c)) for c in chains.columns if c not in ("scene_id", "chain_no")}
+    facts["chain_no"] = F.when(want.isNotNull(), F.coalesce("chain_no", F.lit(0))).cast("int")
+    return rows.withColumns(facts).drop("_want", "_chains")
 
 
 def only_scenes(df: DataFrame, flagged: Sequence | None) -> DataFrame:

@@ -17,9 +17,12 @@ from kinolake.sources.writers import save_versioned
 
 def assemble(scenes: DataFrame, assignments: DataFrame, segments: DataFrame, targets: DataFrame,
              selections: DataFrame, settings=EDITOR, flagged: list | None = None) -> DataFrame:
-    """Scenes with their selected chain; scenes without a chain keep null links."""
+    """Scenes with their selected chain; scenes without a chain keep null links.
+
+    Boundaries, entries and totals all start from the result, so it is written once.
+    """
     chains = a.find_chains(a.only_scenes(assignments, flagged), segments, targets, settings)
-    return a.selected_chain(a.only_scenes(scenes, flagged), cut_lineage(chains), selections)
+    return cut_lineage(a.selected_chain(a.only_scenes(scenes, flagged), chains, selections))
 
 
 @dataclass

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinolake.operators import assemble as a
@@ -89,13 +90,14 @@ def selections(spark, sf):
         F.when(key % 5 == 0, F.lit(1)).alias("override_index"))
 
 
-@query("tk06_selected_chain", """WITH c AS (SELECT l_orderkey AS scene_id, l_linenumber - 1 AS chain_no, count(*) AS links FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+@query("tk06_selected_chain", """WITH c AS (SELECT l_orderkey AS scene_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS chain_no, count(*) AS links FROM lineitem GROUP BY l_orderkey, l_linenumber),
    n AS (SELECT scene_id, count(*) AS n FROM c GROUP BY scene_id), w AS (SELECT o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS want FROM orders),
    p AS (SELECT w.scene_id, want, n, CASE WHEN want < n THEN want WHEN want IS NOT NULL THEN 0 END AS pick FROM w LEFT JOIN n USING (scene_id))
    SELECT p.scene_id, p.pick::INT AS chain_no, c.links, greatest(0, least(want, n - 1))::BIGINT AS clamped FROM p LEFT JOIN c ON c.scene_id = p.scene_id AND c.chain_no = p.pick""")
 def selected_chain(spark, sf):
-    chains = table(spark, sf, "lineitem").filter("l_linenumber <= 2").groupBy(
-        F.col("l_orderkey").alias("scene_id"), (F.col("l_linenumber") - 1).alias("chain_no")).agg(F.count("*").alias("links"))
+    w = Window.partitionBy("scene_id").orderBy("l_linenumber")
+    chains = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id"), "l_linenumber").agg(
+        F.count("*").alias("links")).select("scene_id", (F.row_number().over(w) - 1).alias("chain_no"), "links")
     scenes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"))
     counts = chains.groupBy("scene_id").agg(F.count("*").alias("n"))
     sel = selections(spark, sf)
