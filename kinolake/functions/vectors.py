@@ -42,7 +42,7 @@ def l2_normalise(v: Column, floor: float = 1e-9) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common lower-cased distinct entries; 0 when both are empty."""
-    x = F.array_distinct(F.transform(a, F.lower))
-    y = F.array_distinct(F.transform(b, F.lower))
+    x = F.array_distinct(F.transform(F.array_compact(a), F.lower))
+    y = F.array_distinct(F.transform(F.array_compact(b), F.lower))
     union = F.size(F.array_union(x, y))
     return F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(F.lit(0.0))

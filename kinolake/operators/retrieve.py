@@ -35,10 +35,14 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return m / np.where(length < 1e-9, 1.0, length)
 
 
+def _word_sets(lists: pd.Series) -> list[set[str]]:
+    return [{w.lower() for w in x if w is not None} if x is not None else set() for x in lists]
+
+
 def _overlap(tags: pd.Series, keywords: pd.Series) -> np.ndarray:
     """Jaccard overlap of lower-cased distinct tags (rows) and keywords (columns)."""
-    rows = [{t.lower() for t in (x if x is not None else ())} for x in tags]
-    cols = [{t.lower() for t in (x if x is not None else ())} for x in keywords]
+    rows = _word_sets(tags)
+    cols = _word_sets(keywords)
     where: dict[str, list[int]] = {}
     for j, words in enumerate(cols):
         for w in words:
@@ -279,9 +283,10 @@ def tag_union(a: Column, b: Column) -> Column:
 def mean_pool(tokens: DataFrame, key: str, vector: str, mask: str, dims: int) -> DataFrame:
     """Mean of the unmasked token vectors of each document, scaled to unit length."""
     kept = tokens.filter(F.col(mask) > 0).groupBy(key).agg(
-        Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double")))).alias("_m"))
+        Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double")))).alias("_v"))
+    kept = kept.select(key, vector_to_array("_v").alias("_m"))
     every = tokens.groupBy(key).agg(F.count(F.lit(1)).alias("tokens"))
-    pooled = F.coalesce(vector_to_array("_m"), F.array_repeat(F.lit(0.0), dims))
+    pooled = F.coalesce("_m", F.array_repeat(F.lit(0.0), dims))
     return every.join(kept, key, "left").select(key, "tokens", v.l2_normalise(pooled).alias("vector"))
 
 

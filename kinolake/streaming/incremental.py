@@ -21,7 +21,8 @@ def stream_frame_pairs(samples: DataFrame, lateness: str = "1 hour") -> DataFram
 
     ``samples``: video_id, idx, timestamp, pan and the event time ``ts``. State is the last
     sample of a video, evicted once the watermark passes it. A sample older than the state
-    is compared with nothing that is kept, so it is emitted without a predecessor.
+    is compared with nothing that is kept, so it is emitted without a predecessor; one that
+    comes later than ``lateness`` is left out by the watermark.
     """
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

@@ -80,7 +80,7 @@ def test_greedy_prefers_the_higher_score_and_the_first(spark):
 
 def test_cheapest_chains_match_enumeration(spark):
     rng = np.random.default_rng(8)
-    segs = [segment(f"s{i:02d}", float(rng.integers(2, 9)), rng.choice(["good", "excellent", "bad"]),
+    segs = [segment(f"s{i:02d}", float(rng.integers(2, 9)), str(rng.choice(["good", "excellent", "bad"])),
                     **{c: rng.normal() for c in VEL}) for i in range(12)]
     known = {x["segment_id"]: x for x in segs}
     asg, targets, seq = [], [], 0
