@@ -53,13 +53,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("idx"),
         (micros("ts") / 1e6).alias("timestamp"), "event_type",
-        F.col("value").alias("pan"), k.alias("tilt"), ((F.col("value") - k) / 7).alias("zoom"),
+        F.col("value").alias("pan"), k.alias("tilt"), (F.sqrt("value") - F.sqrt(k)).alias("zoom"),
         F.sqrt(F.col("value") * F.col("value") + k * k).alias("camera_magnitude"))
 
 
 EVENTS_SQL = """ev AS (
   SELECT user_id AS video_id, event_id AS idx, epoch_us(ts) / 1e6::DOUBLE AS "timestamp", event_type,
-         value AS pan, k AS tilt, (value - k) / 7 AS zoom, sqrt(value * value + k * k) AS camera_magnitude
+         value AS pan, k AS tilt, sqrt(value) - sqrt(k) AS zoom, sqrt(value * value + k * k) AS camera_magnitude
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
 
 NUMBERED_SQL = EVENTS_SQL + """, sig AS (
