@@ -66,7 +66,7 @@ class RunLengthIndex:
         step = 6
         for j in range(step):
             key = key * 257 + np.where(at + j < end, padded[j:j + n], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = self._ranks(key[order], order, np.zeros(n, np.int64), 0)
         tied = self._ties(rank, order)
         texts = len(self.ends)
@@ -74,10 +74,11 @@ class RunLengthIndex:
             follow = tied + step
             # past its end every text continues with a mark of its own
             second = np.where(follow < end[tied], texts + rank[np.minimum(follow, n - 1)], self.member[tied])
-            again = np.lexsort((second, rank[tied]))
-            tied, second = tied[again], second[again]
+            both = rank[tied] * (n + texts) + second
+            again = np.argsort(both)
+            tied, both = tied[again], both[again]
             group = rank[tied]
-            new = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+            new = np.concatenate(([True], both[1:] != both[:-1]))
             lead = np.concatenate(([True], group[1:] != group[:-1]))
             start = np.maximum.accumulate(np.where(lead, np.arange(len(tied)), 0))
             place = np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))

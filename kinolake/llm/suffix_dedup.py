@@ -6,7 +6,8 @@ key form a fragment. Blocks of documents send keys and content hashes of fragmen
 fragments whose key occurs once are done, fragments that occur identically twice are repeated as
 a whole, and only fragments that share a key with different content are sent in full, once per
 content. For these a shard builds the run-length index, streams the matching statistics and
-marks the starts of matches of at least ``length`` bytes.
+marks the starts of matches of at least ``length`` bytes. A key with very many contents would not
+fit one index; its strings are spread over all shards by 128-bit hashes of their own.
 """
 
 from __future__ import annotations
@@ -27,11 +28,14 @@ KMER = 32
 CHUNK = 1 << 20
 LONGEST_RUN = 4096  # starts per fragment; longer runs of one key are cut, which loses nothing
 _BASE = 0xD6E8FEB86659FD93
-SINGLE, REPEATED, SEND, REPEATED_SEND = 0, 1, 2, 3
+BATCH_BYTES = 1 << 18  # text of one index; a key is never cut
+CONTENTS_PER_INDEX = 512  # keys with more contents are matched by hashes of their strings instead
+REPEATED, SEND, SPLIT = 1, 2, 4  # bits of a fragment's status
+FRAGMENTS, STRINGS, KNOWN = b"f", b"s", b"k"  # kinds of messages
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text",
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, contents_per_index: int = CONTENTS_PER_INDEX) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
 
     All occurrences go, in the same document too, overlaps included; strings are judged on the
@@ -62,7 +66,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         _, texts, found = prepared(table)
         key, content, lead, several = _contents(texts, found, length)
         several, twice = several.astype(np.uint8), found[4][lead].astype(np.uint8)
-        shards = shard_of(key[lead], blocks)
+        shards = shard_of(mix(key[lead]), blocks)  # keys are minima, so not spread by themselves
         by = np.argsort(shards, kind="stable")
         cut = group_bounds(shards[by])
         return messages(shards[by][cut[:-1]], table[BLOCK][0].as_py(), [
@@ -81,8 +85,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         copies = np.bincount(group) + np.bincount(group, several[order] & 1)
         twice = several[order] > 1
         contents = np.bincount(per_key, new)
-        status = np.where(copies[group] > 1, REPEATED, SINGLE)
-        status = status + np.where(new & ((contents[per_key] > 1) | (twice & (copies[group] == 1))), SEND, 0)
+        status = np.where(copies[group] > 1, REPEATED, 0)
+        many = np.where(contents[per_key] > contents_per_index, SPLIT, SEND)
+        status = status | np.where(new & ((contents[per_key] > 1) | (twice & (copies[group] == 1))), many, 0)
         result = np.empty(len(order), np.uint8)
         result[order] = status
         cut = np.concatenate(([0], np.cumsum([len(p[0]) for p in parts])))
@@ -96,38 +101,41 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         _, texts, (doc, first, last, key, _) = prepared(table)
         at, status = (np.concatenate(x) for x in zip(*[unpack(p, np.int32, np.uint8)
                                                        for p in answer["payload"].to_pylist()]))
-        at = np.sort(at[status >= SEND])
-        if len(at) == 0:
-            return messages([], [], [])
-        shards = shard_of(key[at], blocks)
-        by = np.argsort(shards, kind="stable")
-        cut, payloads = group_bounds(shards[by]), []
+        block, shards, payloads = table[BLOCK][0].as_py(), [], []
+        pick = np.sort(at[status & SEND > 0])
+        home = shard_of(mix(key[pick]), blocks)
+        by = np.argsort(home, kind="stable")
+        cut = group_bounds(home[by])
         for a, b in zip(cut[:-1], cut[1:]):
-            pick = at[by[a:b]]
-            body = [texts[doc[i]][first[i]:last[i] + length] for i in pick.tolist()]
-            payloads.append(pack(pick.astype(np.int32), np.array([len(x) for x in body], np.int32)) + b"".join(body))
-        return messages(shards[by][cut[:-1]], table[BLOCK][0].as_py(), payloads)
+            some = pick[by[a:b]]
+            body = [texts[doc[i]][first[i]:last[i] + length] for i in some.tolist()]
+            sizes = np.array([len(x) for x in body], np.int32)
+            shards.append(home[by[a]])
+            payloads.append(FRAGMENTS + pack(key[some], some.astype(np.int32), sizes) + b"".join(body))
+        for shard, payload in _split_strings(texts, doc, first, last, np.sort(at[status & SPLIT > 0]), length, blocks):
+            shards.append(block % blocks if shard < 0 else shard)
+            payloads.append(payload)
+        return messages(shards, block, payloads)
 
     def match(table: pa.Table) -> pa.Table:
-        texts, owners = [], []
+        fragments, strings, found = [], [], {}
         for block, payload in zip(table["block"].to_pylist(), table["payload"].to_pylist()):
-            at, sizes = unpack(payload, np.int32, np.int32)
-            place = 8 + 8 * len(at)
-            for i, size in zip(at.tolist(), sizes.tolist()):
-                texts.append(payload[place:place + size])
-                owners.append((block, i))
-                place += size
-        found: dict[int, list] = {}
-        long = RunLengthIndex(texts).matching_statistics() >= length
-        place = 0
-        for (block, i), text in zip(owners, texts):
-            flags = long[place:place + len(text) - length + 1]
-            place += len(text)
-            edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
-                found.setdefault(block, []).append((i, a, b))
+            kind, payload = payload[:1], payload[1:]
+            if kind == FRAGMENTS:
+                key, at, sizes = unpack(payload, np.uint64, np.int32, np.int32)
+                place = np.cumsum(sizes) - sizes + 8 + 16 * len(at)
+                fragments += [(k, block, i, payload[p:p + n]) for k, i, p, n in
+                              zip(key.tolist(), at.tolist(), place.tolist(), sizes.tolist())]
+            elif kind == STRINGS:
+                strings.append((block, *unpack(payload, np.uint64, np.uint64, np.int32, np.int32, np.uint8)))
+            else:
+                found.setdefault(block, []).append(unpack(payload, np.int32, np.int32))
+        for block, rows in _index_matches(fragments, length):
+            found.setdefault(block, []).append(rows)
+        for block, rows in _string_matches(strings):
+            found.setdefault(block, []).append(rows)
         return answers(list(found), np.full(len(found), -1), [
-            pack(*(np.array(x, np.int32) for x in zip(*rows))) for rows in found.values()])
+            pack(*(np.concatenate(x) for x in zip(*rows))) for rows in found.values()])
 
     def finish(table: pa.Table, answer: pa.Table) -> pa.Table:
         if table.num_rows == 0:
@@ -140,12 +148,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         whole = np.zeros(len(doc), bool)
         for shard, payload in zip(answer["shard"].to_pylist(), answer["payload"].to_pylist()):
             if shard < 0:
-                at, a, b = unpack(payload, np.int32, np.int32, np.int32)
+                at, a = unpack(payload, np.int32, np.int32)
                 starts.append(offset[doc[at]] + first[at] + a)
-                stops.append(offset[doc[at]] + first[at] + b - 1)
+                stops.append(starts[-1])
             else:
                 at, status = unpack(payload, np.int32, np.uint8)
-                whole[at[(status == REPEATED) | (status == REPEATED_SEND)]] = True
+                whole[at[status & REPEATED > 0]] = True
         if len(doc):
             key, content, lead, several = _contents(texts, found, length)
             _, back = _group(key, content)
@@ -182,6 +190,69 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     return placed.groupBy(BLOCK).cogroup(found.groupBy("block")).applyInArrow(finish, out_schema)
 
 
+def _index_matches(fragments, length):
+    """Per block: fragment and start of every string that repeats among fragments of one key."""
+    fragments.sort(key=lambda x: x[0])
+    first = 0
+    while first < len(fragments):
+        last, size = first, 0
+        while last < len(fragments) and (size < BATCH_BYTES or fragments[last][0] == fragments[last - 1][0]):
+            size += len(fragments[last][3])
+            last += 1
+        batch = fragments[first:last]
+        first = last
+        long = RunLengthIndex([x[3] for x in batch]).matching_statistics() >= length
+        place = 0
+        for _, block, i, text in batch:
+            starts = np.flatnonzero(long[place:place + len(text) - length + 1])
+            place += len(text)
+            if len(starts):
+                yield block, (np.full(len(starts), i, np.int32), starts.astype(np.int32))
+
+
+def _split_strings(texts, doc, first, last, pick, length, shards):
+    """Messages with the hashes of all strings of some fragments, each string once.
+
+    Strings that already repeat inside the block are sent back as known (shard -1).
+    """
+    if len(pick) == 0:
+        return
+    parts = []
+    for i in pick.tolist():
+        data = np.frombuffer(texts[doc[i]][first[i]:last[i] + length], np.uint8).astype(np.uint64) + np.uint64(1)
+        count, hashes = len(data) - length + 1, []
+        for base in (_BASE, 0x9FB21C651E98DF25):
+            prefix = np.concatenate((np.zeros(1, np.uint64),
+                                     np.cumsum(mix(data * np.uint64(base)) * powers(base, len(data)), dtype=np.uint64)))
+            hashes.append(mix((prefix[length:] - prefix[:-length]) * powers(pow(base, -1, 1 << 64), count)))
+        parts.append((*hashes, np.full(count, i, np.int32), np.arange(count, dtype=np.int32)))
+    h1, h2, at, start = (np.concatenate(x) for x in zip(*parts))
+    lead, back = _group(h1, h2)
+    several = np.bincount(back) > 1
+    known = several[back]
+    if known.any():
+        yield -1, KNOWN + pack(at[known], start[known])
+    home = shard_of(h1[lead], shards)
+    by = np.argsort(home, kind="stable")
+    cut = group_bounds(home[by])
+    for a, b in zip(cut[:-1], cut[1:]):
+        some = lead[by[a:b]]
+        yield home[by[a]], STRINGS + pack(h1[some], h2[some], at[some], start[some],
+                                          several[by[a:b]].astype(np.uint8))
+
+
+def _string_matches(parts):
+    if not parts:
+        return
+    block = np.repeat([x[0] for x in parts], [len(x[1]) for x in parts])
+    h1, h2, at, start, several = (np.concatenate(x) for x in zip(*[x[1:] for x in parts]))
+    _, back = _group(h1, h2)
+    repeated = (np.bincount(back) + np.bincount(back, several) > 1)[back]
+    for b in np.unique(block[repeated]).tolist():
+        mine = repeated & (block == b)
+        yield b, (at[mine], start[mine])
+
+
 def _fragments(texts: list[bytes], length: int):
     """Maximal runs of string starts with one key: document, first and last start, key, key seen twice."""
     parts, first = [], 0

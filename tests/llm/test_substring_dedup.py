@@ -77,8 +77,8 @@ def brute_bytes(rows, length):
 
 def test_bytes_match_brute_force(docs):
     rows = corpus(5)
-    for length, block in ((400, 4000), (100, 2500)):
-        got = remove_repeats(docs(rows), length=length, block_bytes=block)
+    for length, block, contents in ((400, 4000, 512), (100, 2500, 512), (100, 2500, 1)):
+        got = remove_repeats(docs(rows), length=length, block_bytes=block, contents_per_index=contents)
         got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept_bytes)) for r in got.collect()]
         assert sorted(got, key=key) == sorted(brute_bytes(rows, length), key=key)
 
