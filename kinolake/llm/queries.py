@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinolake.llm.embedding_dedup import link_vectors
+from kinolake.llm.simhash_dedup import group_near_duplicates
 from kinolake.llm.suffix_dedup import remove_repeats
+from kinolake.llm.vector_search import nearest
 from kinolake.llm.window_dedup import dedup_windows
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +59,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_windows(docs).select("doc_id", "n_words", "n_removed",
                                       F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return group_near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
