@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinolake.llm.chat_perspectives import rotate_perspectives
 from kinolake.llm.embedding_dedup import link_vectors
+from kinolake.llm.mixing import mix_sources, word_count
+from kinolake.llm.packing import pack_documents
 from kinolake.llm.simhash_dedup import group_near_duplicates
 from kinolake.llm.suffix_dedup import remove_repeats
 from kinolake.llm.vector_search import nearest
@@ -77,3 +80,64 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op3_perspective_rotation", r"""
+WITH lines AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM lines WHERE speaker <> 'system'),
+told AS (
+  SELECT l.*, p.perspective,
+    CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
+    CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
+  FROM lines l JOIN people p ON l.conv_id IS NOT DISTINCT FROM p.conv_id),
+headed AS (
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM told)
+SELECT conv_id, perspective, turn, speaker, role, name, head || text || '<|im_end|>' || chr(10) AS rendered,
+  CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END::INTEGER AS mask_start,
+  CASE WHEN role = 'assistant' THEN length(text) + 10 ELSE 0 END::INTEGER AS mask_length
+FROM headed""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def packable(docs: DataFrame) -> DataFrame:
+    """Sizes in words, and clusters of documents that are equal but for case and white space."""
+    plain = F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                       F.xxhash64(plain).alias("cluster"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(packable(table(spark, sf_dir, "documents")))
+
+
+@query("op9_source_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::HUGEINT AS n,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::HUGEINT AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY n / w, source NULLS LAST) AS k,
+    sum(n) OVER () - coalesce(sum(3 * n) OVER before, 0) AS a, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS b
+  FROM s WINDOW before AS (ORDER BY n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT a, b FROM o WHERE 3 * n * b >= w * a ORDER BY k LIMIT 1),
+t AS (
+  SELECT source, n, CASE WHEN 3 * n * b < w * a THEN 3 * n ELSE (w * a)::HUGEINT // b::HUGEINT END AS quota,
+    CASE WHEN 3 * n * b < w * a THEN (3 * n)::DOUBLE ELSE (w * a)::DOUBLE / b::DOUBLE END AS target
+  FROM s, level),
+r AS (
+  SELECT d.*, t.n, t.quota, t.target, CASE WHEN n = 0 THEN 0 ELSE quota // n END AS whole,
+    CASE WHEN n = 0 THEN 0 ELSE quota % n END AS rest,
+    sum(size) OVER (PARTITION BY d.source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n::BIGINT AS source_size, round(target, 6) AS target,
+  ((whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM r""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, plan = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    plan = plan.withColumnRenamed("source", "name")
+    return mixed.join(plan, F.col("source").eqNullSafe(F.col("name"))).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
