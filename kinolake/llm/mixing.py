@@ -18,6 +18,7 @@ from kinolake.session import cut_lineage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BUCKET_DIGITS = 3  # hex digits of the seeded hash that form a bucket
+BROADCAST_PATTERNS = 10_000
 PATTERN, BUCKET = "_llm_pattern", "_llm_bucket"
 
 
@@ -138,7 +139,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     before = F.expr(f"sum(size) OVER (PARTITION BY {PATTERN} ORDER BY {BUCKET})") - F.col("size")
     edge = (sums.withColumn("before", before).join(shares, PATTERN)
             .where("before <= rest AND rest < before + size").select(PATTERN, F.col(BUCKET).alias("edge"), "before"))
-    planned = sized.join(shares.join(edge, PATTERN, "left"), PATTERN)
+    settings = shares.join(edge, PATTERN, "left")
+    # one row per pattern: its size is known, so a catalog of modest size may be broadcast
+    planned = sized.join(F.broadcast(settings) if len(rows) <= BROADCAST_PATTERNS else settings, PATTERN)
     last = planned.where(F.col(BUCKET) == F.col("edge"))
     place = F.expr(f"sum(size) OVER (PARTITION BY {PATTERN} ORDER BY _llm_order, {id_col}, size "
                    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

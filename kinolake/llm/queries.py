@@ -11,6 +11,8 @@ from kinolake.llm.mixing import mix_sources, word_count
 from kinolake.llm.packing import pack_documents
 from kinolake.llm.simhash_dedup import group_near_duplicates
 from kinolake.llm.suffix_dedup import remove_repeats
+from kinolake.llm.token_counts import count_tokens
+from kinolake.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from kinolake.llm.vector_search import nearest
 from kinolake.llm.window_dedup import dedup_windows
 
@@ -141,3 +143,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan.withColumnRenamed("source", "name")
     return mixed.join(plan, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("toxic_spans").cast("long").alias("n_spans"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, table(spark, sf_dir, "documents"))

@@ -126,15 +126,37 @@ def group_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc
     zero like any other. Rows with a null id get a fingerprint and a component, but never name one
     unless all ids of it are null. An empty table gives an empty result.
     """
+    prints, labels = _label(docs, distance, id_col, text_col, shingle, seed)
+    names = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = labels.join(names, "component").select("fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+
+
+def keep_one_per_group(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                       shingle: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest id (null ids last).
+
+    Rows equal in id and fingerprint count as one, the smallest by all columns, so exactly one row
+    of every group stays. All columns must be orderable.
+    """
+    prints, labels = _label(docs, distance, id_col, text_col, shingle, seed)
+    chosen = labels.groupBy("component").agg(
+        F.min(F.struct(F.col("least").isNull(), "least", "fingerprint")).alias("k")).select(
+        F.col("k.least").alias("_llm_least"), F.col("k.fingerprint").alias("_llm_kept"))
+    marked = fingerprint_documents(docs, text_col, shingle, seed, "_llm_print")
+    stay = marked.join(chosen, (F.col("_llm_print") == F.col("_llm_kept"))
+                       & F.col(id_col).eqNullSafe(F.col("_llm_least")), "left_semi")
+    return stay.groupBy("_llm_print").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+
+
+def _label(docs, distance, id_col, text_col, shingle, seed):
+    """Fingerprints per row, and per fingerprint its smallest id and its component."""
     prints = cut_lineage(fingerprint_documents(docs.select(id_col, text_col), text_col, shingle, seed)
                          .select(id_col, "fingerprint"))
     smallest = prints.groupBy("fingerprint").agg(F.min(id_col).alias("least"))
-    groups = connected_components(fingerprint_links(prints, distance))
-    named = smallest.join(groups.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+    groups = connected_components(fingerprint_links(prints, distance)).withColumnRenamed("node", "fingerprint")
+    return prints, smallest.join(groups, "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
-    roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(roots, "component").select("fingerprint", "component_id")
-    return prints.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
 def _unsigned(mask: int) -> int:
