@@ -175,11 +175,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(b, pa.binary()), pa.array(t, pa.binary())],
                                              names=["doc_id", "bins", "tags"])
 
-    # both classes in equal numbers at most
-    share = F.lit(CHAIN_PIECES // 2)
-    turn = F.expr("row_number() OVER (PARTITION BY _llm_label ORDER BY xxhash64(doc_id), doc_id)")
-    parts = (train.withColumn("turn", turn).where(F.col("turn") <= share).drop("turn")
-             .mapInArrow(pieces, "doc_id long, bins binary, tags binary").collect())
+    # both classes in equal numbers at most; ids are chosen before texts are touched
+    light = train.select("doc_id", "_llm_label")
+    some = [light.where(F.col("_llm_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CHAIN_PIECES // 2)
+            for y in (0, 1)]
+    chosen = some[0].unionByName(some[1]).select("doc_id")
+    parts = train.join(F.broadcast(chosen), "doc_id").mapInArrow(pieces, "doc_id long, bins binary, tags binary").collect()
     parts.sort(key=lambda r: (-len(r["tags"]), r["doc_id"]))
     chain = ChainField(len(KINDS) * len(EDGES))
     if parts:
