@@ -1,13 +1,12 @@
 """Chains of segments through the ordered buckets of a scene.
 
-A scene's assignments come from its candidate pool, so the nodes of one scene are bounded
-by the pool size, whatever the number of scenes.
+Scene ids count within a project, so a scene is always meant by project and scene id. Its
+assignments come from its candidate pool, so the nodes of one scene are bounded by the pool
+size, whatever the number of scenes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from kinolake.settings import EDITOR, VELOCITY_CHANNELS
 # Paths examined per wanted chain, and widenings of the duration range.
 PATHS_PER_CHAIN, WIDENINGS, WIDENING_FACTOR = 10, 3, 1.2
 
+SCENE = ("project", "scene_id")
 LAYERS_PER_CUT = 4
 SEGMENT_FIELDS = ("start", "end", "video_file", "rating",
                   *[f"{c}_{k}" for c in VELOCITY_CHANNELS for k in ("entry_vel", "exit_vel", "std_deriv", "monotonicity")])
@@ -42,9 +42,9 @@ def scene_nodes(assignments: DataFrame, segments: DataFrame) -> DataFrame:
     Ranks come from the assignments alone: a bucket of only unknown segments keeps its
     rank and so disconnects the scene. A repeated assignment counts once, the last one.
     """
-    scene = Window.partitionBy("scene_id")
-    rows = assignments.repartition("scene_id")  # one exchange serves all three windows
-    repeated = Window.partitionBy("scene_id", "bucket_idx", "segment_id").orderBy(F.desc("seq"))
+    scene = Window.partitionBy(*SCENE)
+    rows = assignments.repartition(*SCENE)  # one exchange serves all three windows
+    repeated = Window.partitionBy(*SCENE, "bucket_idx", "segment_id").orderBy(F.desc("seq"))
     rows = rows.withColumn("_r", F.row_number().over(repeated)).filter("_r = 1").drop("_r", "seq")
     rows = rows.withColumn("rank", F.dense_rank().over(scene.orderBy("bucket_idx")))
     rows = rows.withColumn("last_rank", F.max("rank").over(scene))
@@ -53,11 +53,11 @@ def scene_nodes(assignments: DataFrame, segments: DataFrame) -> DataFrame:
 
 def bucket_edges(nodes: DataFrame, settings=EDITOR) -> DataFrame:
     """Pairs from each bucket to the next present bucket of the scene, with their cost."""
-    source = nodes.select("scene_id", (F.col("rank") + 1).alias("rank"), F.col("segment_id").alias("from_id"),
+    source = nodes.select(*SCENE, (F.col("rank") + 1).alias("rank"), F.col("segment_id").alias("from_id"),
                           F.col("bucket_idx").alias("from_bucket"),
                           *[F.col(f"{c}_exit_vel").alias(f"_out_{c}_exit_vel") for c in VELOCITY_CHANNELS])
-    pairs = nodes.join(source, ["scene_id", "rank"])
-    return pairs.select("scene_id", "rank", "last_rank", "from_id", "from_bucket", "segment_id", "bucket_idx",
+    pairs = nodes.join(source, [*SCENE, "rank"])
+    return pairs.select(*SCENE, "rank", "last_rank", "from_id", "from_bucket", "segment_id", "bucket_idx",
                         "start", "end", "video_file", step_cost("_out_", settings).alias("cost"))
 
 
@@ -76,17 +76,17 @@ def cheapest_paths(nodes: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
     layers = edges.agg(F.max("rank")).first()[0] or 1
     # a path is keyed by its current node; finished ones ride along until the last layer
     state = nodes.filter("rank = 1").select(
-        "scene_id", "last_rank", F.col("segment_id").alias("from_id"), F.lit(0.0).alias("total_cost"),
+        *SCENE, "last_rank", F.col("segment_id").alias("from_id"), F.lit(0.0).alias("total_cost"),
         (F.col("end") - F.col("start")).alias("total_duration"), F.array(_link(F.lit(0.0))).alias("links"))
-    best = Window.partitionBy("scene_id", "from_id").orderBy("total_cost", "_ids")
+    best = Window.partitionBy(*SCENE, "from_id").orderBy("total_cost", "_ids")
     ids = F.transform("links", lambda x: x["segment_id"])
     for rank in range(2, layers + 1):
         steps = edges.filter(F.col("rank") == rank).drop("last_rank", "from_bucket", "rank")
-        grown = state.join(steps, ["scene_id", "from_id"], "left")
+        grown = state.join(steps, [*SCENE, "from_id"], "left")
         grown = grown.filter((F.col("last_rank") < rank) | F.col("segment_id").isNotNull())
         moved = F.col("segment_id").isNotNull()
         state = grown.select(
-            "scene_id", "last_rank", F.coalesce("segment_id", "from_id").alias("from_id"),
+            *SCENE, "last_rank", F.coalesce("segment_id", "from_id").alias("from_id"),
             (F.col("total_cost") + F.coalesce("cost", F.lit(0.0))).alias("total_cost"),
             (F.col("total_duration") + F.coalesce(F.col("end") - F.col("start"), F.lit(0.0))).alias("total_duration"),
             F.when(moved, F.concat("links", F.array(_link(F.col("cost"))))).otherwise(F.col("links")).alias("links"))
@@ -94,7 +94,7 @@ def cheapest_paths(nodes: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
                  .filter(F.col("_r") <= keep).drop("_r", "_ids"))
         if rank % LAYERS_PER_CUT == 0 and rank < layers:
             state = cut_lineage(state)
-    full = Window.partitionBy("scene_id").orderBy("total_cost", "_ids")
+    full = Window.partitionBy(*SCENE).orderBy("total_cost", "_ids")
     done = state.filter(F.size("links") == F.col("last_rank")).drop("from_id", "last_rank").withColumn("_ids", ids)
     return done.withColumn("path_no", F.row_number().over(full)).filter(F.col("path_no") <= keep).drop("_ids")
 
@@ -105,20 +105,20 @@ def accept_chains(paths: DataFrame, targets: DataFrame, k: int = EDITOR.chains_p
     A range without any path is widened in steps around its middle; the first step that
     holds a path decides.
     """
-    rows = paths.join(targets, "scene_id")
+    rows = paths.join(targets, [*SCENE])
     middle, half = (F.col("min") + F.col("max")) / 2, (F.col("max") - F.col("min")) / 2
     duration = F.col("total_duration")
     level = F.when((duration >= F.col("min")) & (duration <= F.col("max")), F.lit(0))
     for step in range(1, WIDENINGS + 1):
         reach = half * WIDENING_FACTOR ** step
         level = level.when((duration >= middle - reach) & (duration <= middle + reach), F.lit(step))
-    scene = Window.partitionBy("scene_id")
+    scene = Window.partitionBy(*SCENE)
     rows = rows.withColumn("_level", level).filter("_level IS NOT NULL")
     rows = rows.withColumn("_best", F.min("_level").over(scene)).filter("_level = _best")
     rows = rows.withColumn("_n", F.row_number().over(scene.orderBy("path_no"))).filter(F.col("_n") <= k)
     rows = rows.withColumn("duration_delta", F.abs(duration - F.col("ideal")))
     rows = rows.withColumn("chain_no", F.row_number().over(scene.orderBy("duration_delta", "path_no")) - 1)
-    return rows.select("scene_id", "chain_no", "total_cost", "total_duration", "duration_delta", "links",
+    return rows.select(*SCENE, "chain_no", "total_cost", "total_duration", "duration_delta", "links",
                        F.lit("path").alias("origin"))
 
 
@@ -127,23 +127,23 @@ def greedy_chains(assignments: DataFrame, segments: DataFrame, targets: DataFram
 
     The winner is chosen before it is looked up, so an unknown winner leaves its bucket out.
     """
-    best = assignments.groupBy("scene_id", "bucket_idx").agg(
+    best = assignments.groupBy(*SCENE, "bucket_idx").agg(
         F.max_by(F.struct("segment_id", "narrative_score"), F.struct("narrative_score", -F.col("seq"))).alias("_b"))
-    best = best.select("scene_id", "bucket_idx", "_b.segment_id", "_b.narrative_score")
+    best = best.select(*SCENE, "bucket_idx", "_b.segment_id", "_b.narrative_score")
     rows = best.join(segments.select("segment_id", *SEGMENT_FIELDS), "segment_id")
-    order = Window.partitionBy("scene_id").orderBy("bucket_idx")
+    order = Window.partitionBy(*SCENE).orderBy("bucket_idx")
     rows = rows.withColumns({f"_out_{c}_exit_vel": F.lag(f"{c}_exit_vel").over(order) for c in VELOCITY_CHANNELS})
     first = F.col("_out_pan_exit_vel").isNull()
     rows = rows.withColumn("edge_cost", F.when(first, F.lit(0.0)).otherwise(step_cost("_out_", settings)))
     link = F.struct("bucket_idx", "segment_id", "start", "end", "video_file", "edge_cost")
-    chains = rows.groupBy("scene_id").agg(
+    chains = rows.groupBy(*SCENE).agg(
         F.sum("edge_cost").alias("total_cost"), F.sum(F.col("end") - F.col("start")).alias("total_duration"),
         F.array_sort(F.collect_list(link)).alias("_links"))
     ordered = F.transform("_links", lambda x: F.struct(
         x["segment_id"].alias("segment_id"), x["bucket_idx"].alias("bucket_idx"), x["start"].alias("start"),
         x["end"].alias("end"), x["video_file"].alias("video_file"), x["edge_cost"].alias("edge_cost")))
-    return chains.join(targets, "scene_id").select(
-        "scene_id", F.lit(0).alias("chain_no"), "total_cost", "total_duration",
+    return chains.join(targets, [*SCENE]).select(
+        *SCENE, F.lit(0).alias("chain_no"), "total_cost", "total_duration",
         F.abs(F.col("total_duration") - F.col("ideal")).alias("duration_delta"), ordered.alias("links"),
         F.lit("greedy").alias("origin"))
 
@@ -154,14 +154,14 @@ def find_chains(assignments: DataFrame, segments: DataFrame, targets: DataFrame,
     nodes = cut_lineage(scene_nodes(assignments, segments))
     paths = cheapest_paths(nodes, bucket_edges(nodes, settings), k * PATHS_PER_CHAIN)
     accepted = cut_lineage(accept_chains(paths, targets, k))
-    left = assignments.join(accepted.select("scene_id"), "scene_id", "left_anti")
+    left = assignments.join(accepted.select(*SCENE), [*SCENE], "left_anti")
     return accepted.unionByName(greedy_chains(left, segments, targets, settings))
 
 
 def chain_links(chains: DataFrame) -> DataFrame:
     """One row per link of each chain, with its place."""
-    return chains.select("scene_id", "chain_no", F.posexplode("links").alias("link_pos", "_l")).select(
-        "scene_id", "chain_no", "link_pos", "_l.*")
+    return chains.select(*SCENE, "chain_no", F.posexplode("links").alias("link_pos", "_l")).select(
+        *SCENE, "chain_no", "link_pos", "_l.*")
 
 
 def clamp_selection(index: Column, override: Column, chains: Column) -> Column:
@@ -172,19 +172,19 @@ def clamp_selection(index: Column, override: Column, chains: Column) -> Column:
 def selected_chain(scenes: DataFrame, chains: DataFrame, selections: DataFrame) -> DataFrame:
     """Chain chosen per scene: index out of range takes the first; no selection gives null.
 
-    ``selections``: scene_id, chain_index, override_index. ``chains``: scene_id, chain_no, …
+    ``selections``: project, scene_id, chain_index, override_index. ``chains``: project, scene_id, chain_no, …
     """
-    picked = selections.select("scene_id", F.coalesce("override_index", "chain_index").alias("_want"))
-    counted = chains.withColumn("_chains", F.count(F.lit(1)).over(Window.partitionBy("scene_id")))
-    rows = scenes.join(picked, "scene_id", "left").join(counted, "scene_id", "left")
+    picked = selections.select(*SCENE, F.coalesce("override_index", "chain_index").alias("_want"))
+    counted = chains.withColumn("_chains", F.count(F.lit(1)).over(Window.partitionBy(*SCENE)))
+    rows = scenes.join(picked, [*SCENE], "left").join(counted, [*SCENE], "left")
     want = F.col("_want")
     pick = F.when((want >= 0) & (want < F.col("_chains")), want).otherwise(F.lit(0))
     rows = rows.filter(F.col("chain_no").isNull() | (F.col("chain_no") == pick))
-    facts = {c: F.when(want.isNotNull(), F.col(c)) for c in chains.columns if c not in ("scene_id", "chain_no")}
+    facts = {c: F.when(want.isNotNull(), F.col(c)) for c in chains.columns if c not in (*SCENE, "chain_no")}
     facts["chain_no"] = F.when(want.isNotNull(), F.coalesce("chain_no", F.lit(0))).cast("int")
     return rows.withColumns(facts).drop("_want", "_chains")
 
 
-def only_scenes(df: DataFrame, flagged: Sequence | None) -> DataFrame:
-    """Restrict a reassembly to the flagged scenes; None redoes all."""
-    return df if flagged is None else df.filter(F.col("scene_id").isin(list(flagged)))
+def only_scenes(df: DataFrame, flagged: DataFrame | None) -> DataFrame:
+    """Restrict a reassembly to the flagged scenes (project, scene_id); None redoes all."""
+    return df if flagged is None else df.join(flagged.select(*SCENE).distinct(), [*SCENE], "left_semi")

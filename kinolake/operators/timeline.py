@@ -42,18 +42,18 @@ def swap_candidates(boundaries: DataFrame, candidates: DataFrame, velocities: Da
                     settings=EDITOR) -> DataFrame:
     """For each boundary the cheapest other entries of the incoming scene that lower its cost.
 
-    ``candidates``: scene_id, segment_id, ``rank`` (bounded pool of the scene).
+    ``candidates``: project, scene_id, segment_id, ``rank`` (bounded pool of the scene).
     """
     out = velocities.select(F.col("segment_id").alias("segment_id_a"), *[f"{c}_exit_vel" for c in VELOCITY_CHANNELS])
     into = velocities.select("segment_id", *[f"{c}_entry_vel" for c in VELOCITY_CHANNELS])
-    pool = candidates.select(F.col("scene_id").alias("scene_id_b"), "segment_id", "rank").join(into, "segment_id")
-    rows = boundaries.join(out, "segment_id_a").join(pool, "scene_id_b").filter(F.col("segment_id") != F.col("segment_id_b"))
+    pool = candidates.select("project", F.col("scene_id").alias("scene_id_b"), "segment_id", "rank").join(into, "segment_id")
+    rows = boundaries.join(out, "segment_id_a").join(pool, ["project", "scene_id_b"]).filter(F.col("segment_id") != F.col("segment_id_b"))
     cost = s.kinematic_cost([F.col(f"{c}_exit_vel") for c in VELOCITY_CHANNELS],
                             [F.col(f"{c}_entry_vel") for c in VELOCITY_CHANNELS], settings.w1, settings.w2)
     rows = rows.withColumn("swap_cost", cost).filter(F.col("swap_cost") < F.col("kinematic_cost"))
-    w = Window.partitionBy("scene_id_a", "scene_id_b").orderBy(F.round("swap_cost", 9), "rank")
+    w = Window.partitionBy("project", "scene_id_a", "scene_id_b").orderBy(F.round("swap_cost", 9), "rank")
     return (rows.withColumn("swap_no", F.row_number().over(w)).filter(F.col("swap_no") <= count)
-            .select("scene_id_a", "scene_id_b", "segment_id", "swap_cost", "swap_no"))
+            .select("project", "scene_id_a", "scene_id_b", "segment_id", "swap_cost", "swap_no"))
 
 
 def resolve_sources(entries: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
@@ -69,10 +69,10 @@ def resolve_sources(entries: DataFrame, manifest: DataFrame, root: str) -> DataF
 
 
 def stitch_actions(entries: DataFrame, boundaries: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entries with the action at their start, from decisions keyed by the scene pair."""
-    keyed = boundaries.join(decisions, ["scene_id_a", "scene_id_b"]).select(
-        F.col("scene_id_b").alias("scene_id"), F.col("segment_id_b").alias("segment_id"), "action", "transition_type")
-    return entries.join(keyed, ["scene_id", "segment_id"], "left").withColumn(
+    """Entries with the action at their start, from decisions keyed by project and scene pair."""
+    keyed = boundaries.join(decisions, ["project", "scene_id_a", "scene_id_b"]).select(
+        "project", F.col("scene_id_b").alias("scene_id"), F.col("segment_id_b").alias("segment_id"), "action", "transition_type")
+    return entries.join(keyed, ["project", "scene_id", "segment_id"], "left").withColumn(
         "stitch_action", s.stitch_action(F.col("action"), F.col("transition_type"))).drop("action", "transition_type")
 
 

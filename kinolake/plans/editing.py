@@ -16,7 +16,7 @@ from kinolake.sources.writers import save_versioned
 
 
 def assemble(scenes: DataFrame, assignments: DataFrame, segments: DataFrame, targets: DataFrame,
-             selections: DataFrame, settings=EDITOR, flagged: list | None = None) -> DataFrame:
+             selections: DataFrame, settings=EDITOR, flagged: DataFrame | None = None) -> DataFrame:
     """Scenes with their selected chain; scenes without a chain keep null links.
 
     Boundaries, entries and totals all start from the result, so it is written once.
@@ -39,8 +39,8 @@ class Timeline:
 def build_timeline(selected: DataFrame, segments: DataFrame, decisions: DataFrame, settings=EDITOR) -> Timeline:
     """Timeline of the selected chains: boundaries, stitch actions, positions and totals.
 
-    ``selected``: project, scene_id, scene_pos, links, total_cost. ``decisions``: scene_id_a,
-    scene_id_b, action, transition_type. With ``skip_stitching`` every entry is a cut.
+    ``selected``: project, scene_id, scene_pos, links, total_cost. ``decisions``: project,
+    scene_id_a, scene_id_b, action, transition_type. With ``skip_stitching`` every entry is a cut.
     """
     entries = selected.select("project", "scene_id", "scene_pos", F.posexplode("links").alias("link_pos", "_l")).select(
         "project", "scene_id", "scene_pos", "link_pos", "_l.*")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from kinolake.operators import assemble as a
 from kinolake.plans import editing
 from kinolake.registry.base import (ASSIGNMENTS_SQL, MULTIPLIER_SQL, PENALTY_SQL, SEGMENTS_SQL, assignments,
-                                    kinematic_sql, query, r6, rounded, segments, table)
+                                    kinematic_sql, query, r6, rounded, scene_key, segments, table)
 
 
 def targets(spark, sf):
     ideal = 10.0 + F.col("o_orderkey") % 15
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"), (ideal - 1.5).alias("min"),
+    return table(spark, sf, "orders").select(*scene_key("o_orderkey"), (ideal - 1.5).alias("min"),
                                              (ideal + 1.5).alias("max"), ideal.alias("ideal"))
 
 
@@ -50,20 +50,20 @@ GREEDY_SQL = f"""win AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION B
      list(segment_id ORDER BY bucket_idx) AS ids, list(cost ORDER BY bucket_idx) AS costs FROM stepped JOIN tgt USING (scene_id) GROUP BY scene_id)"""
 CHAINS_SQL = f"""{PATHS_SQL}, {GREEDY_SQL}, chains AS (SELECT *, 'path' AS origin FROM accepted UNION ALL
    SELECT *, 'greedy' FROM greedy WHERE scene_id NOT IN (SELECT scene_id FROM accepted))"""
-CHAIN_OUT = """scene_id, chain_no::INT AS chain_no, round(total_cost, 6) + 0.0 AS total_cost, round(total_duration, 6) + 0.0 AS total_duration, round(duration_delta, 6) + 0.0 AS duration_delta,
+CHAIN_OUT = """scene_id % 50 AS project, scene_id // 50 AS scene_id, chain_no::INT AS chain_no, round(total_cost, 6) + 0.0 AS total_cost, round(total_duration, 6) + 0.0 AS total_duration, round(duration_delta, 6) + 0.0 AS duration_delta,
    array_to_string(ids, '>') AS path, origin"""
 
 
 def chain_out(chains):
     path = F.array_join(F.transform("links", lambda x: x["segment_id"].cast("string")), ">")
-    return rounded(chains.select("scene_id", "chain_no", "total_cost", "total_duration", "duration_delta",
+    return rounded(chains.select("project", "scene_id", "chain_no", "total_cost", "total_duration", "duration_delta",
                                  path.alias("path"), "origin"), "total_cost", "total_duration", "duration_delta")
 
 
-@query("jn05_bucket_edges", f"WITH {EDGES_SQL} SELECT scene_id, from_id, from_bucket, segment_id, bucket_idx, round(cost, 6) + 0.0 AS cost FROM edges")
+@query("jn05_bucket_edges", f"WITH {EDGES_SQL} SELECT scene_id % 50 AS project, scene_id // 50 AS scene_id, from_id, from_bucket, segment_id, bucket_idx, round(cost, 6) + 0.0 AS cost FROM edges")
 def bucket_edges(spark, sf):
     edges = a.bucket_edges(a.scene_nodes(assignments(spark, sf), segments(spark, sf)))
-    return edges.select("scene_id", "from_id", "from_bucket", "segment_id", "bucket_idx", r6("cost").alias("cost"))
+    return edges.select("project", "scene_id", "from_id", "from_bucket", "segment_id", "bucket_idx", r6("cost").alias("cost"))
 
 
 @query("tk03_find_chains", f"WITH RECURSIVE {CHAINS_SQL} SELECT {CHAIN_OUT} FROM chains")
@@ -77,44 +77,44 @@ def greedy_chain(spark, sf):
 
 
 @query("tk05_path_to_chain", f"""WITH RECURSIVE {CHAINS_SQL}, l AS (SELECT scene_id, chain_no, unnest(ids) AS segment_id, unnest(costs) AS edge_cost, unnest(range(len(ids))) AS link_pos FROM chains)
-  SELECT scene_id, chain_no::INT AS chain_no, link_pos::INT AS link_pos, segment_id, round(edge_cost, 6) + 0.0 AS edge_cost, "start", "end", video_file FROM l JOIN segs USING (segment_id)""")
+  SELECT scene_id % 50 AS project, scene_id // 50 AS scene_id, chain_no::INT AS chain_no, link_pos::INT AS link_pos, segment_id, round(edge_cost, 6) + 0.0 AS edge_cost, "start", "end", video_file FROM l JOIN segs USING (segment_id)""")
 def path_to_chain(spark, sf):
     links = a.chain_links(a.find_chains(assignments(spark, sf), segments(spark, sf), targets(spark, sf)))
-    return links.select("scene_id", "chain_no", "link_pos", "segment_id", r6("edge_cost").alias("edge_cost"), "start", "end", "video_file")
+    return links.select("project", "scene_id", "chain_no", "link_pos", "segment_id", r6("edge_cost").alias("edge_cost"), "start", "end", "video_file")
 
 
 def selections(spark, sf):
     key = F.col("o_orderkey")
     return table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
-        key.alias("scene_id"), (key % 4).cast("int").alias("chain_index"),
+        *scene_key("o_orderkey"), (key % 4).cast("int").alias("chain_index"),
         F.when(key % 5 == 0, F.lit(1)).alias("override_index"))
 
 
 @query("tk06_selected_chain", """WITH c AS (SELECT l_orderkey AS scene_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS chain_no, count(*) AS links FROM lineitem GROUP BY l_orderkey, l_linenumber),
    n AS (SELECT scene_id, count(*) AS n FROM c GROUP BY scene_id), w AS (SELECT o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS want FROM orders),
    p AS (SELECT w.scene_id, want, n, CASE WHEN want < n THEN want WHEN want IS NOT NULL THEN 0 END AS pick FROM w LEFT JOIN n USING (scene_id))
-   SELECT p.scene_id, p.pick::INT AS chain_no, c.links, greatest(0, least(want, n - 1))::BIGINT AS clamped FROM p LEFT JOIN c ON c.scene_id = p.scene_id AND c.chain_no = p.pick""")
+   SELECT p.scene_id % 50 AS project, p.scene_id // 50 AS scene_id, p.pick::INT AS chain_no, c.links, greatest(0, least(want, n - 1))::BIGINT AS clamped FROM p LEFT JOIN c ON c.scene_id = p.scene_id AND c.chain_no = p.pick""")
 def selected_chain(spark, sf):
-    w = Window.partitionBy("scene_id").orderBy("l_linenumber")
-    chains = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id"), "l_linenumber").agg(
-        F.count("*").alias("links")).select("scene_id", (F.row_number().over(w) - 1).alias("chain_no"), "links")
-    scenes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"))
-    counts = chains.groupBy("scene_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*a.SCENE).orderBy("l_linenumber")
+    chains = table(spark, sf, "lineitem").groupBy(*scene_key("l_orderkey"), "l_linenumber").agg(
+        F.count("*").alias("links")).select(*a.SCENE, (F.row_number().over(w) - 1).alias("chain_no"), "links")
+    scenes = table(spark, sf, "orders").select(*scene_key("o_orderkey"))
+    counts = chains.groupBy(*a.SCENE).agg(F.count("*").alias("n"))
     sel = selections(spark, sf)
-    clamped = scenes.join(sel, "scene_id", "left").join(counts, "scene_id", "left").select(
-        "scene_id", a.clamp_selection(F.col("chain_index"), F.col("override_index"), F.col("n")).cast("bigint").alias("clamped"))
-    return a.selected_chain(scenes, chains, sel).join(clamped, "scene_id")
+    clamped = scenes.join(sel, [*a.SCENE], "left").join(counts, [*a.SCENE], "left").select(
+        *a.SCENE, a.clamp_selection(F.col("chain_index"), F.col("override_index"), F.col("n")).cast("bigint").alias("clamped"))
+    return a.selected_chain(scenes, chains, sel).join(clamped, [*a.SCENE])
 
 
 @query("pl05_assemble", f"""WITH RECURSIVE {CHAINS_SQL}, n AS (SELECT scene_id, count(*) AS n FROM chains GROUP BY scene_id),
    w AS (SELECT o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS want FROM orders),
    p AS (SELECT w.scene_id, CASE WHEN want < n THEN want WHEN want IS NOT NULL THEN 0 END AS pick FROM w LEFT JOIN n USING (scene_id))
-   SELECT p.scene_id, pick::INT AS chain_no, round(total_cost, 6) + 0.0 AS total_cost, array_to_string(ids, '>') AS path FROM p LEFT JOIN chains c ON c.scene_id = p.scene_id AND c.chain_no = p.pick""")
+   SELECT p.scene_id % 50 AS project, p.scene_id // 50 AS scene_id, pick::INT AS chain_no, round(total_cost, 6) + 0.0 AS total_cost, array_to_string(ids, '>') AS path FROM p LEFT JOIN chains c ON c.scene_id = p.scene_id AND c.chain_no = p.pick""")
 def assemble(spark, sf):
-    scenes = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"))
+    scenes = table(spark, sf, "orders").select(*scene_key("o_orderkey"))
     rows = editing.assemble(scenes, assignments(spark, sf), segments(spark, sf), targets(spark, sf), selections(spark, sf))
     path = F.array_join(F.transform("links", lambda x: x["segment_id"].cast("string")), ">")
-    return rows.select("scene_id", "chain_no", r6("total_cost").alias("total_cost"), path.alias("path"))
+    return rows.select("project", "scene_id", "chain_no", r6("total_cost").alias("total_cost"), path.alias("path"))
 
 
 @query("sc28_chain_blocks")
@@ -124,4 +124,4 @@ def chain_blocks(spark, sf):
     chains = a.find_chains(assignments(spark, sf), segments(spark, sf), targets(spark, sf))
     texts = F.transform("links", lambda x: d.link_text(x["bucket_idx"], x["segment_id"], x["video_file"]))
     lines = chains.withColumn("line", d.chain_line(F.col("chain_no"), F.col("total_cost"), F.col("total_duration"), texts))
-    return d.text_block(lines, ["scene_id"], "line", ["chain_no"], d.EMPTY_CHAINS)
+    return d.text_block(lines, [*a.SCENE], "line", ["chain_no"], d.EMPTY_CHAINS)

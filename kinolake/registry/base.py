@@ -132,10 +132,19 @@ def kinematic_sql(a: str, b: str) -> str:
             f"0.4 * (1 - {d} / ({nx} * {ny} + 1e-8)) + 0.3 * abs({nx} - {ny}) / (greatest({nx}, {ny}) + 1e-8) END")
 
 
+# orders as scenes of 50 projects; scene ids repeat from project to project
+PROJECTS = 50
+
+
+def scene_key(order: str) -> list[Column]:
+    key = F.col(order)
+    return [(key % PROJECTS).alias("project"), F.floor(key / PROJECTS).alias("scene_id")]
+
+
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.col("l_orderkey").alias("scene_id"), F.col("l_partkey").alias("segment_id"),
+        *scene_key("l_orderkey"), F.col("l_partkey").alias("segment_id"),
         F.col("l_linenumber").alias("bucket_idx"), (F.col("l_suppkey") * 100000000 + F.col("l_partkey")).alias("seq"),
         (1 - F.col("l_discount") * 5).alias("narrative_score"))
 

@@ -8,7 +8,7 @@ from kinolake.operators import ordering as o
 from kinolake.operators import timeline as tl
 from kinolake.plans import editing
 from kinolake.registry.assembly import CHAINS_SQL, assignments, selections, targets
-from kinolake.registry.base import SEGMENTS_SQL, kinematic_sql, query, rounded, segments, table
+from kinolake.registry.base import SEGMENTS_SQL, kinematic_sql, query, rounded, scene_key, segments, table
 
 # one scene per order of a supplier, its lines ordered by line number and part
 ENTRIES_SQL = f"""{SEGMENTS_SQL}, ent AS (SELECT l_suppkey AS project, l_orderkey AS scene_id, l_orderkey AS scene_pos, l_linenumber AS bucket_idx, l_partkey AS segment_id,
@@ -84,6 +84,12 @@ LINKED_SQL = f"""{SEGMENTS_SQL}, edge AS (SELECT l_orderkey AS scene_id, arg_min
     FROM sc JOIN segs a ON a.segment_id = l JOIN segs b ON b.segment_id = next_f)"""
 
 
+def owned_lines(spark, sf):
+    """Line items with the customer of their order as the project."""
+    owner = table(spark, sf, "orders").select(F.col("o_orderkey").alias("scene_id"), F.col("o_custkey").alias("project"))
+    return table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "scene_id").join(owner, "scene_id")
+
+
 def linked_scenes(spark, sf):
     link = F.struct("l_linenumber", F.col("l_partkey").alias("segment_id"))
     links = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id")).agg(F.array_sort(F.collect_list(link)).alias("links"))
@@ -99,13 +105,13 @@ def scene_boundaries(spark, sf):
     return rounded(boundaries(spark, sf), "kinematic_cost")
 
 
-@query("jn10_swap_candidates", f"""WITH {LINKED_SQL}, pool AS (SELECT l_orderkey AS scene_id, l_partkey AS segment_id, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL),
-  y AS (SELECT bnd.scene_id_a, bnd.scene_id_b, b.segment_id, p.rank, bnd.cost, {kinematic_sql('a', 'b')} AS swap FROM bnd JOIN pool p ON p.scene_id = bnd.scene_id_b AND p.segment_id <> bnd.segment_id_b
+@query("jn10_swap_candidates", f"""WITH {LINKED_SQL}, pool AS (SELECT o_custkey AS project, l_orderkey AS scene_id, l_partkey AS segment_id, min(l_linenumber) AS rank FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+  y AS (SELECT bnd.project, bnd.scene_id_a, bnd.scene_id_b, b.segment_id, p.rank, bnd.cost, {kinematic_sql('a', 'b')} AS swap FROM bnd JOIN pool p ON p.project = bnd.project AND p.scene_id = bnd.scene_id_b AND p.segment_id <> bnd.segment_id_b
      JOIN segs a ON a.segment_id = bnd.segment_id_a JOIN segs b ON b.segment_id = p.segment_id),
-  z AS (SELECT *, row_number() OVER (PARTITION BY scene_id_a, scene_id_b ORDER BY round(swap, 9), rank, segment_id) AS k FROM y WHERE swap < cost)
-  SELECT scene_id_a, scene_id_b, round(swap, 6) + 0.0 AS swap_cost, k::INT AS swap_no, segment_id FROM z WHERE k <= 3""")
+  z AS (SELECT *, row_number() OVER (PARTITION BY project, scene_id_a, scene_id_b ORDER BY round(swap, 9), rank, segment_id) AS k FROM y WHERE swap < cost)
+  SELECT project, scene_id_a, scene_id_b, round(swap, 6) + 0.0 AS swap_cost, k::INT AS swap_no, segment_id FROM z WHERE k <= 3""")
 def swap_candidates(spark, sf):
-    pool = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id"), F.col("l_partkey").alias("segment_id")).agg(
+    pool = owned_lines(spark, sf).groupBy("project", "scene_id", F.col("l_partkey").alias("segment_id")).agg(
         (F.min("l_linenumber") * 100000000 + F.col("l_partkey")).alias("rank"))
     return rounded(tl.swap_candidates(boundaries(spark, sf), pool, segments(spark, sf)), "swap_cost")
 
@@ -130,16 +136,16 @@ KIND_SQL = "CASE WHEN scene_id_b % 2 = 0 THEN 'dip_to_black' ELSE '' END"
 
 
 def decisions(b):
-    return b.select("scene_id_a", "scene_id_b", F.when(F.col("scene_id_b") % 3 == 0, "transition").otherwise("accept").alias("action"),
+    return b.select("project", "scene_id_a", "scene_id_b", F.when(F.col("scene_id_b") % 3 == 0, "transition").otherwise("accept").alias("action"),
                     F.when(F.col("scene_id_b") % 2 == 0, "dip_to_black").otherwise("").alias("transition_type"))
 
 
-@query("sc23_stitch_action", f"""WITH {LINKED_SQL} SELECT l_orderkey AS scene_id, l_linenumber, l_partkey AS segment_id, l_suppkey,
+@query("sc23_stitch_action", f"""WITH {LINKED_SQL} SELECT o_custkey AS project, l_orderkey AS scene_id, l_linenumber, l_partkey AS segment_id, l_suppkey,
    CASE WHEN scene_id_b IS NOT NULL AND {ACTION_SQL} = 'transition' THEN coalesce(nullif({KIND_SQL}, ''), 'dissolve') ELSE 'cut' END AS stitch_action
-   FROM lineitem LEFT JOIN bnd ON scene_id_b = l_orderkey AND segment_id_b = l_partkey""")
+   FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN bnd ON bnd.project = o_custkey AND scene_id_b = l_orderkey AND segment_id_b = l_partkey""")
 def stitch_action(spark, sf):
     b = boundaries(spark, sf)
-    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("scene_id"), "l_linenumber", F.col("l_partkey").alias("segment_id"), "l_suppkey")
+    e = owned_lines(spark, sf).select("project", "scene_id", "l_linenumber", F.col("l_partkey").alias("segment_id"), "l_suppkey")
     return tl.stitch_actions(e, b, decisions(b))
 
 
@@ -181,17 +187,18 @@ def boundary_lines(spark, sf):
 
 
 @query("pl06_stitch_and_build_timeline", f"""WITH RECURSIVE {CHAINS_SQL}, n AS (SELECT scene_id, count(*) AS n FROM chains GROUP BY scene_id),
-   w AS (SELECT o_custkey AS project, o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS want FROM orders),
+   w AS (SELECT o_orderkey % 50 AS project, o_orderkey AS scene_id, CASE WHEN o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE o_orderkey % 4 END END AS want FROM orders),
    sel AS (SELECT w.project, w.scene_id, c.ids FROM w LEFT JOIN n USING (scene_id) LEFT JOIN chains c ON c.scene_id = w.scene_id AND c.chain_no = CASE WHEN want < n THEN want WHEN want IS NOT NULL THEN 0 END),
    bn AS (SELECT *, ids[-1] AS l, lead(scene_id) OVER v AS nx, lead(ids[1]) OVER v AS nf FROM sel WINDOW v AS (PARTITION BY project ORDER BY scene_id)),
    fl AS (SELECT nx AS scene_id, nf AS segment_id FROM bn JOIN segs a ON a.segment_id = l JOIN segs b ON b.segment_id = nf WHERE {kinematic_sql('a', 'b')} > 0.6),
    ent AS (SELECT project, scene_id, unnest(ids) AS segment_id, unnest(range(len(ids))) AS link_pos FROM sel)
-   SELECT e.project, e.scene_id, e.segment_id, row_number() OVER (PARTITION BY e.project ORDER BY e.scene_id, link_pos) AS position, coalesce(nullif(s.rating, ''), 'good') AS quality_rating,
-     CASE WHEN fl.scene_id IS NOT NULL AND e.scene_id % 3 = 0 THEN CASE WHEN e.scene_id % 2 = 0 THEN 'dip_to_black' ELSE 'dissolve' END ELSE 'cut' END AS stitch_action
+   SELECT e.project, e.scene_id // 50 AS scene_id, e.segment_id, row_number() OVER (PARTITION BY e.project ORDER BY e.scene_id, link_pos) AS position, coalesce(nullif(s.rating, ''), 'good') AS quality_rating,
+     CASE WHEN fl.scene_id IS NOT NULL AND (e.scene_id // 50) % 3 = 0 THEN CASE WHEN (e.scene_id // 50) % 2 = 0 THEN 'dip_to_black' ELSE 'dissolve' END ELSE 'cut' END AS stitch_action
    FROM ent e JOIN segs s USING (segment_id) LEFT JOIN fl ON fl.scene_id = e.scene_id AND fl.segment_id = e.segment_id""")
 def stitch_and_build_timeline(spark, sf):
     g = segments(spark, sf)
-    chosen = editing.assemble(scene_list(spark, sf), assignments(spark, sf), g, targets(spark, sf), selections(spark, sf))
+    scenes = table(spark, sf, "orders").select(*scene_key("o_orderkey"), F.col("o_orderkey").alias("scene_pos"))
+    chosen = editing.assemble(scenes, assignments(spark, sf), g, targets(spark, sf), selections(spark, sf))
     made = tl.scene_boundaries(chosen, g)
     t = editing.build_timeline(chosen, g, decisions(made))
     return t.entries.select("project", "scene_id", "segment_id", "position", "quality_rating", "stitch_action")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kinolake.functions import scalars as s
 from kinolake.operators import assemble as a
+from kinolake.operators import timeline as tl
 from kinolake.settings import EditorSettings
 
 VEL = [f"{c}_{k}" for c in ("pan", "tilt", "zoom") for k in ("entry_vel", "exit_vel", "std_deriv", "monotonicity")]
@@ -23,7 +24,7 @@ def frames(spark, segments, assignments, targets):
     seg = spark.createDataFrame(pd.DataFrame(segments))
     asg = spark.createDataFrame(assignments, "scene_id long, segment_id string, bucket_idx int, narrative_score double, seq long")
     tgt = spark.createDataFrame(targets, "scene_id long, min double, max double, ideal double")
-    return asg, seg, tgt
+    return asg.withColumn("project", F.lit(7)), seg, tgt.withColumn("project", F.lit(7))
 
 
 def value(spark, column):
@@ -130,5 +131,29 @@ def test_selected_chain(spark):
     scenes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "scene_id long")
     chains = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d")], "scene_id long, chain_no int, name string")
     picks = spark.createDataFrame([(1, 0, 1), (2, 7, None), (4, 0, None)], "scene_id long, chain_index int, override_index int")
+    scenes, chains, picks = (x.withColumn("project", F.lit(7)) for x in (scenes, chains, picks))
     got = {r.scene_id: r.name for r in a.selected_chain(scenes, chains, picks).collect()}
     assert got == {1: "b", 2: "c", 3: None, 4: None}
+
+
+def test_projects_do_not_mix(spark):
+    segs = [segment(x) for x in ("p1a", "p1b", "p2a", "p2b")]
+    asg, seg, tgt = frames(spark, segs, [(1, "a", 0, 0.5, 1), (1, "b", 1, 0.5, 2)], [(1, 0.0, 100.0, 10.0)])
+    both = F.explode(F.array(F.lit(1), F.lit(2)))
+    asg = asg.withColumn("project", both).withColumn("segment_id", F.concat(F.lit("p"), "project", "segment_id"))
+    tgt = tgt.withColumn("project", both)
+    chains = a.find_chains(asg, seg, tgt)
+    got = sorted((r.project, [x.segment_id for x in r.links]) for r in chains.collect())
+    assert got == [(1, ["p1a", "p1b"]), (2, ["p2a", "p2b"])]
+    assert sorted((r.project, r.from_id, r.segment_id) for r in a.bucket_edges(a.scene_nodes(asg, seg)).collect()) == [
+        (1, "p1a", "p1b"), (2, "p2a", "p2b")]
+    greedy = sorted((r.project, [x.segment_id for x in r.links]) for r in a.greedy_chains(asg, seg, tgt).collect())
+    assert greedy == got
+    flagged = spark.createDataFrame([(2, 1)], "project int, scene_id long")
+    assert [r.project for r in a.only_scenes(chains, flagged).collect()] == [2]
+    entries = asg.select("project", "scene_id", "segment_id")
+    bounds = spark.createDataFrame([(1, 0, 1, "x", "p1a")], "project int, scene_id_a long, scene_id_b long, segment_id_a string, segment_id_b string")
+    says = spark.createDataFrame([(1, 0, 1, "transition", ""), (2, 0, 1, "transition", "dip_to_black")],
+                                 "project int, scene_id_a long, scene_id_b long, action string, transition_type string")
+    acts = {r.segment_id: r.stitch_action for r in tl.stitch_actions(entries, bounds, says).collect()}
+    assert acts == {"p1a": "dissolve", "p1b": "cut", "p2a": "cut", "p2b": "cut"}
