@@ -41,10 +41,10 @@ def mark_complete(manifest: DataFrame, finished: DataFrame, step: str, keys: Seq
     }).drop("completed_at", "new_hash")
 
 
-def entries_subset(df: DataFrame, identifier: str, wanted: Sequence | None) -> DataFrame:
-    """Rows whose identifier is listed, sorted by it; all rows for no list."""
+def entries_subset(df: DataFrame, identifier: str, wanted: Sequence | None, ordered: bool = True) -> DataFrame:
+    """Rows whose identifier is listed, all rows for no list; sorted by it unless the caller needs no order."""
     kept = df if wanted is None else df.filter(F.col(identifier).isin(list(wanted)))
-    return kept.orderBy(identifier)
+    return kept.orderBy(identifier) if ordered else kept
 
 
 def described_only(segments: DataFrame, descriptions: DataFrame, video_key: str) -> DataFrame:

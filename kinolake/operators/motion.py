@@ -288,7 +288,8 @@ def direction_histogram(flow: DataFrame, keys: Sequence[str], direction: str, ma
 def velocity_match(segments: DataFrame, reference: DataFrame, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """Segments scored by how their entry velocity continues the reference exit velocity.
 
-    ``reference`` has one row per series with ``*_exit_vel``. Null scores sort last.
+    ``reference`` has one row per series with ``*_exit_vel``. ``rank`` counts from 1 for the best
+    score (rounded to nine places, ties by segment id); null scores come last.
     """
     ref = reference.select(*keys, *[F.col(f"{c}_exit_vel").alias(f"_ref_{c}") for c in VELOCITY_CHANNELS])
     rows = segments.join(ref, list(keys), "left")
@@ -296,4 +297,6 @@ def velocity_match(segments: DataFrame, reference: DataFrame, keys: Sequence[str
     b = [F.col(f"{c}_entry_vel") for c in VELOCITY_CHANNELS]
     rows = rows.withColumns({"cosine_sim": s.velocity_cosine(a, b), "mag_penalty": s.magnitude_penalty(a, b)})
     rows = rows.withColumn("combined_score", F.col("cosine_sim") * F.col("mag_penalty"))
-    return rows.drop(*[f"_ref_{c}" for c in VELOCITY_CHANNELS])
+    rows = rows.withColumn("_down", F.coalesce(-F.round("combined_score", 9), F.lit(1e9)))
+    ranked = o.number_rows(rows, keys, ["_down", "segment_id"], o.value_bucket(F.col("_down")), "rank", None)
+    return ranked.withColumn("rank", F.col("rank") + 1).drop("_down", *[f"_ref_{c}" for c in VELOCITY_CHANNELS])

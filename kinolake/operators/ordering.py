@@ -2,7 +2,9 @@
 
 A window over ``partitionBy(video)`` sends every row of a video to one task, and a
 single video may hold a large part of the table. The primitives here cut each series
-into buckets of its ordering key. Totals per (series, bucket) are aggregated on the map
+into buckets of its ordering key: the caller's bucket, such as a day, cut further at
+quantiles of the key in that series, so that a bucket holds a small share of the series
+whatever the scale of its keys. Totals per (series, bucket) are aggregated on the map
 side, carried across buckets on that small table, and joined back on (series, bucket);
 the join and the window inside a bucket share one exchange of the rows. Statistics are
 attached with left joins: the rows are then never the side that is broadcast.
@@ -18,10 +20,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = 86400.0
 CHUNK_ROWS = 65536
 SINGLE_TASK_ROWS = 500_000
+CUTS = 128  # quantiles of a series; rows with equal keys are not cut apart
 
 
 def longest_series(df: DataFrame, keys: Sequence[str]) -> int:
@@ -55,6 +59,22 @@ def value_bucket(value: Column, per_octave: int = 256) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
+def with_bucket(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows with ``_bucket``, which never decreases along ``order`` and holds about 1/128 of a series at most.
+
+    Quantiles come from mergeable sketches of each series, so no series is sorted for them.
+    """
+    first = order[0]
+    if not isinstance(df.schema[first].dataType, (T.NumericType, T.TimestampType, T.DateType)):
+        return df.withColumn("_bucket", bucket)
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(first, shares, F.lit(2000))).alias("_cuts"))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(first))), F.lit(0))
+    return (df.join(cuts, list(keys), "left")
+            .withColumn("_bucket", F.struct(bucket.alias("whole"), F.when(F.col(first).isNull(), -1).otherwise(place).alias("part")))
+            .drop("_cuts"))
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
                   measures: dict[str, Column], totals: dict[str, str] | None = None,
                   longest: int | None = None) -> DataFrame:
@@ -72,7 +92,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], buck
             "*", *[F.coalesce(F.sum(measure).over(earlier), whole[name] * 0).alias(name)
                    for name, measure in measures.items()],
             *[whole[name].alias(total) for name, total in totals.items()])
-    rows = df.withColumn("_bucket", bucket)
+    rows = with_bucket(df, keys, order, bucket)
     for name, measure in measures.items():
         rows = rows.withColumn(f"_m_{name}", measure)
     sums = rows.groupBy(*keys, "_bucket").agg(
@@ -139,7 +159,7 @@ def surrounding(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(last),
                          F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(following))
-    rows = df.withColumn("_bucket", bucket).withColumn("_v", value)
+    rows = with_bucket(df, keys, order, bucket).withColumn("_v", value)
     place = F.struct(*[F.col(c) for c in order])
     known = F.when(F.col("_v").isNotNull(), place)
     edges = rows.groupBy(*keys, "_bucket").agg(
@@ -159,6 +179,29 @@ def surrounding(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket
                    F.col("_next")).alias(following))
 
 
+def range_join(rows: DataFrame, spans: DataFrame, keys: Sequence[str], at: str, start: str, end: str,
+               inside: Column | None = None) -> DataFrame:
+    """Rows with the columns of every span of their series that holds ``at``; spans may overlap.
+
+    A span of size 2^(k-1) to 2^k is listed under the at most three buckets of width 2^k that it touches,
+    and a row looks up one bucket per size class of its series. Of spans that do not overlap, three
+    at most lie in one bucket, so the pairs before the filter grow with the rows alone, whatever the
+    spans' sizes and number. ``inside`` replaces ``start <= at < end``.
+    """
+    keys = list(keys)
+    size = F.col(end) - F.col(start)
+    level = F.when(size > 0, F.ceil(F.log2(size))).otherwise(F.lit(0)).cast("int")
+    width = F.pow(F.lit(2.0), F.col("_level"))
+    listed = spans.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_level", level)
+    levels = listed.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    listed = listed.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    asked = rows.join(levels, keys).withColumn("_level", F.explode("_levels")).drop("_levels")
+    asked = asked.withColumn("_bucket", F.floor(F.col(at) / width))
+    if inside is None:
+        inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    return asked.join(listed, [*keys, "_level", "_bucket"]).filter(inside).drop("_level", "_bucket")
+
+
 def rank_groups(df: DataFrame, keys: Sequence[str], value: str,
                 aggregates: Sequence[Column] = (), longest: int | None = None) -> DataFrame:
     """One row per distinct value of a series: its count and the count of smaller values.

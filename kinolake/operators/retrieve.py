@@ -241,27 +241,29 @@ def fill_gaps(pools: DataFrame, scenes: DataFrame, segments: DataFrame, minimum:
 
 
 def _take_in_order(lists: DataFrame, gaps: DataFrame, project: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """Scenes choose one after another from their ranked lists (one small group per project)."""
-    rows = lists.join(gaps, [project, "scene_id"])
-    schema = T.StructType([*rows.schema.fields, T.StructField("_short", T.BooleanType())])
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["scene_pos", "rank"])
-        used, keep, short = set(), [], []
-        for _, mine in pdf.groupby("scene_pos", sort=True):
-            missing = int(mine["needed"].iloc[0])
-            for at, segment in zip(mine.index, mine["segment_id"]):
-                if missing and segment not in used:
-                    used.add(segment)
-                    keep.append(at)
-                    missing -= 1
-            if missing and len(mine) >= length:
-                short.append(mine.index[0])
-        marked = pdf.loc[keep].assign(_short=False)
-        return pd.concat([marked, pdf.loc[short].assign(_short=True)])
-
-    taken = cut_lineage(rows.groupBy(project).applyInPandas(choose, schema))
-    return taken.filter("NOT _short").drop("_short", "needed"), taken.filter("_short")
+    """Scenes choose one after another from their ranked lists, in rounds of proposals.
+
+    In a round every scene proposes its best open entries, as many as it needs, and each segment
+    holds the earliest scene; the other proposals are struck off. A segment's holder can only move to
+    an earlier scene, so struck entries never come back, and when a round strikes nothing the
+    proposals are what choosing in scene order gives. No round brings a project together.
+    """
+    rows = cut_lineage(lists.join(gaps, [project, "scene_id"]))
+    scene = Window.partitionBy(project, "scene_id").orderBy("rank")  # one ranked list of bounded length
+    while True:
+        asked = rows.withColumn("_turn", F.row_number().over(scene)).filter(F.col("_turn") <= F.col("needed")).drop("_turn")
+        holders = asked.groupBy(project, "segment_id").agg(F.min("scene_pos").alias("_holder"))
+        struck = cut_lineage(asked.join(holders, [project, "segment_id"]).filter("scene_pos > _holder")
+                             .select(project, "scene_id", "segment_id"))
+        if struck.isEmpty():
+            break
+        rows = cut_lineage(rows.join(struck, [project, "scene_id", "segment_id"], "left_anti"))
+    taken = cut_lineage(asked)
+    counts = taken.groupBy(project, "scene_id").agg(F.count(F.lit(1)).alias("_got"))
+    offered = lists.groupBy(project, "scene_id").agg(F.count(F.lit(1)).alias("_offered"))
+    short = (gaps.join(offered, [project, "scene_id"]).join(counts, [project, "scene_id"], "left")
+             .filter((F.coalesce("_got", F.lit(0)) < F.col("needed")) & (F.col("_offered") >= length)))
+    return taken.select(*lists.columns), short
 
 
 def segments_per_video(segments: DataFrame) -> DataFrame:
@@ -370,7 +372,8 @@ def select_keyframes(vectors: DataFrame, keys: Sequence[str], count: int = 3, ve
     """Up to ``count`` diverse rows of each numbered series, starting from the middle one.
 
     Each round takes the row whose least distance to the chosen ones is largest, the first
-    on a tie; a round is one aggregate per series. Short series keep all rows.
+    on a tie; a round is one aggregate per series, and its choice is written, so a later
+    round reads the rows once more but no earlier round. Short series keep all rows.
     """
     keys = list(keys)
     pick = F.struct("pos", vector)
@@ -383,7 +386,7 @@ def select_keyframes(vectors: DataFrame, keys: Sequence[str], count: int = 3, ve
         rows = rows.withColumns({"_d": F.least("_d", F.round(gap, TIE_DIGITS)),
                                  "_used": F.col("_used") | (F.col("pos") == F.col("_s.pos"))}).drop("_s")
         best = F.struct("_d", -F.col("pos"))
-        seed = rows.filter("NOT _used").groupBy(*keys).agg(F.max_by(pick, best).alias("_s"))
+        seed = cut_lineage(rows.filter("NOT _used").groupBy(*keys).agg(F.max_by(pick, best).alias("_s")))
         chosen = chosen.unionByName(seed.select(*keys, F.col("_s.pos").alias("pos")))
     long = vectors.filter(F.col("n") > count).join(chosen, [*keys, "pos"], "left_semi")
     return vectors.filter(F.col("n") <= count).unionByName(long)

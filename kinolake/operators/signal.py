@@ -295,23 +295,17 @@ def scene_edges(bounds: DataFrame, extent: DataFrame, keys: Sequence[str] = KEYS
 
 def frames_to_intervals(frames: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS,
                         time: str = "timestamp", start: str = "start_time", end: str = "end_time",
-                        closed_last: bool = False, width: float = o.DAY) -> DataFrame:
-    """Samples with the interval that contains them, ``start <= time < end``.
+                        closed_last: bool = False) -> DataFrame:
+    """Samples with every interval that contains them, ``start <= time < end``.
 
-    Both sides meet on (series, time bucket); an interval is listed under the buckets it
-    touches. ``closed_last`` also takes samples at the end of a series' last interval.
+    ``closed_last`` also takes samples at the end of a series' last interval.
     """
-    spans = intervals
-    ends = F.col(time) < F.col(end)
-    if closed_last:
-        last = intervals.groupBy(*keys).agg(F.max(end).alias("_final"))
-        spans = spans.join(last, list(keys))
-        ends = ends | ((F.col(time) == F.col(end)) & (F.col(end) == F.col("_final")))
-    spans = spans.withColumn("_bucket", F.explode(F.sequence(
-        F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    rows = frames.withColumn("_bucket", o.time_bucket(F.col(time), width))
-    joined = rows.join(spans, [*keys, "_bucket"]).filter((F.col(time) >= F.col(start)) & ends)
-    return joined.drop("_bucket", "_final")
+    if not closed_last:
+        return o.range_join(frames, intervals, keys, time, start, end)
+    last = intervals.groupBy(*keys).agg(F.max(end).alias("_final"))
+    final = (F.col(time) == F.col(end)) & (F.col(end) == F.col("_final"))
+    inside = (F.col(time) >= F.col(start)) & ((F.col(time) < F.col(end)) | final)
+    return o.range_join(frames, intervals.join(last, list(keys)), keys, time, start, end, inside).drop("_final")
 
 
 def assign_by_boundaries(samples: DataFrame, bounds: DataFrame, keys: Sequence[str] = KEYS,

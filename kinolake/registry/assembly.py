@@ -117,7 +117,13 @@ def assemble(spark, sf):
     return rows.select("project", "scene_id", "chain_no", r6("total_cost").alias("total_cost"), path.alias("path"))
 
 
-@query("sc28_chain_blocks")
+@query("sc28_chain_blocks", f"""WITH RECURSIVE {CHAINS_SQL}, places AS (SELECT scene_id, rank - 1 AS pos, bucket_idx, 'path' AS origin FROM ranks
+     UNION ALL SELECT scene_id, row_number() OVER (PARTITION BY scene_id ORDER BY bucket_idx) - 1, bucket_idx, 'greedy' FROM won),
+   links AS (SELECT scene_id, chain_no, total_cost, total_duration, origin, unnest(ids) AS segment_id, unnest(range(len(ids))) AS pos FROM chains),
+   lines AS (SELECT scene_id, chain_no, chain_no || ' | cost=' || printf('%.3f', total_cost) || ' | ' || printf('%.1f', total_duration) || 's | '
+       || string_agg('[b' || bucket_idx || '] ' || segment_id || ' (' || coalesce(substr(video_file, 1, 60), '') || ')', ' → ' ORDER BY pos) AS line
+     FROM links JOIN places USING (scene_id, pos, origin) JOIN segs USING (segment_id) GROUP BY scene_id, chain_no, total_cost, total_duration)
+   SELECT scene_id % 50 AS project, scene_id // 50 AS scene_id, string_agg(line, chr(10) ORDER BY chain_no) AS text FROM lines GROUP BY lines.scene_id""")
 def chain_blocks(spark, sf):
     """Candidate chains of each scene as one text (at most five lines)."""
     from kinolake.operators import describe as d

@@ -110,8 +110,8 @@ def step_current(spark, sf):
    UNION ALL SELECT o_orderkey, o_orderpriority, 'all' FROM orders""")
 def entries_subset(spark, sf):
     o = orders(spark, sf).select("o_orderkey", "o_orderpriority")
-    listed = c.entries_subset(o, "o_orderpriority", ["1-URGENT", "5-LOW"]).withColumn("mode", F.lit("listed"))
-    return listed.unionByName(c.entries_subset(o, "o_orderkey", None).withColumn("mode", F.lit("all")))
+    listed = c.entries_subset(o, "o_orderpriority", ["1-URGENT", "5-LOW"], ordered=False).withColumn("mode", F.lit("listed"))
+    return listed.unionByName(c.entries_subset(o, "o_orderkey", None, ordered=False).withColumn("mode", F.lit("all")))
 
 
 @query("jn02_described_only", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
@@ -176,9 +176,9 @@ def union_segments(spark, sf):
 
 
 @query("st04_merge_results", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS generation,
-   CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+   CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders""")
 def merge_results(spark, sf):
     o = orders(spark, sf)
-    old = o.filter("o_orderstatus IN ('F', 'O')").select("o_orderkey", F.lit("old").alias("generation"), F.col("o_totalprice").alias("v"))
+    old = o.select("o_orderkey", F.lit("old").alias("generation"), F.col("o_totalprice").alias("v"))
     new = o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("new").alias("generation"), (F.col("o_totalprice") * 2).alias("v"))
     return c.merge_results(old, new, ["o_orderkey"])

@@ -246,16 +246,17 @@ def quality_bands(spark, sf):
 
 @query("jn12_velocity_match", f"""WITH {SEGMENTS_SQL}, ref AS (SELECT source_video, pan_exit_vel AS a, tilt_exit_vel AS b, zoom_exit_vel AS c FROM (SELECT *,
      row_number() OVER (PARTITION BY source_video ORDER BY segment_id) AS rn FROM segs) WHERE rn = 1),
-  n AS (SELECT segment_id, sqrt(a * a + b * b + c * c) AS na, sqrt(pan_entry_vel ** 2 + tilt_entry_vel ** 2 + zoom_entry_vel ** 2) AS nb,
+  n AS (SELECT segment_id, source_video, sqrt(a * a + b * b + c * c) AS na, sqrt(pan_entry_vel ** 2 + tilt_entry_vel ** 2 + zoom_entry_vel ** 2) AS nb,
      a * pan_entry_vel + b * tilt_entry_vel + c * zoom_entry_vel AS d FROM segs JOIN ref USING (source_video)),
-  s AS (SELECT segment_id, CASE WHEN na * nb >= 1e-9 THEN d / (na * nb) END AS cs, CASE WHEN na >= 1e-9 AND nb >= 1e-9 THEN exp(-abs(ln(nb / na))) END AS mp FROM n)
-  SELECT segment_id, round(cs, 6) + 0.0 AS cosine_sim, round(mp, 6) + 0.0 AS mag_penalty, round(cs * mp, 6) + 0.0 AS combined_score FROM s""")
+  s AS (SELECT segment_id, source_video, CASE WHEN na * nb >= 1e-9 THEN d / (na * nb) END AS cs, CASE WHEN na >= 1e-9 AND nb >= 1e-9 THEN exp(-abs(ln(nb / na))) END AS mp FROM n)
+  SELECT segment_id, round(cs, 6) + 0.0 AS cosine_sim, round(mp, 6) + 0.0 AS mag_penalty, round(cs * mp, 6) + 0.0 AS combined_score,
+     row_number() OVER (PARTITION BY source_video ORDER BY round(cs * mp, 9) DESC NULLS LAST, segment_id) AS rank FROM s""")
 def velocity_match(spark, sf):
     g = segments(spark, sf)
     out = F.struct(*[f"{c}_exit_vel" for c in VELOCITY_CHANNELS])
     ref = g.groupBy("source_video").agg(F.min_by(out, "segment_id").alias("r")).select("source_video", "r.*")
     rows = m.velocity_match(g, ref, ["source_video"])
-    return rounded(rows.select("segment_id", "cosine_sim", "mag_penalty", "combined_score"),
+    return rounded(rows.select("segment_id", "cosine_sim", "mag_penalty", "combined_score", "rank"),
                    "cosine_sim", "mag_penalty", "combined_score")
 
 

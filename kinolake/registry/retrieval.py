@@ -94,16 +94,34 @@ def unassigned(spark, sf):
     return rt.unassigned(segments(spark, sf), pools).select("segment_id")
 
 
-@query("tk02_fill_gaps")
+# scenes take one after another: a recursive walk with the list of used segments
+GAPS_SQL = f"""{FEW_SQL}, sized AS (SELECT i.vec_id AS scene, count(p.segment_id) AS size FROM items i LEFT JOIN pool p ON p.scene = i.vec_id GROUP BY i.vec_id),
+  gaps AS (SELECT scene, 3 - size AS needed, row_number() OVER (ORDER BY scene) AS i FROM sized WHERE size < 3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY round(score, 9) DESC, segment_id) AS place FROM scored
+     WHERE segment_id NOT IN (SELECT segment_id FROM pool) AND scene IN (SELECT scene FROM gaps)),
+  lists AS (SELECT g.i, g.scene, g.needed, list(r.segment_id ORDER BY place) AS l FROM gaps g JOIN ranked r USING (scene) GROUP BY ALL),
+  walk(i, used, scene, got) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] UNION ALL
+     SELECT i, list_concat(used, picked), scene, picked FROM (SELECT w.used, l.i, l.scene, [s FOR s IN l.l IF NOT list_contains(w.used, s)][1:l.needed] AS picked
+       FROM walk w JOIN lists l ON l.i = w.i + 1) x),
+  added AS (SELECT scene, unnest(got) AS segment_id FROM walk WHERE scene IS NOT NULL)"""
+SCORES_SQL = """round(emb, 6) + 0.0 AS embedding_score, round(kw, 6) + 0.0 AS keyword_score, round(score, 6) + 0.0 AS combined_score"""
+
+
+@query("tk02_fill_gaps", f"""WITH RECURSIVE {GAPS_SQL} SELECT 's' || scene AS scene_id, segment_id, {SCORES_SQL} FROM added JOIN ranked USING (scene, segment_id)""")
 def fill_gaps(spark, sf):
     pools = rt.resolve_contested(candidates(spark, sf, 3))
-    return rt.fill_gaps(pools, scenes(spark, sf), segments(spark, sf)).drop("project")
+    added = rt.fill_gaps(pools, scenes(spark, sf), segments(spark, sf))
+    return rounded(added.select("scene_id", "segment_id", "embedding_score", "keyword_score", "combined_score"),
+                   "embedding_score", "keyword_score", "combined_score")
 
 
-@query("pl04_candidate_pools")
+@query("pl04_candidate_pools", f"""WITH RECURSIVE {GAPS_SQL} SELECT 's' || scene AS scene_id, segment_id, {SCORES_SQL} FROM added JOIN ranked USING (scene, segment_id)
+  UNION ALL SELECT 's' || scene, segment_id, {SCORES_SQL} FROM pool""")
 def pools(spark, sf):
     settings = replace(EDITOR, candidates_per_scene=3)
-    return candidate_pools(scenes(spark, sf), segments(spark, sf), settings).pools.drop("project")
+    made = candidate_pools(scenes(spark, sf), segments(spark, sf), settings).pools
+    return rounded(made.select("scene_id", "segment_id", "embedding_score", "keyword_score", "combined_score"),
+                   "embedding_score", "keyword_score", "combined_score")
 
 
 @query("jn03_lookup", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type <> 'SMALL'""")

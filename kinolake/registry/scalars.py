@@ -64,13 +64,13 @@ def jaccard(spark, sf):
 
 
 @query("sc05_total_cost", f"""WITH {SEGMENTS_SQL}, {ASSIGNMENTS_SQL}
-SELECT scene_id, segment_id, bucket_idx, seq, round({MULTIPLIER_SQL} * ({kinematic_sql('s', 's')} + {PENALTY_SQL}
+SELECT scene_id % 50 AS project, scene_id // 50 AS scene_id, segment_id, bucket_idx, seq, round({MULTIPLIER_SQL} * ({kinematic_sql('s', 's')} + {PENALTY_SQL}
   + 0.3 * (1 - narrative_score)), 6) + 0.0 AS cost FROM asg JOIN segs s USING (segment_id)""")
 def total_cost(spark, sf):
     rows = assignments(spark, sf).join(segments(spark, sf), "segment_id")
     cost = s.total_cost(s.kinematic_cost(cols(EXIT), cols(ENTRY)), s.penalty_from_stats(cols(STD), cols(MONO)),
                         F.col("narrative_score"), F.col("rating"))
-    return rows.select("scene_id", "segment_id", "bucket_idx", "seq", r6(cost).alias("cost"))
+    return rows.select("project", "scene_id", "segment_id", "bucket_idx", "seq", r6(cost).alias("cost"))
 
 
 @query("sc06_vector_measures", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v,

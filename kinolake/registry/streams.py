@@ -41,7 +41,7 @@ def register(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("ss03_stream_step_status", """SELECT user_id AS video_id, arg_max(event_type, ts) AS current_step, epoch_us(max(ts)) AS updated_us, bool_or(event_type = 'purchase') AS ready FROM events GROUP BY user_id""")
+@query("ss03_stream_step_status", """SELECT user_id AS video_id, replace(arg_max(CASE WHEN event_type = 'purchase' THEN 'described' ELSE event_type END, struct_pack(a := ts, b := CASE WHEN event_type = 'purchase' THEN 'described' ELSE event_type END)), 'described', 'purchase') AS current_step, epoch_us(max(ts)) AS updated_us, bool_or(event_type = 'purchase') AS ready FROM events GROUP BY user_id""")
 def step_status(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.timestamp_micros(micros("ts")).alias("ts"),
                                           F.when(F.col("event_type") == "purchase", "described").otherwise(F.col("event_type")).alias("step"))

@@ -71,13 +71,13 @@ def stream_register(files: DataFrame, manifest_path: str, key: str, order: str,
 
 
 def stream_step_status(events: DataFrame, lateness: str | None = None) -> DataFrame:
-    """Latest completed step, number of distinct steps and readiness per video.
+    """Latest completed step (of equal times the last by name) and readiness per video.
 
     ``events``: video_id, step, ts. Use update mode; state is one row per video.
     """
     rows = events.withWatermark("ts", lateness) if lateness else events
     return rows.groupBy("video_id").agg(
-        F.max_by("step", "ts").alias("current_step"), F.max("ts").alias("updated_at"),
+        F.max_by("step", F.struct("ts", "step")).alias("current_step"), F.max("ts").alias("updated_at"),
         F.bool_or(F.col("step") == "described").alias("ready"))
 
 

@@ -150,8 +150,8 @@ def test_interval_join_is_half_open(samples):
     _, df = samples
     spans = df.groupBy("video_id").agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"))
     spans = spans.withColumn("scene_id", F.lit(0))
-    inside = sg.frames_to_intervals(df, spans, width=1.5).groupBy("video_id").count().toPandas()
-    closed = sg.frames_to_intervals(df, spans, closed_last=True, width=1.5).groupBy("video_id").count().toPandas()
+    inside = sg.frames_to_intervals(df, spans).groupBy("video_id").count().toPandas()
+    closed = sg.frames_to_intervals(df, spans, closed_last=True).groupBy("video_id").count().toPandas()
     assert dict(zip(inside.video_id, inside["count"])) == {v: n - 1 for v, n in LENGTHS.items() if n > 1}
     assert dict(zip(closed.video_id, closed["count"])) == LENGTHS
 
@@ -167,3 +167,19 @@ def test_cross_channel_of_constant_channels(spark):
                                  "video_id int, pan double, tilt double, zoom double, camera_magnitude double")
     got = m.cross_channel(rows, ["video_id"]).first()
     assert got.dominant_axis == "tilt" and got.pan_tilt_corr is None
+
+
+def test_range_join_is_exact_and_linear(spark):
+    rng = np.random.default_rng(5)
+    edges = np.concatenate([[0.0], np.cumsum(rng.choice([0.01, 0.3, 2.0, 40.0], size=400))])
+    spans = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    spans += [(1, 900, 5.0, 300.0), (1, 901, 7.0, 7.0), (2, 0, -3.0, 1.0), (1, 902, None, 4.0)]
+    rows = [(1, float(t)) for t in rng.uniform(0, edges[-1], 3000)] + [(1, float(t)) for t in edges[:50]] + [(2, -3.0), (2, 1.0), (3, 0.0)]
+    frames = spark.createDataFrame(rows, "video_id int, timestamp double")
+    intervals = spark.createDataFrame(spans, "video_id int, scene_id int, start_time double, end_time double")
+    got = sorted((r.video_id, r.timestamp, r.scene_id) for r in sg.frames_to_intervals(frames, intervals).collect())
+    want = sorted((v, t, i) for v, t in rows for w, i, a, b in spans if v == w and a is not None and a <= t < b)
+    assert got == want
+    before = o.range_join(frames, intervals.filter("scene_id < 900"), ["video_id"], "timestamp", "start_time", "end_time", F.lit(True))
+    levels = len({int(np.ceil(np.log2(b - a))) for _, i, a, b in spans if i < 900})
+    assert before.count() <= 3 * levels * len(rows)

@@ -1,5 +1,6 @@
 """Streams against their batch forms; the registry and its SQL on the smallest tables."""
 
+import re
 import os
 from datetime import datetime
 
@@ -46,11 +47,13 @@ def test_registry_is_complete():
     assert set(oracles) <= set(queries)
     assert all(callable(q) for q in queries.values())
     # queries without SQL: iterative searches and projections
-    assert set(queries) - set(oracles) == {
+    # the training-data operators are optional and have tests of their own
+    own = {q for q in queries if q != "pipeline" and not re.match(r"op\d+_", q)}
+    assert own - set(oracles) == {
         "wn09_find_peaks", "wn10_change_points_l1", "wn10_change_points_l2", "wn10_change_points_rbf",
         "wn11_kernel_change_points", "wn12_trajectory_boundaries", "wn13_build_segments", "wn15_subsegments",
-        "ag17_penalty_sweep", "tk02_fill_gaps", "sc32_pca", "sc28_chain_blocks", "pl01_segment_videos",
-        "pl02_analyse_scenes", "pl02_secondary_boundaries", "pl03_analyse_trajectory", "pl04_candidate_pools"}
+        "ag17_penalty_sweep", "sc32_pca", "pl01_segment_videos",
+        "pl02_analyse_scenes", "pl02_secondary_boundaries", "pl03_analyse_trajectory"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
