@@ -49,10 +49,19 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, count: int) -> np.ndarray:
-    out = np.full(max(count, 1), base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``count`` powers of an odd base; kept, as every chunk of text needs them."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < count:
+        out = np.full(max(count, 1), base, np.uint64)
+        out[0] = 1
+        known = np.cumprod(out, dtype=np.uint64)
+        if count <= 1 << 21:
+            _POWERS[base] = known
+    return known[:max(count, 1)]
 
 
 def group_bounds(sorted_values: np.ndarray) -> np.ndarray:

@@ -55,15 +55,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     blocks = block_count(docs, F.col(text_col), block_bytes)
     placed = in_blocks(docs, id_col, blocks)
 
-    def prepared(table):
+    def prepared(table, inner=False):
         texts = utf8(table[text_col])
         ids = table[id_col].cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
         order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         texts = [texts[i] for i in order]
-        return order, texts, _fragments(texts, length)
+        return order, texts, _fragments(texts, length, inner)
 
     def announce(table: pa.Table) -> pa.Table:
-        _, texts, found = prepared(table)
+        _, texts, found = prepared(table, inner=True)
         key, content, lead, several = _contents(texts, found, length)
         several, twice = several.astype(np.uint8), found[4][lead].astype(np.uint8)
         shards = shard_of(mix(key[lead]), blocks)  # keys are minima, so not spread by themselves
@@ -253,15 +253,18 @@ def _string_matches(parts):
         yield b, (at[mine], start[mine])
 
 
-def _fragments(texts: list[bytes], length: int):
-    """Maximal runs of string starts with one key: document, first and last start, key, key seen twice."""
+def _fragments(texts: list[bytes], length: int, inner: bool):
+    """Maximal runs of string starts with one key: document, first and last start, key, key seen twice.
+
+    The last is only worked out where ``inner`` is set.
+    """
     parts, first = [], 0
     while first < len(texts):
         last, size = first, 0
         while last < len(texts) and (last == first or size + len(texts[last]) < CHUNK):
             size += len(texts[last])
             last += 1
-        parts.append(_fragment_chunk(texts[first:last], first, length))
+        parts.append(_fragment_chunk(texts[first:last], first, length, inner))
         first = last
     if not parts:
         return _no_fragments()
@@ -272,7 +275,7 @@ def _no_fragments():
     return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
 
 
-def _fragment_chunk(texts: list[bytes], first_doc: int, length: int):
+def _fragment_chunk(texts: list[bytes], first_doc: int, length: int, inner: bool):
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     n = len(data) - KMER + 1
@@ -296,6 +299,8 @@ def _fragment_chunk(texts: list[bytes], first_doc: int, length: int):
     lead = np.flatnonzero(new)
     last = np.append(lead[1:], len(at)) - 1
     base = (ends - sizes)[d[lead]]
+    if not inner:
+        return d[lead] + first_doc, at[lead] - base, at[last] - base, k[lead], np.zeros(len(lead), bool)
     # places whose hash is the key of a string around them; two in one fragment may repeat inside it
     edge = np.zeros(width - 1, np.uint64)
     place = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, key, edge)), width, 0) == hashes)
