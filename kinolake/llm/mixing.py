@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import deque
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,11 +131,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     for m, f in zip(members, flow):
         for s, words in zip(m, f):
             routed[s] += words
-    plan = spark.createDataFrame(
-        [(n, s, float(t), r) for n, s, t, r in zip(names, sizes, targets, routed)],
-        "source string, source_size long, target double, routed long")
-    shares = spark.createDataFrame([(r[PATTERN], *(divmod(sum(f), r["size"]) if r["size"] else (0, 0)))
-                                    for r, f in zip(rows, flow)], f"{PATTERN} string, whole long, rest long")
+    # Arrow tables become rows inside the JVM, without Python workers
+    plan = spark.createDataFrame(pa.table({
+        "source": pa.array(names, pa.string()), "source_size": pa.array(sizes, pa.int64()),
+        "target": pa.array([float(t) for t in targets], pa.float64()), "routed": pa.array(routed, pa.int64())}))
+    uses = [divmod(sum(f), r["size"]) if r["size"] else (0, 0) for r, f in zip(rows, flow)]
+    shares = spark.createDataFrame(pa.table({
+        PATTERN: pa.array([r[PATTERN] for r in rows], pa.string()), "whole": pa.array([w for w, _ in uses], pa.int64()),
+        "rest": pa.array([x for _, x in uses], pa.int64())}))
     # the bucket in which the rest runs out, and the words of the pattern before it
     before = F.expr(f"sum(size) OVER (PARTITION BY {PATTERN} ORDER BY {BUCKET})") - F.col("size")
     edge = (sums.withColumn("before", before).join(shares, PATTERN)
