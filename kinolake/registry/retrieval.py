@@ -11,6 +11,7 @@ from kinolake.operators import ordering as o
 from kinolake.operators import retrieve as rt
 from kinolake.operators import signal as sg
 from kinolake.plans.retrieval import candidate_pools
+from kinolake.registry import partition_sql as ps
 from kinolake.registry.base import query, r6, rounded, table
 from kinolake.settings import EDITOR
 
@@ -195,7 +196,8 @@ def find_peaks(spark, sf):
     return rounded(rt.find_peaks(scores, ["video_id"], longest=size), "score", "prominence")
 
 
-@query("wn11_kernel_change_points")
+@query("wn11_kernel_change_points", f"""WITH RECURSIVE {SERIES_SQL}, {ps.partition_sql('cut', 'ser', ps.kernel('v'), [1.0], min_size=10, jump=1)}
+  SELECT video_id, start_pos, end_pos FROM cut""")
 def kernel_change_points(spark, sf):
     s, size = series(spark, sf)
     return cp.change_points(s, ["video_id"], ["vector"], "rbf", 1.0, min_size=10, jump=1, longest=size)

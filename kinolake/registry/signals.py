@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinolake.operators import changepoints as cp
 from kinolake.operators import ordering as o
 from kinolake.operators import signal as sg
+from kinolake.registry import partition_sql as ps
 from kinolake.registry.base import EVENTS_SQL, NUMBERED_SQL, events, longest, query, r6, rounded, signal, table
 
 CHANNELS = ["pan", "tilt", "zoom", "camera_magnitude"]
@@ -260,19 +261,32 @@ def scaled_signal(spark, sf, size):
     return sg.minmax(sg.savgol(numbered(spark, sf, size), CHANNELS, longest=size), CHANNELS, longest=size)
 
 
-@query("wn10_change_points_l2")
+SCALED_SQL = f"{NUMBERED_SQL}, {savgol_sql()}, scaled AS ({ps.scaled('smooth', CHANNELS)})"
+MEDIAN_SQL = f"{ps.median_of_five('med', 'sig', CHANNELS)}, scaled_med AS ({ps.scaled('med', CHANNELS)})"
+
+
+@query("wn10_change_points_l2", f"""WITH RECURSIVE {SCALED_SQL}, {ps.partition_sql('cut', 'scaled', ps.squared(CHANNELS), [3.0])}
+  SELECT video_id, start_pos, end_pos FROM cut""")
 def change_points_l2(spark, sf):
     size = longest(spark, sf)
     return cp.change_points(scaled_signal(spark, sf, size), ["video_id"], CHANNELS, "l2", 3.0, longest=size)
 
 
-@query("wn10_change_points_l1")
+@query("wn10_change_points_l1", f"""WITH RECURSIVE {SCALED_SQL}, {ps.partition_sql('cut', 'scaled', ps.absolute(CHANNELS), [2.0])}
+  SELECT video_id, start_pos, end_pos FROM cut""")
 def change_points_l1(spark, sf):
     size = longest(spark, sf)
     return cp.change_points(scaled_signal(spark, sf, size), ["video_id"], CHANNELS, "l1", 2.0, longest=size)
 
 
-@query("wn10_change_points_rbf")
+def zero_range_sql(expression):
+    width = f"(max({expression}) OVER v - min({expression}) OVER v)"
+    return f"({expression} - min({expression}) OVER v) / CASE WHEN {width} > 0 THEN {width} ELSE 1.0 END"
+
+
+@query("wn10_change_points_rbf", f"""WITH RECURSIVE {NUMBERED_SQL}, turned AS (SELECT video_id, pos, n,
+    [{", ".join(zero_range_sql(x) for x in ("pan", "tilt", "sin(zoom)", "cos(zoom)"))}] AS v FROM sig WINDOW v AS (PARTITION BY video_id)),
+  {ps.partition_sql('cut', 'turned', ps.kernel('v'), [3.0], min_rows=3)} SELECT video_id, start_pos, end_pos FROM cut""")
 def change_points_rbf(spark, sf):
     size = longest(spark, sf)
     rows = numbered(spark, sf, size).withColumn("direction", F.col("zoom"))
@@ -280,14 +294,19 @@ def change_points_rbf(spark, sf):
     return cp.change_points(e, ["video_id"], ["pan", "tilt", "dir_sin", "dir_cos"], "rbf", 3.0, min_rows=3)
 
 
-@query("wn12_trajectory_boundaries")
+@query("wn12_trajectory_boundaries", f"""WITH RECURSIVE {NUMBERED_SQL}, {ps.median_of_five('med', 'sig', ("pan", "tilt", "zoom"))},
+  clean AS ({ps.scaled('med', ("pan", "tilt", "zoom"))}), {ps.partition_sql('cut', 'clean', ps.absolute(("pan", "tilt", "zoom")), [3.0], min_rows=4)}
+  SELECT cut.video_id, end_pos, round("timestamp", 6) AS "time" FROM cut JOIN sig s ON s.video_id = cut.video_id AND s.pos = end_pos - 1 WHERE end_pos < n""")
 def trajectory_boundaries(spark, sf):
     from kinolake.plans.trajectory import trajectory_boundaries as run
     size = longest(spark, sf)
     return rounded(run(numbered(spark, sf, size), ["pan", "tilt", "zoom"], longest=size), "time")
 
 
-@query("ag17_penalty_sweep")
+@query("ag17_penalty_sweep", f"""WITH RECURSIVE {SCALED_SQL}, {MEDIAN_SQL}, variants AS (SELECT 'savgol' AS variant, * FROM scaled
+    UNION ALL BY NAME SELECT 'median' AS variant, * FROM scaled_med),
+  {ps.partition_sql('cut', 'variants', ps.squared(CHANNELS), [0.5 * i for i in range(1, 41)], ("video_id", "variant"))}
+  SELECT video_id, variant, pen AS penalty, count(*) AS segments FROM cut GROUP BY ALL""")
 def penalty_sweep(spark, sf):
     size = longest(spark, sf)
     s = numbered(spark, sf, size)
