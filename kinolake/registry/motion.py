@@ -8,7 +8,8 @@ from kinolake.operators import motion as m
 from kinolake.operators import signal as sg
 from kinolake.plans import segmentation, trajectory
 from kinolake.registry.base import EVENTS_SQL, SEGMENTS_SQL, events, longest, query, r6, rounded, segments, signal, table
-from kinolake.registry.signals import EDGES_SQL, intervals, round_sql
+from kinolake.registry import partition_sql as ps
+from kinolake.registry.signals import CHANNELS, EDGES_SQL, SCALED_SQL, intervals, round_sql
 from kinolake.settings import VELOCITY_CHANNELS
 
 
@@ -123,7 +124,8 @@ def numbered_intervals(spark, sf, size):
     return sg.numbered(rows, ["video_id", "scene_id"], longest=size)
 
 
-def interval_stats_sql(edge: str, columns=VELOCITY_CHANNELS, extra: bool = False) -> str:
+def interval_stats_sql(edge: str, columns=VELOCITY_CHANNELS, extra: bool = False, inside: str = SCENE_SQL) -> str:
+    """CTEs up to ``stats`` per (video_id, scene_id) of the rows that ``inside`` defines."""
     v = "OVER v"
     diffs = ", ".join(f"""CASE WHEN pos = 0 THEN lead({c}) {v} - {c} WHEN pos = n - 1 THEN {c} - lag({c}) {v}
         ELSE (lead({c}) {v} - lag({c}) {v}) / 2 END AS d_{c},
@@ -135,7 +137,7 @@ def interval_stats_sql(edge: str, columns=VELOCITY_CHANNELS, extra: bool = False
                 f"CASE WHEN max(n) <= 2 THEN 0.0 ELSE coalesce(corr(pos, r_{c}), 0.0) END AS {c}_monotonicity"]
         if extra:
             out += [f"avg(abs({c})) AS {c}_mean_abs", f"sqrt(avg({c} * {c})) AS {c}_rms"]
-    return f"""{SCENE_SQL}, num AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY "timestamp", idx) - 1 AS pos,
+    return f"""{inside}, num AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY "timestamp", idx) - 1 AS pos,
       count(*) OVER (PARTITION BY video_id, scene_id) AS n FROM inside),
     dif AS (SELECT *, "timestamp" - lag("timestamp") {v} AS step, {diffs} FROM num WHERE n >= 2
       WINDOW v AS (PARTITION BY video_id, scene_id ORDER BY pos)),
@@ -260,7 +262,23 @@ def velocity_match(spark, sf):
                    "cosine_sim", "mag_penalty", "combined_score")
 
 
-@query("wn13_build_segments")
+# segments by squared cost, movements inside each by absolute cost; a movement's key is made of both numbers
+MOVES_SQL = f"""{SCALED_SQL}, two AS (SELECT * FROM scaled WHERE n >= 2), {ps.partition_sql('scene', 'two', ps.squared(CHANNELS), [3.0])},
+  seg AS (SELECT video_id, start_pos AS s0, end_pos AS e0, row_number() OVER (PARTITION BY video_id ORDER BY start_pos) - 1 AS segment_idx FROM scene),
+  part AS (SELECT t.* REPLACE (t.pos - s0 AS pos, e0 - s0 AS n), segment_idx, s0 FROM two t JOIN seg g ON g.video_id = t.video_id AND t.pos >= s0 AND t.pos < e0),
+  {ps.partition_sql('cut', 'part', ps.absolute(CHANNELS), [2.0], ("video_id", "segment_idx"), min_rows=3)},
+  inside AS (SELECT g.video_id, idx, "timestamp", pan, tilt, zoom, g.segment_idx,
+      g.segment_idx * 100000 + dense_rank() OVER (PARTITION BY g.video_id, g.segment_idx ORDER BY c.start_pos) - 1 AS scene_id
+    FROM cut c JOIN seg g ON g.video_id = c.video_id AND g.segment_idx = c.segment_idx
+    JOIN sig s ON s.video_id = c.video_id AND s.pos >= s0 + c.start_pos AND s.pos < s0 + c.end_pos),
+  extents AS (SELECT video_id, segment_idx, min("timestamp") AS "start", max("timestamp") AS "end", count(*) AS samples,
+    substr(sha256(video_id || ':' || segment_idx), 1, 8) AS segment_id FROM inside GROUP BY video_id, segment_idx)"""
+KEPT_SQL = """kept AS (SELECT video_id, segment_idx, scene_id, min("timestamp") AS start_time, max("timestamp") AS end_time
+    FROM inside GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query("wn13_build_segments", f"""WITH RECURSIVE {MOVES_SQL}, {KEPT_SQL}, m AS (SELECT video_id, segment_idx, count(*) AS movements FROM kept GROUP BY ALL)
+  SELECT e.*, movements FROM extents e LEFT JOIN m USING (video_id, segment_idx)""")
 def build_segments(spark, sf):
     size = longest(spark, sf)
     prepared = segmentation.prepare(signal(spark, sf), longest=size)
@@ -269,16 +287,56 @@ def build_segments(spark, sf):
                      ["video_id", "segment_idx"], "left")
 
 
-@query("wn15_subsegments")
+@query("wn13_nested_documents", f"""WITH RECURSIVE {MOVES_SQL}, {KEPT_SQL}
+  SELECT e.video_id, e.segment_idx, segment_id, count(scene_id) AS movements,
+    string_agg(start_time::BIGINT || '-' || end_time::BIGINT, ' ' ORDER BY scene_id) AS spans
+  FROM extents e LEFT JOIN kept k ON k.video_id = e.video_id AND k.segment_idx = e.segment_idx GROUP BY ALL""")
+def nested_documents(spark, sf):
+    size = longest(spark, sf)
+    segs, moves = segmentation.build_segments(segmentation.prepare(signal(spark, sf), longest=size), longest=size)
+    docs = segmentation.nest_movements(segs, moves)
+    spans = F.transform("camera_movements", lambda x: F.concat_ws("-", *[
+        F.bround(x[c]).cast("long").cast("string") for c in ("start_time", "end_time")]))
+    return docs.select("video_id", "segment_idx", "segment_id", F.size("camera_movements").cast("long").alias("movements"),
+                       F.nullif(F.array_join(spans, " "), F.lit("")).alias("spans"))
+
+
+SUBSEGMENTS_SQL = f"""{SCALED_SQL}, {EDGES_SQL}, near AS (SELECT c.video_id, i.scene_id, c.pos, {", ".join(f"c.{x}" for x in CHANNELS)}
+    FROM scaled c JOIN sig s ON s.video_id = c.video_id AND s.pos = c.pos JOIN intervals i ON i.video_id = c.video_id AND "timestamp" >= start_time AND "timestamp" < end_time),
+  placed_in AS (SELECT * REPLACE (row_number() OVER v - 1 AS pos), pos AS at, count(*) OVER (PARTITION BY video_id, scene_id) AS n
+    FROM near WINDOW v AS (PARTITION BY video_id, scene_id ORDER BY pos)),
+  three AS (SELECT * FROM placed_in WHERE n >= 3),
+  {ps.partition_sql('cut', 'three', ps.absolute(CHANNELS), [2.0], ("video_id", "scene_id"))},
+  moved AS (SELECT video_id, scene_id, greatest(start_pos - 1, 0) AS a, end_pos - 1 AS b,
+    row_number() OVER (PARTITION BY video_id, scene_id ORDER BY end_pos) - 1 AS subsegment_id FROM cut),
+  inside AS (SELECT t.video_id, s.idx, s."timestamp", s.pan, s.tilt, s.zoom, t.scene_id * 100000 + subsegment_id AS scene_id
+    FROM three t JOIN moved m ON m.video_id = t.video_id AND m.scene_id = t.scene_id AND t.pos >= a AND t.pos < b
+    JOIN sig s ON s.video_id = t.video_id AND s.pos = t.at)"""
+
+
+@query("wn15_subsegments", f"""WITH RECURSIVE {interval_stats_sql('n // 10', extra=True, inside=SUBSEGMENTS_SQL)}, long AS ({" UNION ALL ".join(
+    f"SELECT video_id, scene_id, '{c}' AS channel, {c}_mean_abs AS mean_abs, {c}_rms AS rms, {c}_entry_vel AS entry_vel, {c}_exit_vel AS exit_vel, "
+    f"{c}_monotonicity AS monotonicity, {c}_mean_abs_deriv AS mean_abs_deriv, {c}_std_deriv AS std_deriv FROM stats" for c in VELOCITY_CHANNELS)})
+  SELECT video_id, scene_id // 100000 AS scene_id, scene_id % 100000 AS subsegment_id, channel, {round_sql(["mean_abs", "rms", "monotonicity"])},
+    {", ".join(f"round({c} * 3600, 5) + 0.0 AS {c}" for c in ("entry_vel", "exit_vel", "mean_abs_deriv", "std_deriv"))},
+    round(CASE WHEN mean_abs_deriv > 1e-9 THEN std_deriv / mean_abs_deriv END, 5) + 0.0 AS cv FROM long""")
 def subsegments(spark, sf):
     size = longest(spark, sf)
     prepared = segmentation.prepare(signal(spark, sf), longest=size)
-    return segmentation.subsegments(prepared, intervals(events(spark, sf), size), longest=size)
+    found = segmentation.subsegments(prepared, intervals(events(spark, sf), size), longest=size)
+    return found.select("video_id", "scene_id", "subsegment_id", "channel", *[r6(c).alias(c) for c in ("mean_abs", "rms", "monotonicity")],
+                        *[(F.round(F.col(c) * 3600, 5) + 0.0).alias(c) for c in ("entry_vel", "exit_vel", "mean_abs_deriv", "std_deriv")],
+                        (F.round("cv", 5) + 0.0).alias("cv"))
 
 
-@query("pl01_segment_videos")
+@query("pl01_segment_videos", f"""WITH RECURSIVE {interval_stats_sql('ceil(n * 0.05)', inside=MOVES_SQL)}, {KEPT_SQL}
+  SELECT e.*, scene_id % 100000 AS movement_idx, start_time, end_time, {", ".join(f"round({c} * 3600, 5) + 0.0 AS {c}" for c in SCALED)},
+    {round_sql([f"{c}_monotonicity" for c in VELOCITY_CHANNELS])}
+  FROM extents e LEFT JOIN (kept JOIN stats USING (video_id, scene_id)) k USING (video_id, segment_idx)""")
 def segment_videos(spark, sf):
-    return segmentation.segment_videos(signal(spark, sf))
+    found = segmentation.segment_videos(signal(spark, sf))
+    return found.withColumns({c: F.round(F.col(c) * 3600, 5) + 0.0 for c in SCALED} | {
+        f"{c}_monotonicity": r6(f"{c}_monotonicity") for c in VELOCITY_CHANNELS})
 
 
 @query("pl03_analyse_trajectory")
