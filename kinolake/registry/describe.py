@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinolake.operators import describe as d
 from kinolake.operators import ordering as o
+from kinolake.plans import descriptions as ingest
 from kinolake.registry.base import SEGMENTS_SQL, query, r6, segments, table
 from kinolake.registry.scalars import responses
 
@@ -133,6 +134,42 @@ def beat_lines(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", d.beat_line(F.col("turn"), F.col("text")).alias("line"))
 
 
+# conversations as videos of seven projects, messages as responses about their segments
+INGEST_SQL = """seg AS (SELECT conv_id % 7 AS project, conv_id AS video_hash, conv_id * 1000 + turn AS segment_id, turn, turn % 5 <> 4 AS good FROM conversations),
+  video AS (SELECT project, video_hash, bool_and(good) AS done FROM seg GROUP BY ALL)"""
+
+
+def ingested(spark, sf):
+    rows = responses(table(spark, sf, "conversations")).select(
+        (F.col("conv_id") % 7).alias("project"), F.col("conv_id").alias("video_hash"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("segment_id"), F.col("turn").alias("seq"), "response")
+    segs = rows.select("project", "video_hash", "segment_id")
+    manifest = segs.select("project", "video_hash").distinct().withColumns({
+        "processing": F.create_map(F.lit("segmented"), F.lit("earlier")), "config_hash": F.lit("old")})
+    return ingest.ingest_descriptions(rows.select("segment_id", "seq", "response"), segs, manifest,
+                                      "scene string, score double, text string", "scene", F.lit("now"), F.lit("new"))
+
+
+@query("pl07_described_segments", f"""WITH {INGEST_SQL} SELECT video_hash, segment_id, CASE WHEN good THEN 1 END::BIGINT AS vlm_pos,
+  CASE WHEN good THEN video_hash::VARCHAR END AS scene FROM seg""")
+def described_segments(spark, sf):
+    described, *_ = ingested(spark, sf)
+    return described.select("video_hash", "segment_id", "vlm_pos", F.col("parsed.scene").alias("scene"))
+
+
+@query("pl07_stamped_manifest", f"""WITH {INGEST_SQL} SELECT project, video_hash, CASE WHEN done THEN 'now' END AS described_at,
+  'earlier' AS segmented_at, CASE WHEN done THEN 'new' ELSE 'old' END AS config_hash FROM video""")
+def stamped_manifest(spark, sf):
+    _, _, stamped, _ = ingested(spark, sf)
+    return stamped.select("project", "video_hash", F.try_element_at("processing", F.lit("described")).alias("described_at"),
+                          F.try_element_at("processing", F.lit("segmented")).alias("segmented_at"), "config_hash")
+
+
+@query("pl07_ready_projects", f"WITH {INGEST_SQL} SELECT project, bool_and(done) AS ready, count(*) AS videos FROM video GROUP BY project")
+def ready_projects(spark, sf):
+    return ingested(spark, sf)[3]
+
+
 @query("pl07_ingest_descriptions", """SELECT conv_id, turn, turn % 5 <> 4 AS accepted, CASE WHEN turn % 5 = 4 THEN 'invalid JSON' END AS reason,
    CASE WHEN turn % 5 <> 4 THEN len(text)::BIGINT END AS length FROM conversations""")
 def ingest_descriptions(spark, sf):

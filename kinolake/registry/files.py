@@ -38,8 +38,20 @@ def scan_segments(spark, sf):
 @query("src04_read_typed", "SELECT event_id, user_id, value FROM events")
 def read_typed(spark, sf):
     path = scratch_path(spark, "typed")
-    table(spark, sf, "events").select("event_id", "user_id", "value").write.json(path)
-    return spark.read.schema("event_id long, user_id long, value double").option("mode", "FAILFAST").json(path)
+    item = F.struct("event_id", "user_id", "value")
+    # one list of documents per user and file
+    lists = table(spark, sf, "events").groupBy(F.col("user_id").alias("part")).agg(F.to_json(F.collect_list(item)).alias("doc"))
+    one_file_per(lists, "part", "doc", path)
+    return readers.read_typed(spark, path, "event_id long, user_id long, value double").drop("part")
+
+
+@query("src01_scan_media", """SELECT s_suppkey::VARCHAR AS folder, len(s_name) + 1 AS length,
+   substr(sha256(s_name || chr(10) || (len(s_name) + 1)), 1, 16) AS video_hash FROM supplier""")
+def scan_media(spark, sf):
+    path = scratch_path(spark, "media")
+    one_file_per(table(spark, sf, "supplier"), "s_suppkey", "s_name", path)
+    media = readers.scan_media(spark, path, with_hash=True, glob="*.txt", pattern=r"\.txt$")
+    return media.select(F.regexp_extract("path", r"s_suppkey=([^/]+)/", 1).alias("folder"), "length", "video_hash")
 
 
 @query("src05_explode_analysis", """SELECT l_orderkey, l_suppkey AS t, 'flow_decomposition' AS part, l_quantity AS v FROM lineitem

@@ -229,12 +229,24 @@ def frame_quality(spark, sf):
                    "shadow_clip_pct")
 
 
+# Bands of each metric, upper limits excluded.
+BANDS_SQL = {
+    "sharpness": "CASE WHEN {0} < 500 THEN 'blurry' WHEN {0} < 2000 THEN 'soft' WHEN {0} < 5000 THEN 'good' WHEN {0} >= 5000 THEN 'excellent' END",
+    "brightness": "CASE WHEN {0} < 50 THEN 'very dark' WHEN {0} < 100 THEN 'underexposed' WHEN {0} < 140 THEN 'well exposed' "
+                  "WHEN {0} < 180 THEN 'bright' WHEN {0} >= 200 THEN 'overexposed' END",
+    "highlight_clip": "CASE WHEN {0} < 0 THEN NULL WHEN {0} < 0.5 THEN 'excellent' WHEN {0} < 2 THEN 'acceptable' WHEN {0} < 5 THEN 'caution' "
+                      "WHEN {0} >= 5 THEN 'reject' END",
+    "shadow_clip": "CASE WHEN {0} < 0 THEN NULL WHEN {0} < 1 THEN 'very clean' WHEN {0} < 3 THEN 'normal' WHEN {0} < 8 THEN 'high contrast' "
+                   "WHEN {0} >= 8 THEN 'underexposed' END",
+    "flow_magnitude": "CASE WHEN {0} < 0 THEN NULL WHEN {0} < 2 THEN 'hovering' WHEN {0} < 10 THEN 'slow' WHEN {0} < 25 THEN 'active' "
+                      "WHEN {0} < 60 THEN 'fast' WHEN {0} >= 60 THEN 'extreme' END",
+    "flow_coherence": "CASE WHEN {0} < 0.2 THEN 'incoherent' WHEN {0} < 0.4 THEN 'chaotic' WHEN {0} < 0.65 THEN 'mixed' "
+                      "WHEN {0} < 0.85 THEN 'mostly uniform' WHEN {0} >= 0.85 THEN 'pure translation' END",
+}
+
+
 def bands_sql(metric, value):
-    parts = []
-    for low, high, name in m.QUALITY_BANDS[metric]:
-        tests = ([f"{value} >= {low}"] if low is not None else []) + ([f"{value} < {high}"] if high is not None else [])
-        parts.append(f"WHEN {' AND '.join(tests)} THEN '{name}'")
-    return f"CASE {' '.join(parts)} END"
+    return BANDS_SQL[metric].format(f"({value})")
 
 
 BANDED = {"sharpness": "pan * 25", "brightness": "tilt * 2.5", "highlight_clip": "tilt / 12", "shadow_clip": "tilt / 10",

@@ -125,11 +125,12 @@ def pools(spark, sf):
                    "embedding_score", "keyword_score", "combined_score")
 
 
-@query("jn03_lookup", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand, p_size FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type <> 'SMALL'""")
+@query("jn03_lookup", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, c_name, c_nationkey FROM lineitem JOIN customer ON c_custkey = l_partkey")
 def lookup(spark, sf):
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_suppkey")
-    dim = table(spark, sf, "part").filter("p_type <> 'SMALL'").select("p_partkey", "p_brand", "p_size")
-    return rt.lookup(li, dim, "p_partkey").withColumnRenamed("p_partkey", "l_partkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # there are fewer customers than parts, so part numbers miss
+    dim = table(spark, sf, "customer").select(F.col("c_custkey").alias("l_partkey"), "c_name", "c_nationkey")
+    return rt.lookup(li, dim, "l_partkey")
 
 
 @query("ag10_segments_per_video", """SELECT coalesce(nullif(CASE WHEN l_quantity > 40 THEN '' ELSE l_returnflag END, ''), nullif(CASE WHEN l_tax > 0.04 THEN '' ELSE l_linestatus END, ''), 'unknown') AS video,
@@ -189,7 +190,29 @@ def split_score(spark, sf):
     return rounded(rt.split_score(s, ["video_id"], longest=size).select("video_id", "pos", "score"), "score")
 
 
-@query("wn09_find_peaks")
+SCORE_SQL = f"""{SERIES_SQL}, x AS (SELECT s.video_id, s.pos, s.n, i, v[i] AS v FROM ser s, range(1, 65) r(i)),
+  m AS (SELECT video_id, pos, n, i, avg(v) OVER (PARTITION BY video_id, i ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a,
+    avg(v) OVER (PARTITION BY video_id, i ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS b FROM x),
+  sc AS (SELECT video_id, pos, CASE WHEN pos >= 10 AND pos < max(n) - 10 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0.0 END AS score FROM m GROUP BY video_id, pos)"""
+
+
+# tops of level stretches; the highest stays (of equals the last) and takes out those within ten rows; then prominence
+@query("wn09_find_peaks", f"""WITH RECURSIVE {SCORE_SQL},
+  marked AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY pos) AS level FROM (SELECT *,
+    CASE WHEN score = lag(score) OVER (PARTITION BY video_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM sc)),
+  levels AS (SELECT video_id, level, (min(pos) + max(pos)) // 2 AS pos, any_value(score) AS score FROM marked GROUP BY ALL),
+  tops AS (SELECT video_id, pos, score FROM (SELECT *, lag(score) OVER v AS l, lead(score) OVER v AS r FROM levels
+    WINDOW v AS (PARTITION BY video_id ORDER BY level)) WHERE score > l AND score > r),
+  nms AS (SELECT video_id, NULL::STRUCT(p BIGINT, h DOUBLE) AS kept, list(struct_pack(p := pos::BIGINT, h := score) ORDER BY score DESC, pos DESC) AS rest
+      FROM tops GROUP BY video_id
+    UNION ALL SELECT video_id, rest[1], list_filter(rest[2:], lambda t: abs(t.p - rest[1].p) >= 10) FROM nms WHERE len(rest) > 0),
+  peak AS (SELECT video_id, kept.p AS pos, kept.h AS score FROM nms WHERE kept IS NOT NULL),
+  base AS (SELECT p.video_id, p.pos, p.score, coalesce(max(CASE WHEN s.pos < p.pos AND s.score > p.score THEN s.pos END), -1) AS low,
+    coalesce(min(CASE WHEN s.pos > p.pos AND s.score > p.score THEN s.pos END), 1000000000) AS high FROM peak p JOIN sc s USING (video_id) GROUP BY ALL),
+  rise AS (SELECT b.video_id, b.pos, b.score, min(CASE WHEN s.pos <= b.pos THEN s.score END) AS before,
+    min(CASE WHEN s.pos >= b.pos THEN s.score END) AS after FROM base b JOIN sc s ON s.video_id = b.video_id AND s.pos > low AND s.pos < high GROUP BY ALL)
+  SELECT video_id, pos, round(score, 6) AS score, round(score - greatest(before, after), 6) AS prominence
+  FROM rise WHERE score - greatest(before, after) >= 0.05""")
 def find_peaks(spark, sf):
     s, size = series(spark, sf)
     scores = rt.split_score(s, ["video_id"], longest=size)

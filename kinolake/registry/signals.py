@@ -44,12 +44,12 @@ def time_slice(spark, sf):
 
 
 def savgol_sql(source: str = "sig") -> str:
-    """CTE ``smooth`` from numbered samples, with the weights as a literal table."""
-    weights = []
-    for w in range(3, 12, 2):
-        for i, row in enumerate(sg.smoothing_weights(w, 2)):
-            weights += [f"({w},{i},{j},{c!r}::DOUBLE)" for j, c in enumerate(row)]
-    return f"""weights(w, r, j, c) AS (VALUES {",".join(weights)}),
+    """CTE ``smooth`` from numbered samples, with weights in closed form: the fit on 1, x and x * x - mean, which are orthogonal."""
+    return f"""sizes AS (SELECT w, sum((j - (w - 1) / 2) ** 2) AS s2, sum((j - (w - 1) / 2) ** 4) AS s4
+    FROM range(3, 12, 2) a(w), range(0, 11) b(j) WHERE j < w GROUP BY w),
+  weights AS (SELECT w, r, j, 1 / w + (r - (w - 1) / 2) * (j - (w - 1) / 2) / s2
+      + ((r - (w - 1) / 2) ** 2 - s2 / w) * ((j - (w - 1) / 2) ** 2 - s2 / w) / (s4 - s2 * s2 / w) AS c
+    FROM sizes, range(0, 11) a(r), range(0, 11) b(j) WHERE r < w AND j < w),
   placed AS (SELECT *, greatest(least(pos - (w - 1) // 2, n - w), 0) AS first FROM
     (SELECT *, greatest(least(11, CASE WHEN n % 2 = 1 THEN n ELSE n - 1 END), 3) AS w FROM {source})),
   smooth AS (SELECT p.video_id, p.idx, p."timestamp", p.pos, p.n,

@@ -14,14 +14,15 @@ VERSION_FILE, VERSION_PARTITION = r"/v(\d+)\.json$", r"/version=(\d+)/[^/]+$"
 VIDEO_IN_PATH = r"/videos/([^/]+)/[^/]+/[^/]+$"
 
 
-def scan_media(spark: SparkSession, folder: str, with_hash: bool = False) -> DataFrame:
-    """Media files of one folder sorted by name; optionally with their content hash.
+def scan_media(spark: SparkSession, folder: str, with_hash: bool = False, glob: str = MEDIA_GLOB,
+               pattern: str = MEDIA_PATTERN) -> DataFrame:
+    """Media files of one folder (and of its partition folders) sorted by name; optionally with their content hash.
 
-    Without the hash no file content is read.
+    Without the hash no file content is read. ``glob`` and ``pattern`` say which names are media.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", MEDIA_GLOB).load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.filter(F.col("path").rlike(MEDIA_PATTERN))
+    rows = files.filter(F.col("path").rlike(pattern))
     columns = [name.alias("name"), "path", "length", "modificationTime"]
     if with_hash:
         columns.append(s.content_hash(F.col("content"), F.col("length")).alias("video_hash"))

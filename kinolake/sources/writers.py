@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinolake.sources.readers import VERSION_PARTITION, list_versions
+
 
 def _clean(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -48,7 +50,8 @@ def save_versioned(df: DataFrame, folder: str) -> int:
     """
     spark = df.sparkSession
     try:
-        last = spark.read.parquet(folder).agg(F.max("version")).first()[0] or 0
+        # the folder names hold the numbers; no file is opened
+        last = list_versions(spark, folder, VERSION_PARTITION).agg(F.max("version")).first()[0] or 0
     except AnalysisException as exc:
         if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

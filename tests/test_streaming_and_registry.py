@@ -50,10 +50,7 @@ def test_registry_is_complete():
     # the training-data operators are optional and have tests of their own
     own = {q for q in queries if q != "pipeline" and not re.match(r"op\d+_", q)}
     assert own - set(oracles) == {
-        "wn09_find_peaks", "wn10_change_points_l1", "wn10_change_points_l2", "wn10_change_points_rbf",
-        "wn11_kernel_change_points", "wn12_trajectory_boundaries", "wn13_build_segments", "wn15_subsegments",
-        "ag17_penalty_sweep", "sc32_pca", "pl01_segment_videos",
-        "pl02_analyse_scenes", "pl02_secondary_boundaries", "pl03_analyse_trajectory"}
+        "sc32_pca", "pl02_analyse_scenes", "pl02_secondary_boundaries", "pl03_analyse_trajectory"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
