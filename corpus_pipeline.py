@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinolake.llm.mixing import mix_sources
+from kinolake.llm.near_copies import drop_near_copies
 from kinolake.llm.packing import pack_documents
 from kinolake.llm.queries import packable
-from kinolake.llm.simhash_dedup import keep_one_per_group
+from kinolake.llm.simhash_dedup import keep_with_prints
 from kinolake.llm.toxicity import fit_toxicity, score_toxicity
 from kinolake.llm.window_dedup import dedup_windows
 from kinolake.session import scratch_path
@@ -21,8 +22,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    return keep_one_per_group(docs)
+    """One document of each near-duplicate group stays, the one with the smallest id.
+
+    Groups of fingerprints within two bits first; of what stays, near copies that further SimHash views
+    bring together and five-word shingles confirm (similarity 0.8 or more).
+    """
+    path = scratch_path(spark, "near-duplicates")
+    keep_with_prints(docs, name="_llm_print").write.parquet(path)
+    return drop_near_copies(spark.read.parquet(path), "_llm_print").select(docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

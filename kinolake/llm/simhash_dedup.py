@@ -21,6 +21,7 @@ from kinolake.session import cut_lineage
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SHINGLES_AT_ONCE = 1 << 16
+PARTS = 64  # numbers of keys per view; 42 are in use
 LARGE_KEY = 4096  # fingerprints that share half their bits; more are split by further bits
 
 
@@ -58,28 +59,30 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint_links(prints: DataFrame, distance: int = 2, large_key: int = LARGE_KEY) -> DataFrame:
+def fingerprint_links(prints: DataFrame, distance: int = 2, large_key: int = LARGE_KEY, by_view: bool = False) -> DataFrame:
     """Links (a, b) that connect just the distinct fingerprints at most ``distance`` (0 to 2) bits apart.
 
     Fingerprints are cut into four words of 16 bits; two with at most two differing bits agree in at
     least two words, so they meet under one of six keys. Keys shared by more than ``large_key``
     fingerprints are split again: the other 32 bits are cut into four bytes, of which two must
     agree as well, so at most 2^16 fingerprints can share such a key. Under each key, the
-    Gray-ordered index finds all pairs; only a spanning set of links leaves the task.
+    Gray-ordered index finds all pairs; only a spanning set of links leaves the task. With ``by_view``,
+    fingerprints link only within their ``view`` (a small number from 0), which the result carries.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    prints = cut_lineage(prints.select(F.col("fingerprint")).where("fingerprint IS NOT NULL").distinct())
+    view = F.col("view").cast("long") if by_view else F.lit(0).cast("long")
+    prints = cut_lineage(prints.select("fingerprint", view.alias("view")).where("fingerprint IS NOT NULL").distinct())
     keys = [_mask(pair, 16) for pair in combinations(range(4), 2)]
-    first = prints.select("fingerprint", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in keys]))
-                          .alias("part", "key"))
+    first = prints.select("fingerprint", "view", F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in keys]))
+                          .alias("part", "key")).withColumn("part", F.col("part") + F.col("view") * PARTS).drop("view")
     sizes = first.groupBy("part", "key").agg(F.count("key").alias("size")).where("size > 1")
     first = first.join(sizes, ["part", "key"])
     inner = F.array(*[F.array(*[F.lit(_signed(_unsigned(m) | _finer(m, pair))) for pair in combinations(range(4), 2)])
                       for m in keys])
     finer = (first.where(F.col("size") > large_key)
-             .select("fingerprint", "part", F.posexplode(inner[F.col("part")]).alias("piece", "mask"))
-             .select("fingerprint", (F.col("part") * 6 + F.col("piece") + 6).alias("part"),
+             .select("fingerprint", "part", F.posexplode(inner[(F.col("part") % PARTS).cast("int")]).alias("piece", "mask"))
+             .select("fingerprint", (F.col("part") + F.col("part") % PARTS * 5 + F.col("piece") + 6).alias("part"),
                      F.col("fingerprint").bitwiseAND(F.col("mask")).alias("key")))
     members = first.where(F.col("size") <= large_key).select("fingerprint", "part", "key").unionByName(finer)
     # all rows of a key lie in one partition, sorted together; no key has more than 2^16 rows
@@ -101,7 +104,8 @@ def fingerprint_links(prints: DataFrame, distance: int = 2, large_key: int = LAR
         if rest is not None:
             yield _spanning(rest, distance)
 
-    return placed.mapInArrow(search, "a long, b long")
+    found = placed.mapInArrow(search, "a long, b long, view long")
+    return found if by_view else found.drop("view")
 
 
 def _spanning(rows: pa.Table, distance: int) -> pa.RecordBatch:
@@ -115,7 +119,8 @@ def _spanning(rows: pa.Table, distance: int) -> pa.RecordBatch:
         merge_labels(labels, a, b)
     moved = np.flatnonzero(labels != np.arange(len(values)))
     signed = values.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[labels[moved]])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[labels[moved]]), pa.array(part[moved] // PARTS)],
+                                      names=["a", "b", "view"])
 
 
 def group_near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -139,14 +144,20 @@ def keep_one_per_group(docs: DataFrame, distance: int = 2, id_col: str = "doc_id
     Rows equal in id and fingerprint count as one, the smallest by all columns, so exactly one row
     of every group stays. All columns must be orderable.
     """
+    return keep_with_prints(docs, distance, id_col, text_col, shingle, seed).select(*docs.columns)
+
+
+def keep_with_prints(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text",
+                     shingle: int = 3, seed: int = 42, name: str = "_llm_print") -> DataFrame:
+    """As :func:`keep_one_per_group`, with the fingerprint of each row, which no two rows share."""
     prints, labels = _label(docs, distance, id_col, text_col, shingle, seed)
     chosen = labels.groupBy("component").agg(
         F.min(F.struct(F.col("least").isNull(), "least", "fingerprint")).alias("k")).select(
         F.col("k.least").alias("_llm_least"), F.col("k.fingerprint").alias("_llm_kept"))
-    marked = fingerprint_documents(docs, text_col, shingle, seed, "_llm_print")
-    stay = marked.join(chosen, (F.col("_llm_print") == F.col("_llm_kept"))
+    marked = fingerprint_documents(docs, text_col, shingle, seed, name)
+    stay = marked.join(chosen, (F.col(name) == F.col("_llm_kept"))
                        & F.col(id_col).eqNullSafe(F.col("_llm_least")), "left_semi")
-    return stay.groupBy("_llm_print").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return stay.groupBy(name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*", name)
 
 
 def _label(docs, distance, id_col, text_col, shingle, seed):

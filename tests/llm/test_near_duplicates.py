@@ -7,6 +7,7 @@ import xxhash
 from kinolake.llm.components import connected_components
 from kinolake.llm.embedding_dedup import link_vectors
 from kinolake.llm.gray_index import GrayIndex, gray_rank
+from kinolake.llm.near_copies import drop_near_copies
 from kinolake.llm.simhash_dedup import fingerprint_links, group_near_duplicates, simhash
 from kinolake.llm.vector_search import nearest
 
@@ -147,3 +148,36 @@ def test_search_recall_and_order(spark):
     assert hits >= 0.98 * 20 * 35 and set(got) == set(range(0, 700, 20))
     assert nearest(frame.limit(0), frame).count() == 0
     assert nearest(frame.where("vec_id < 3"), frame.where("vec_id = 0")).count() == 2
+
+
+def test_near_copies_are_linked_and_confirmed(spark):
+    rng = random.Random(8)
+    words = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "rst", "tz", "", "pf")]
+    rows = []
+    for i in range(30):
+        text = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        rows.append((10 * i, " ".join(text)))
+        for j in range(1, i % 4):  # copies of copies, each one word further
+            text[rng.randrange(len(text))] = "neu"
+            rows.append((10 * i + j, " ".join(text).upper() if j == 1 else " ".join(text)))
+        rng.shuffle(text)
+        rows.append((10 * i + 9, " ".join(text)))  # the same words in another order: alike in every view, but no copy
+    rows += [(5000, None), (5001, ""), (5002, " "), (None, rows[0][1] + " ende"), (5003, "ein paar"), (5004, "ein paar")]
+    docs = spark.createDataFrame([(k, i, t, "x") for k, (i, t) in enumerate(rows)], "k long, doc_id long, text string, fingerprint string")
+    kept = drop_near_copies(docs, "k").collect()
+
+    def parts(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [parts(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    want = {min((k for k in range(len(rows)) if label[k] == v), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)) for v in set(label)}
+    assert len(want) < len(rows) - 15 and {r.k for r in kept} == want
+    assert kept[0].asDict().keys() == {"k", "doc_id", "text", "fingerprint"}
+    assert drop_near_copies(docs.limit(0), "k").count() == 0

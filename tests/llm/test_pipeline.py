@@ -28,12 +28,21 @@ def fixture(n=260, seed=12):
     clean = [r for r in rows if r[0] % 5 != 2]
     for j, r in enumerate(clean[:25]):
         rows.append([1000 + j, r[1] + rng.choice(["", "\n", " \t"]), "en", "s1", 0])
+    for j, r in enumerate(r for r in clean[30:] if len(r[1].split()) > 110):  # one word apart
+        text = r[1].split()
+        text[50 + j % 50] = "anders"
+        rows.append([3000 + j, " ".join(text), "en", "s2", 0])
     rows += [[2000, None, None, None, None], [2001, "", "en", "s1", 0]]
     for r in rows:
         r[4] = len(r[1] or "")
     return [tuple(r) for r in rows], labels
 
 
+def shingles(text):
+    words = WORD.findall(text.lower())
+    return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_stages_match_brute_force(spark, tmp_path):
     rows, labels = fixture()
     schema = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,7 +58,11 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert {r[0] for r in kept[1]} == {r[0] for r in rows} - toxic
     prints = {r[0]: slow_simhash(r[1]) for r in kept[1]}
     label = labels_of(prints, [(a, b) for a in prints for b in prints if (prints[a] ^ prints[b]).bit_count() <= 2])
-    assert sorted(r[0] for r in kept[2]) == sorted(set(label.values()))
+    alike = {r[0]: shingles(r[1]) for r in kept[1] if label[r[0]] == r[0] and r[1]}
+    pairs = [(a, b) for a in alike for b in alike if a < b
+             and len(alike[a] & alike[b]) >= 0.8 * len(alike[a] | alike[b])]
+    assert len(pairs) > 20
+    assert sorted(r[0] for r in kept[2]) == sorted(set(label.values()) - {b for _, b in pairs})
     want = {i: text for i, _, _, text in brute_windows([(r[0], r[1]) for r in kept[2]], 20)}
     assert {r[0]: r[1] for r in kept[3]} == want and all(r[4] == len(r[1]) for r in kept[3])
     sizes = {r[0]: len(WORD.findall(r[1])) for r in kept[3]}
