@@ -46,7 +46,7 @@ def drop_near_copies(docs: DataFrame, key: str, similarity: float = 0.8, shingle
 
 def near_links(docs: DataFrame, key: str, similarity: float = 0.8, shingle: int = 5, views: int = VIEWS,
                text_col: str = "text") -> DataFrame:
-    """``(a, b)``: keys of texts that some view brings together and whose shingles are alike enough."""
+    """``(a, b)``: links that connect the texts which some view brings together and whose shingles are alike enough."""
     texts = docs.select(F.col(key).alias(KEY), F.col(text_col).alias("text"))
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +72,19 @@ def near_links(docs: DataFrame, key: str, similarity: float = 0.8, shingle: int
     near = (near.join(ends[0], ["view", "a"]).join(ends[1], ["view", "b"])
             .select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     pairs = same.unionByName(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    # only texts that meet a candidate travel
+    pairs = cut_lineage(pairs)
+    # each text meets one candidate first; what that connects need not be compared again
+    first = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    links = cut_lineage(_alike(first, texts, similarity, shingle))
+    groups = connected_components(links)
+    ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
+    rest = (pairs.join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"))
+    return links.unionByName(_alike(rest, texts, similarity, shingle))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs whose texts are alike enough; only texts that meet a candidate travel."""
     left = texts.select(F.col(KEY).alias("a"), F.col("text").alias("one"))
     right = texts.select(F.col(KEY).alias("b"), F.col("text").alias("other"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "other")
