@@ -3,8 +3,10 @@
 One 64-bit fingerprint of word shingles links texts of nearly equal shingles; copies at a similarity of
 0.8 lie more than two bits apart. Here each text gets several fingerprints of its different words,
 each with a seed of its own. In every view the Gray-ordered index links fingerprints within two
-bits, and the linked texts are compared by their shingles of five words. Linking is a spanning set
-of a view's groups, so candidates grow with the texts and not with the pairs of a group.
+bits, which gives groups of candidates; links that span a group are compared by their shingles of five
+words first. What these leave apart inside a group is compared in full: texts of a group as alike as
+asked share one of their rarest shingles there, so only those that share one meet, and no alike pair
+of a group is missed.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ def drop_near_copies(docs: DataFrame, key: str, similarity: float = 0.8, shingle
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near copies found: of each component the row with the smallest id stays.
 
-    ``key`` is a long that no two rows share. Two rows link if some view brings them together and their
-    sets of ``shingle``-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
-    ``similarity``; texts of fewer words count as one shingle. Null and empty texts link with
-    nothing; null ids stay last. An empty table gives an empty result.
+    ``key`` is a long that no two rows share. Two rows link if the views bring them together, directly or
+    through others, and their sets of ``shingle``-word shingles (A-Z lower-cased) have a Jaccard
+    similarity of at least ``similarity``; texts of fewer words count as one shingle. Null and empty
+    texts link with nothing; null ids stay last. An empty table gives an empty result.
     """
     links = cut_lineage(near_links(docs, key, similarity, shingle, views, text_col))
     groups = connected_components(links).withColumnRenamed("node", KEY)
@@ -46,7 +48,7 @@ def drop_near_copies(docs: DataFrame, key: str, similarity: float = 0.8, shingle
 
 def near_links(docs: DataFrame, key: str, similarity: float = 0.8, shingle: int = 5, views: int = VIEWS,
                text_col: str = "text") -> DataFrame:
-    """``(a, b)``: links that connect the texts which some view brings together and whose shingles are alike enough."""
+    """``(a, b)``: links that connect just the texts which views bring together and whose shingles are alike enough."""
     texts = docs.select(F.col(key).alias(KEY), F.col(text_col).alias("text"))
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +82,59 @@ def near_links(docs: DataFrame, key: str, similarity: float = 0.8, shingle: int
     ends = [groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")) for c in "ab"]
     rest = (pairs.join(first, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             .where(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b"))
-    return links.unionByName(_alike(rest, texts, similarity, shingle))
+    links = cut_lineage(links.unionByName(_alike(rest, texts, similarity, shingle)))
+    return links.unionByName(_missed(pairs, links, texts, similarity, shingle))
+
+
+def _missed(pairs: DataFrame, links: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links between texts that ``pairs`` connect and ``links`` leave apart.
+
+    An alike pair shares at least ``similarity`` of either text's shingles, so in any order of the
+    shingles it shares one of the first of both, up to one more than either may lack. In the order of
+    frequency in the group these are rare, and shingles of one text alone take up places for nothing.
+    """
+    groups = connected_components(pairs).select(F.col("node").alias(KEY), F.col("component").alias("group"))
+    known = connected_components(links).select(F.col("node").alias(KEY), "component")
+    placed = cut_lineage(groups.join(known, KEY, "left").withColumn("component", F.coalesce("component", KEY)))
+    # the one pair of a group of two has been compared
+    open_groups = placed.groupBy("group").agg(F.count(KEY).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    placed = cut_lineage(placed.join(open_groups.where("n > 2 AND x <> y").select("group"), "group"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, group = batch.column(KEY).to_numpy(), batch.column("group").to_numpy()
+            parts = [_shingles(text, shingle) for text in utf8(batch.column("text"))]
+            for i, part in enumerate(parts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(keys[i], len(part))), pa.array(np.repeat(group[i], len(part))),
+                     pa.array(part.view(np.int64)), pa.array(np.repeat(np.int64(len(part)), len(part)))],
+                    names=[KEY, "group", "part", "size"])
+
+    parts = cut_lineage(texts.join(placed.select(KEY, "group"), KEY)
+                        .mapInArrow(sets, f"{KEY} long, group long, part long, size long"))
+    shared = parts.groupBy("group", "part").agg(F.count(KEY).alias("n")).where("n > 1")
+    lists = parts.join(shared, ["group", "part"]).groupBy("group", KEY).agg(
+        F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))
+    # as many as a text may lack and one, less those no other text has
+    first = F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-6) + 1 - (F.col("size") - F.size("parts"))
+    lists = lists.select("group", KEY, "size", F.explode(
+        F.slice("parts", F.lit(1), F.greatest(first, F.lit(0)).cast("int")).getField("part")).alias("part"))
+    lists = cut_lineage(lists.join(placed.select(KEY, "component"), KEY))
+    # again each text meets the first of those it shares a shingle with, and then those still apart
+    heads = lists.groupBy("group", "part").agg(F.min(KEY).alias("b"))
+    heads = lists.join(heads, ["group", "part"]).where(F.col(KEY) > F.col("b")).select(F.col(KEY).alias("a"), "b").distinct()
+    heads = cut_lineage(heads.join(pairs, ["a", "b"], "left_anti"))
+    found = cut_lineage(_alike(heads, texts, similarity, shingle))
+    joined = connected_components(links.unionByName(found)).select(F.col("node").alias(KEY), F.col("component").alias("now"))
+    lists = cut_lineage(lists.join(joined, KEY, "left").withColumn("component", F.coalesce("now", "component")))
+    one = lists.select("group", "part", F.col(KEY).alias("a"), F.col("size").alias("size_a"), F.col("component").alias("at_a"))
+    other = lists.select("group", "part", F.col(KEY).alias("b"), F.col("size").alias("size_b"), F.col("component").alias("at_b"))
+    rest = (one.join(other, ["group", "part"])
+            .where((F.col("a") > F.col("b")) & (F.col("at_a") != F.col("at_b"))
+                   & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(similarity) - 1e-6))
+            .select("a", "b").distinct())
+    rest = rest.join(pairs.unionByName(heads), ["a", "b"], "left_anti")
+    return found.unionByName(_alike(rest, texts, similarity, shingle))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:

@@ -181,3 +181,27 @@ def test_near_copies_are_linked_and_confirmed(spark):
     assert len(want) < len(rows) - 15 and {r.k for r in kept} == want
     assert kept[0].asDict().keys() == {"k", "doc_id", "text", "fingerprint"}
     assert drop_near_copies(docs.limit(0), "k").count() == 0
+
+
+def test_near_copies_that_share_no_leader_are_found(spark):
+    """Texts of the same different words share every view, but only some of them are alike."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for g in range(4):
+        words = rng.sample(words, len(words))
+        for j in range(3):
+            text = list(words)
+            for k in range(j):
+                text[10 * k], text[10 * k + 1] = text[10 * k + 1], text[10 * k]
+            rows.append((len(rows), " ".join(text), 100 - len(rows)))
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, k long"), "k").collect()
+
+    def parts(text):
+        w = text.split()
+        return {" ".join(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets = {r[0]: parts(r[1]) for r in rows}
+    label = labels_of(sets, [(a, b) for a in sets for b in sets
+                             if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label.values())) == [0, 3, 6, 9]
