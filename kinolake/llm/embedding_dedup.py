@@ -1,11 +1,8 @@
-"""Embedding near-duplicates by sorted projection passes.
-
-Each pass gives every vector a key of concatenated random sign hashes; all passes are sorted at
-once by (pass, key, id), and each vector is compared with the ``window`` vectors before it. Sorted
-rows are cut into chunks of bounded size that overlap by a window, so the result does not depend
-on partitions. Vectors carry their places in all passes: a pair that several passes find is
-counted in the first only, so pairs are never written out. Tasks return link counts and a spanning set
-of links.
+"""Embedding near-duplicates by products of blocks: every pair of vectors is compared.
+
+Vectors are put in order by random sign hashes, so that like ones are neighbours, and cut into blocks of
+bounded size. All pairs of blocks are spread over the tasks; tasks return link counts and a spanning
+set of links, so pairs are never written out. The work grows with the square of the different vectors.
 """
 
 from __future__ import annotations
@@ -23,24 +20,23 @@ from kinolake.llm.vectors import by_length, normalised, usable_vectors
 from kinolake.session import cut_lineage
 
 BITS = 63
-TILE = 256
 
 
 def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                 passes: int = 12, window: int = 256, chunk: int = 2048, seed: int = 7) -> DataFrame:
+                 window: int = 256, chunk: int = 8192, seed: int = 7) -> DataFrame:
     """``n_links``, ``component_id`` and ``kept`` for every row of the input, by cosine in double precision.
 
-    Adds the three columns (replacing input columns of these names). Every link has a cosine of at
-    least ``threshold``; equal vectors are always linked, and a pair of different vectors is found
-    if some pass sorts its ends within ``window`` places. Null, empty, zero or non-finite vectors
-    and null ids link with nothing: 0, own id, kept. Rows that share an id are one vector, the
-    smallest; vectors of different lengths never link.
+    Adds the three columns (replacing input columns of these names). All pairs with a cosine of at least
+    ``threshold`` are links and are counted, whatever the size of a group. ``chunk`` vectors are a
+    block, of which ``window`` are multiplied at once; the result depends on neither. Null, empty, zero
+    or non-finite vectors and null ids link with nothing: 0, own id, kept. Rows that share an id
+    are one vector, the smallest; vectors of different lengths never link.
     """
     df = df.drop("n_links", "component_id", "kept")
     vectors = cut_lineage(usable_vectors(df, id_col, vector_col))
     # equal vectors are one representative with a weight
     groups = cut_lineage(vectors.groupBy("vector").agg(F.min("id").alias("rep"), F.count("id").alias("weight")))
-    placed = _places(groups.select(F.col("rep").alias("id"), "vector"), passes, seed)
+    placed = _places(groups.select(F.col("rep").alias("id"), "vector"), seed)
     found = cut_lineage(_compare(groups.select(F.col("rep").alias("id"), "vector", "weight").join(placed, "id"),
                                  threshold, window, chunk))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -57,8 +53,8 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             .withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(True))))
 
 
-def _places(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
-    """``(id, places)``: the place of each vector in the order of (pass, key, id), for every pass."""
+def _places(vectors: DataFrame, seed: int) -> DataFrame:
+    """``(id, place)``: the place of each vector in the order of (sign hash, id)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -67,60 +63,53 @@ def _places(vectors: DataFrame, passes: int, seed: int) -> DataFrame:
             for rows, matrix in by_length(batch.column("vector")):
                 size = matrix.shape[1]
                 if size not in planes:
-                    planes[size] = np.random.default_rng((seed, size)).standard_normal((size, passes * BITS))
-                signs = (normalised(matrix) @ planes[size] > 0).reshape(len(rows), passes, BITS)
-                key = signs @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[rows], passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(rows))),
-                     pa.array(key.ravel())], names=["id", "pass", "key"])
-
-    ordered = cut_lineage(vectors.mapInArrow(keys, "id long, pass int, key long").orderBy("pass", "key", "id")
-                          .select("id", "pass", F.monotonically_increasing_id().alias("row")))
+                    planes[size] = np.random.default_rng((seed, size)).standard_normal((size, BITS))
+                key = (normalised(matrix) @ planes[size] > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(key)], names=["id", "key"])
+
+    ordered = cut_lineage(vectors.mapInArrow(keys, "id long, key long").orderBy("key", "id")
+                          .select("id", F.monotonically_increasing_id().alias("row")))
     part = F.shiftright("row", 33).alias("part")
     sizes = ordered.groupBy(part).agg(F.count("id").alias("n"))
     # one row per partition of the sort
     before = sizes.select(F.col("part"), F.coalesce(
         F.expr("sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"), F.lit(0)).alias("offset"))
     inside = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    return (ordered.select("id", "pass", "row", part).join(before, "part")
-            .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pass", (F.col("offset") + inside).alias("place"))))
-                               .alias("p")).select("id", F.col("p.place").alias("places")))
+    return ordered.select("id", "row", part).join(before, "part").select("id", (F.col("offset") + inside).alias("place"))
 
 
 def _compare(rows: DataFrame, threshold: float, window: int, chunk: int) -> DataFrame:
-    """``(id, links, root)`` per chunk: weight newly linked, and the smallest id of its group there."""
-    spread = rows.select("id", "vector", "weight", "places", F.posexplode("places").alias("pass", "place"))
-    home = F.floor(F.col("place") / chunk)
-    # the last rows of a chunk come first in the next one, too
-    spread = spread.withColumn("chunk", F.explode(F.when(
-        F.col("place") % chunk >= chunk - window, F.array(home, home + 1)).otherwise(F.array(home))))
+    """``(id, links, root)`` per pair of blocks: weight linked there, and the smallest id of its group there."""
+    rows = cut_lineage(rows.select("id", "vector", "weight", F.floor(F.col("place") / chunk).alias("home")))
+    last = rows.agg(F.max("home")).first()[0] or 0
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    spread = spread.withColumns({"low": F.least("home", "other"), "high": F.greatest("home", "other")})
 
     def compare(table: pa.Table) -> pa.Table:
-        start = table["chunk"][0].as_py() * chunk
-        ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
-        place, turn = table["place"].to_numpy(), table["pass"].to_numpy()
-        places = np.stack([np.asarray(x) for x in table["places"].to_numpy()])
+        ids, weight, home = (table[c].to_numpy() for c in ("id", "weight", "home"))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
         links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for subset, matrix in by_length(table["vector"]):
-            order = np.argsort(place[subset])
-            subset, unit = subset[order], normalised(matrix)[order]
-            for i in range(0, len(subset), TILE):
-                stop = np.searchsorted(place[subset], place[subset[min(i + TILE, len(subset)) - 1]] + window, "right")
-                a, b = np.nonzero(unit[i:i + TILE] @ unit[i:stop].T >= threshold)
-                a, b = subset[a + i], subset[b + i]
-                fresh = ((place[a] < place[b]) & (place[b] - place[a] <= window) & (turn[a] == turn[b])
-                         & (place[b] >= start))
-                a, b = a[fresh], b[fresh]
-                near = np.abs(places[a] - places[b]) <= window
-                fresh = near.argmax(axis=1) == turn[a]
-                a, b = a[fresh], b[fresh]
-                np.add.at(links, a, weight[b])
-                np.add.at(links, b, weight[a])
-                if len(a):
-                    merge_labels(labels, a, b)
+            unit = normalised(matrix)
+            left, right = np.flatnonzero(home[subset] == low), np.flatnonzero(home[subset] == high)
+            for i in range(0, len(left), window):
+                ends = right[i:] if low == high else right
+                a, b = subset[left[i:i + window]], subset[ends]
+                near = unit[left[i:i + window]] @ unit[ends].T >= threshold
+                if low == high:
+                    near &= np.arange(len(a))[:, None] < np.arange(len(b))[None, :]
+                some_a, some_b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                if not len(some_a):
+                    continue
+                a, b, near = a[some_a], b[some_b], near[np.ix_(some_a, some_b)]
+                links[a] += near.astype(np.int64) @ weight[b]
+                links[b] += weight[a] @ near.astype(np.int64)
+                x, y = np.nonzero(near & (labels[a][:, None] != labels[b][None, :]))
+                if len(x):
+                    merge_labels(labels, a[x], b[y])
         some = np.flatnonzero(links)
         least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, labels, ids)
         return pa.table({"id": ids[some], "links": links[some], "root": least[labels[some]]})
 
-    return spread.groupBy("chunk").applyInArrow(compare, "id long, links long, root long")
+    return spread.groupBy("low", "high").applyInArrow(compare, "id long, links long, root long")

@@ -205,3 +205,13 @@ def test_near_copies_that_share_no_leader_are_found(spark):
     label = labels_of(sets, [(a, b) for a in sets for b in sets
                              if a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     assert sorted(r["doc_id"] for r in kept) == sorted(set(label.values())) == [0, 3, 6, 9]
+
+
+def test_links_of_groups_wider_than_a_window_are_all_counted(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 16))
+    base[:200] = base[0] + 0.05 * rng.standard_normal((200, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in link_vectors(frame, chunk=90, window=8).collect()}
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(1) - 1).tolist()))
