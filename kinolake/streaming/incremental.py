@@ -20,16 +20,12 @@ def stream_frame_pairs(samples: DataFrame, lateness: str = "1 hour") -> DataFram
     """Each sample with its predecessor across micro-batches.
 
     ``samples``: video_id, idx, timestamp, pan and the event time ``ts``. State is the last
-    sample of a video, evicted once the watermark passes it. A sample older than the state
-    is compared with nothing that is kept, so it is emitted without a predecessor; one that
-    comes later than ``lateness`` is left out by the watermark.
+    sample of a video, kept however long the video is silent: one row per video. A sample
+    older than the state is compared with nothing that is kept, so it is emitted without a
+    predecessor; one that comes later than ``lateness`` is left out by the watermark.
     """
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat(list(batches)).sort_values(["timestamp", "idx"])
-        newest_ms = int(rows["ts"].max().timestamp() * 1000)
         last = state.get if state.exists else None
         fresh = rows["timestamp"] >= last[1] if last else rows["timestamp"].notna()
         before = rows.loc[fresh, ["idx", "timestamp", "pan"]].shift(1)
@@ -39,9 +35,9 @@ def stream_frame_pairs(samples: DataFrame, lateness: str = "1 hour") -> DataFram
         if fresh.any():
             end = rows[fresh].iloc[-1]
             state.update((int(end["idx"]), float(end["timestamp"]), float(end["pan"])))
-        state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + 1)
         yield pd.concat([rows[["video_id", "idx", "timestamp", "pan"]], before], axis=1)
 
+    # of event time, as only then late rows are left out; no timestamp is set, so no state ends
     keyed = samples.withWatermark("ts", lateness).groupBy("video_id")
     return keyed.applyInPandasWithState(pair, PAIR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 

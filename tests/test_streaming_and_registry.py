@@ -34,6 +34,14 @@ def test_pairs_cross_batches_and_late_samples_stand_alone(spark, tmp_path):
     assert got == {0: None, 1: 0, 2: 1, 3: None, 4: None, 5: 2}
 
 
+def test_pairs_cross_a_silent_gap_longer_than_the_lateness(spark, tmp_path):
+    at = lambda v, i, t: (v, i, float(t), float(i), datetime.fromtimestamp(1e6 + t))
+    batches = [[at(1, 0, 0)], [at(2, 1, 7200)], [at(2, 2, 14400)], [at(1, 3, 21600)], [at(1, 4, 100)]]
+    s = stream_of(spark, batches, "video_id long, idx long, timestamp double, pan double, ts timestamp", str(tmp_path / "in"))
+    got = {r.idx: r.prev_idx for r in inc.run_to_table(inc.stream_frame_pairs(s, "1 minute"), "pairs").collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: 0}
+
+
 def test_replayed_files_register_once(spark, tmp_path):
     path = str(tmp_path / "manifest")
     for run in range(2):  # a second run replays everything under a new checkpoint
