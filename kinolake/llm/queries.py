@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinolake.llm.chat_perspectives import rotate_perspectives
+from kinolake.llm.collocations import mine_collocations
+from kinolake.llm.compression_bands import apply_quality_rules
+from kinolake.llm.divergence import audit_sources
 from kinolake.llm.embedding_dedup import link_vectors
 from kinolake.llm.mixing import mix_sources, word_count
 from kinolake.llm.packing import pack_documents
@@ -157,3 +160,76 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op11_source_divergence", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+g AS (
+  SELECT s.lang, s.source, coalesce(sum(c.n), 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN c ON c.lang = s.lang AND c.source = s.source GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p
+  FROM g JOIN v USING (lang) JOIN kept USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+q AS (
+  SELECT lang, term, 1 + 1000000000 * (sum(n) + 1) // (any_value(lang_n) + any_value(v)) AS q
+  FROM c JOIN (SELECT lang, sum(n) AS lang_n FROM c GROUP BY lang) USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_parts AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM both_parts QUALIFY part = 'pair' OR rank <= 200""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_quality_rules(docs).drop("text")
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+sized AS (SELECT lang, w, unnest(range(1, 6)) AS size FROM w WHERE len(w) > 0),
+placed AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized WHERE len(w) >= size),
+f AS (
+  SELECT lang, w[i:i + size - 1] AS words, count(*)::HUGEINT AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
+many AS (SELECT lang, words, f AS a, unnest(range(1, len(words))) AS k FROM f WHERE len(words) > 1),
+cuts AS (
+  SELECT m.lang, m.words, m.a, n, k, x.f AS l, y.f AS r, (1000 * m.a * n) // (x.f * y.f) AS score
+  FROM many m JOIN totals USING (lang) JOIN f x ON x.lang = m.lang AND x.words = m.words[1:k]
+  JOIN f y ON y.lang = m.lang AND y.words = m.words[k + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+spans AS (
+  SELECT lang, words, f, unnest(range(1, len(words))) AS i, unnest(range(1, len(words))) AS x FROM f WHERE len(words) > 2),
+inside AS (
+  SELECT lang, words[i:i + m - 1] AS words, max(f) AS longer
+  FROM (SELECT lang, words, f, i, unnest(range(2, len(words) - i + 2)) AS m FROM spans)
+  WHERE m < len(words) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, array_to_string(b.words, ' ')) AS rank,
+  array_to_string(b.words, ' ') AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.words = b.words
+WHERE longer IS NULL OR longer < a QUALIFY rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(table(spark, sf_dir, "documents"))
