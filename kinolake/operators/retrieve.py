@@ -8,10 +8,11 @@ of the data is spread over its blocks like any other.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -320,54 +321,6 @@ def split_score(vectors: DataFrame, keys: Sequence[str], width: int = 10, vector
     return rows.withColumn("score", F.when(inner, distance).otherwise(F.lit(0.0))).drop("_near")
 
 
-def find_peaks(scores: DataFrame, keys: Sequence[str], prominence: float = 0.05, distance: int = 10,
-               score: str = "score", longest: int | None = None) -> DataFrame:
-    """Positions of score peaks: far enough apart, the higher ones first, and prominent enough.
-
-    Rows inside rising or falling stretches cannot matter; they are dropped before the
-    rows of a series meet.
-    """
-    rows, w = o.neighbourhood(scores, keys, 1, 1, longest=longest)
-    before, after = F.lag(score).over(w), F.lead(score).over(w)
-    turn = (before.isNull() | after.isNull() | ((F.col(score) - before) * (after - F.col(score)) <= 0))
-    flat = F.coalesce((before == F.col(score)) & (after == F.col(score)), F.lit(False))
-    rows = o.own_rows(rows.withColumn("_turn", turn & ~flat)).filter("_turn")
-    keys = list(keys)
-
-    def peaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos, x = pdf["pos"].to_numpy(), pdf[score].to_numpy()
-        level = np.flatnonzero(np.diff(x, prepend=np.nan) != 0)  # first row of each level
-        last = np.append(level[1:], len(x)) - 1
-        height = x[level]
-        top = [i for i in range(1, len(level) - 1) if height[i - 1] < height[i] > height[i + 1]]
-        place = np.array([(pos[level[i]] + pos[last[i]]) // 2 for i in top], dtype=np.int64)
-        keep = np.ones(len(top), dtype=bool)
-        for j in np.argsort(height[top], kind="stable")[::-1] if top else []:
-            if keep[j]:
-                close = np.abs(place - place[j]) < distance
-                close[j] = False
-                keep[close] = False
-        found = []
-        for j in np.flatnonzero(keep):
-            i, h = top[j], height[top[j]]
-            higher = np.flatnonzero(height[:i] > h)
-            left = height[higher[-1] + 1 if higher.size else 0:i + 1].min()
-            higher = np.flatnonzero(height[i + 1:] > h)
-            right = height[i:i + 1 + higher[0] if higher.size else len(height)].min()
-            strength = h - max(left, right)
-            if strength >= prominence:
-                found.append((place[j], h, strength))
-        out = pd.DataFrame(found, columns=["pos", "score", "prominence"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    schema = T.StructType([*[scores.schema[k] for k in keys], T.StructField("pos", T.LongType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("prominence", T.DoubleType())])
-    return rows.select(*keys, "pos", score).groupBy(*keys).applyInPandas(peaks, schema)
-
-
 def select_keyframes(vectors: DataFrame, keys: Sequence[str], count: int = 3, vector: str = "vector") -> DataFrame:
     """Up to ``count`` diverse rows of each numbered series, starting from the middle one.
 
@@ -393,13 +346,51 @@ def select_keyframes(vectors: DataFrame, keys: Sequence[str], count: int = 3, ve
 
 
 def pca(vectors: DataFrame, vector: str = "vector", components: int = 50) -> tuple[DataFrame, list[float]]:
-    """Vectors projected on the main axes after centring, and the share of variance of each axis."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    wide = vectors.withColumn("_x", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    dims = len(wide.select("_x").first()[0])
-    rows = wide.count()
-    k = min(components, dims, rows - 1)
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_x", outputCol="_c").fit(wide).transform(wide)
-    model = PCA(k=k, inputCol="_c", outputCol="_y").fit(centred)
-    out = model.transform(centred).withColumn("projection", vector_to_array("_y")).drop("_x", "_c", "_y")
-    return out, [float(x) for x in model.explainedVariance]
+    """Adds ``projection`` on the main axes after centring; also gives the share of variance of each axis.
+
+    Two passes add up means and products per task and per cell of the matrix, which alone reaches the driver (a
+    square of the vectors' length); the third projects. An axis points where its entry of largest size is positive.
+    There are at most as many axes as entries, and one fewer than vectors. Null vectors take no part and have a null
+    projection; without two vectors there are no axes, so projections are empty.
+    """
+    known = vectors.filter(F.col(vector).isNotNull()).select(F.transform(vector, lambda x: x.cast("double")).alias("_x"))
+
+    def sums(centre: np.ndarray | None):
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                part = np.append(x.sum(axis=0), len(x)) if centre is None else ((x - centre).T @ (x - centre)).ravel()
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "v"])
+        rows = known.mapInArrow(add, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
+        return np.array([r["v"] for r in sorted(rows, key=lambda r: r["cell"])])
+
+    schema = T.StructType([*vectors.drop("projection").schema.fields, T.StructField("projection", T.ArrayType(T.DoubleType()))])
+    first = sums(None)
+    count = int(first[-1]) if len(first) else 0
+    dims = max(0, len(first) - 1)
+    k = max(0, min(components, dims, count - 1))
+    centre, axes, share = np.zeros(dims), np.zeros((dims, 0)), []
+    if k:
+        centre = first[:-1] / count
+        values, found = np.linalg.eigh(sums(centre).reshape(dims, dims))
+        axes = found[:, ::-1][:, :k]
+        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+        spread = np.maximum(values[::-1], 0.0)
+        share = (spread[:k] / (spread.sum() or 1.0)).tolist()
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = np.flatnonzero(batch.column(vector).is_valid().to_numpy(zero_copy_only=False))
+            out: list[list[float] | None] = [None] * batch.num_rows
+            if len(there):
+                x = batch.column(vector).take(pa.array(there)).flatten().to_numpy(zero_copy_only=False).reshape(len(there), -1)
+                for i, y in zip(there.tolist(), ((x - centre) @ axes if k else np.zeros((len(there), 0))).tolist()):
+                    out[i] = y
+            yield batch.append_column("projection", pa.array(out, pa.list_(pa.float64())))
+
+    return vectors.drop("projection").mapInArrow(project, schema), share

@@ -39,8 +39,10 @@ def scan_segments(spark, sf):
 def read_typed(spark, sf):
     path = scratch_path(spark, "typed")
     item = F.struct("event_id", "user_id", "value")
-    # one list of documents per user and file
-    lists = table(spark, sf, "events").groupBy(F.col("user_id").alias("part")).agg(F.to_json(F.collect_list(item)).alias("doc"))
+    # a list of documents per user and range of 100,000 events, so no list grows with a user
+    events = table(spark, sf, "events")
+    part = F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 100_000)).alias("part")
+    lists = events.groupBy(part).agg(F.to_json(F.collect_list(item)).alias("doc"))
     one_file_per(lists, "part", "doc", path)
     return readers.read_typed(spark, path, "event_id long, user_id long, value double").drop("part")
 

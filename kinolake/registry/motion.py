@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from kinolake.operators import motion as m
 from kinolake.operators import signal as sg
 from kinolake.plans import segmentation, trajectory
-from kinolake.registry.base import EVENTS_SQL, SEGMENTS_SQL, events, longest, query, r6, rounded, segments, signal, table
+from kinolake.registry.base import EVENTS_SQL, NUMBERED_SQL, SEGMENTS_SQL, events, longest, query, r6, rounded, segments, signal, table
 from kinolake.registry import partition_sql as ps
-from kinolake.registry.signals import CHANNELS, EDGES_SQL, SCALED_SQL, intervals, round_sql
+from kinolake.registry.retrieval import PEAKS_SQL, SCORE_STEPS_SQL
+from kinolake.registry.signals import CHANNELS, EDGE_STEPS_SQL, EDGES_SQL, SCALED_SQL, intervals, round_sql, zero_range_sql
 from kinolake.settings import VELOCITY_CHANNELS
 
 
@@ -78,7 +79,7 @@ def flow_frames(e):
 
 SCENE_SQL = f"""{EVENTS_SQL}, {EDGES_SQL}, inside AS (SELECT ev.*, i.scene_id, i.start_time, i.end_time FROM ev JOIN intervals i
     ON i.video_id = ev.video_id AND "timestamp" >= start_time AND "timestamp" < end_time)"""
-AVERAGES_SQL = f"""{SCENE_SQL}, a AS (SELECT video_id, scene_id, avg(sqrt(pan) * 100) AS sharp, avg(sqrt(tilt) * 25) AS bright,
+AVERAGE_STEPS_SQL = """a AS (SELECT video_id, scene_id, avg(sqrt(pan) * 100) AS sharp, avg(sqrt(tilt) * 25) AS bright,
     avg(CASE WHEN event_type = 'purchase' THEN sqrt(tilt) * 9 END) AS brisque, avg(tilt / 50 + pan / 100) AS clip,
     coalesce(avg(CASE WHEN event_type <> 'view' THEN sqrt(pan) END), 0.0) AS mag,
     coalesce(avg(CASE WHEN event_type <> 'view' THEN sqrt(tilt) / 11 END), 0.0) AS coh FROM inside GROUP BY video_id, scene_id),
@@ -86,6 +87,7 @@ AVERAGES_SQL = f"""{SCENE_SQL}, a AS (SELECT video_id, scene_id, avg(sqrt(pan) *
     greatest(1 - brisque / 80, 0.0) AS s3 FROM a),
   scored AS (SELECT *, greatest(least(CASE WHEN brisque IS NULL THEN (s1 * 0.5 + s2 * 0.2 + coh * 0.2) / 0.9
      ELSE s1 * 0.3 + s2 * 0.2 + coh * 0.2 + s3 * 0.3 END, 1.0), 0.0) AS q FROM parts)"""
+AVERAGES_SQL = f"{SCENE_SQL}, {AVERAGE_STEPS_SQL}"
 
 
 def averages(spark, sf):
@@ -313,7 +315,7 @@ def nested_documents(spark, sf):
                        F.nullif(F.array_join(spans, " "), F.lit("")).alias("spans"))
 
 
-SUBSEGMENTS_SQL = f"""{SCALED_SQL}, {EDGES_SQL}, near AS (SELECT c.video_id, i.scene_id, c.pos, {", ".join(f"c.{x}" for x in CHANNELS)}
+SUBSEGMENT_STEPS_SQL = f"""near AS (SELECT c.video_id, i.scene_id, c.pos, {", ".join(f"c.{x}" for x in CHANNELS)}
     FROM scaled c JOIN sig s ON s.video_id = c.video_id AND s.pos = c.pos JOIN intervals i ON i.video_id = c.video_id AND "timestamp" >= start_time AND "timestamp" < end_time),
   placed_in AS (SELECT * REPLACE (row_number() OVER v - 1 AS pos), pos AS at, count(*) OVER (PARTITION BY video_id, scene_id) AS n
     FROM near WINDOW v AS (PARTITION BY video_id, scene_id ORDER BY pos)),
@@ -324,6 +326,7 @@ SUBSEGMENTS_SQL = f"""{SCALED_SQL}, {EDGES_SQL}, near AS (SELECT c.video_id, i.s
   inside AS (SELECT t.video_id, s.idx, s."timestamp", s.pan, s.tilt, s.zoom, t.scene_id * 100000 + subsegment_id AS scene_id
     FROM three t JOIN moved m ON m.video_id = t.video_id AND m.scene_id = t.scene_id AND t.pos >= a AND t.pos < b
     JOIN sig s ON s.video_id = t.video_id AND s.pos = t.at)"""
+SUBSEGMENTS_SQL = f"{SCALED_SQL}, {EDGES_SQL}, {SUBSEGMENT_STEPS_SQL}"
 
 
 @query("wn15_subsegments", f"""WITH RECURSIVE {interval_stats_sql('n // 10', extra=True, inside=SUBSEGMENTS_SQL)}, long AS ({" UNION ALL ".join(
@@ -351,18 +354,43 @@ def segment_videos(spark, sf):
         f"{c}_monotonicity": r6(f"{c}_monotonicity") for c in VELOCITY_CHANNELS})
 
 
-@query("pl03_analyse_trajectory")
+FIRST_SECOND = 1704067200.0
+POSES_SQL = f"""{NUMBERED_SQL}, pose AS (SELECT video_id, "timestamp" - {FIRST_SECOND} AS "timestamp", pos, n, pan - 50 AS pan, tilt - 50 AS tilt,
+    zoom AS roll, pan / 100 AS tx, tilt / 100 AS ty, zoom / 100 AS tz, tilt / 100 AS inlier_ratio FROM sig)"""
+
+
+def filled_sql(columns) -> str:
+    """``filled``: poses whose match ratio is too low replaced by a line between good neighbours."""
+    lines = ", ".join(f"CASE WHEN g.ok OR goods < 2 THEN g.{c} WHEN p IS NULL THEN b.{c} WHEN q IS NULL THEN a.{c} "
+                      f"ELSE a.{c} + (b.{c} - a.{c}) * ((g.pos - p) / (q - p)) END AS {c}" for c in columns)
+    return f"""good AS (SELECT *, inlier_ratio >= 0.1 AS ok FROM pose),
+  sides AS (SELECT *, sum(ok::INT) OVER (PARTITION BY video_id) AS goods, max(CASE WHEN ok THEN pos END) OVER (PARTITION BY video_id ORDER BY pos) AS p,
+    min(CASE WHEN ok THEN pos END) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM good),
+  filled AS (SELECT g.video_id, g.pos, g.n, {lines} FROM sides g LEFT JOIN pose a ON a.video_id = g.video_id AND a.pos = g.p
+    LEFT JOIN pose b ON b.video_id = g.video_id AND b.pos = g.q)"""
+
+
+@query("pl03_analyse_trajectory", f"""WITH RECURSIVE {POSES_SQL}, {filled_sql(trajectory.POSE_CHANNELS)},
+  {ps.median_of_five('med', 'filled', trajectory.POSE_CHANNELS)}, clean AS ({ps.scaled('med', trajectory.POSE_CHANNELS)}),
+  {ps.partition_sql('cut', 'clean', ps.absolute(trajectory.POSE_CHANNELS), [3.0], min_rows=4)},
+  bounds AS (SELECT cut.video_id, "timestamp" AS "time" FROM cut JOIN pose s ON s.video_id = cut.video_id AND s.pos = end_pos - 1 WHERE end_pos < n),
+  extent AS (SELECT video_id, 0.0::DOUBLE AS s, max("timestamp") AS e FROM pose GROUP BY video_id), {EDGE_STEPS_SQL},
+  q AS (SELECT p.video_id, scene_id, any_value(start_time) AS s, any_value(end_time) AS e, count(*) AS frames, avg(pan) AS p, avg(tilt) AS t, avg(roll) AS r,
+    avg(inlier_ratio) AS m FROM pose p JOIN intervals i ON i.video_id = p.video_id AND "timestamp" >= start_time AND "timestamp" < end_time GROUP BY ALL)
+  SELECT video_id, scene_id, round(s, 6) + 0.0 AS start_time, round(e, 6) + 0.0 AS end_time, frames, round(p, 6) + 0.0 AS mean_pan, round(t, 6) + 0.0 AS mean_tilt,
+    round(r, 6) + 0.0 AS mean_roll, round(m, 6) + 0.0 AS mean_inlier_ratio,
+    CASE greatest(abs(p), abs(t), abs(r)) WHEN abs(p) THEN 'pan' WHEN abs(t) THEN 'tilt' ELSE 'roll' END AS dominant_axis FROM q""")
 def analyse_trajectory(spark, sf):
     p = poses(spark, sf)
-    first = 1704067200.0
-    shifted = p.withColumn("timestamp", F.col("timestamp") - first)
+    shifted = p.withColumn("timestamp", F.col("timestamp") - FIRST_SECOND)
     durations = shifted.groupBy("video_id").agg(F.max("timestamp").alias("duration"))
-    return trajectory.analyse_trajectory(shifted, durations)
+    return rounded(trajectory.analyse_trajectory(shifted, durations), "start_time", "end_time", "mean_pan", "mean_tilt",
+                   "mean_roll", "mean_inlier_ratio")
 
 
 def scene_analysis(spark, sf):
     from kinolake.plans.scenes import analyse_scenes
-    shift = lambda df: df.withColumn("timestamp", F.col("timestamp") - 1704067200.0)
+    shift = lambda df: df.withColumn("timestamp", F.col("timestamp") - FIRST_SECOND)
     e = shift(events(spark, sf))
     v = table(spark, sf, "embeddings")
     vectors = e.select("video_id", "idx", "timestamp", (F.col("idx") % v.count()).alias("vec_id")).join(
@@ -371,7 +399,24 @@ def scene_analysis(spark, sf):
     return analyse_scenes(e.drop("event_type"), quality_frames(e), flow, vectors)
 
 
-@query("pl02_analyse_scenes")
+# every sample has a vector, so a video ends at its last sample and vectors are numbered like samples
+SCENES_SQL = f"""{SCALED_SQL}, {ps.partition_sql('big', 'scaled', ps.squared(CHANNELS), [3.0], min_rows=3)},
+  bounds AS (SELECT big.video_id, "timestamp" AS "time" FROM big JOIN sig s ON s.video_id = big.video_id AND s.pos = end_pos - 1 WHERE end_pos < n),
+  extent AS (SELECT video_id, {FIRST_SECOND}::DOUBLE AS s, max("timestamp") AS e FROM sig GROUP BY video_id), {EDGE_STEPS_SQL}"""
+
+
+@query("pl02_analyse_scenes", f"""WITH RECURSIVE {SCENES_SQL}, {SUBSEGMENT_STEPS_SQL},
+  subs AS (SELECT video_id, scene_id // 100000 AS scene_id, count(*) AS subsegments
+    FROM (SELECT video_id, scene_id FROM inside GROUP BY ALL HAVING count(*) >= 2) GROUP BY ALL),
+  held AS (SELECT sig.*, i.scene_id, start_time, end_time FROM sig JOIN intervals i
+    ON i.video_id = sig.video_id AND "timestamp" >= start_time AND "timestamp" < end_time),
+  ranges AS (SELECT video_id, scene_id, any_value(start_time) - {FIRST_SECOND} AS s, any_value(end_time) - {FIRST_SECOND} AS e, min(pos) AS emb_start,
+    max(pos) + 1 AS emb_end, least(count(*), 3) AS keyframes FROM held GROUP BY ALL), {AVERAGE_STEPS_SQL.replace("FROM inside", "FROM held")}
+  SELECT video_id, scene_id, round(s, 2) + 0.0 AS start_time, round(e, 2) + 0.0 AS end_time, round(e - s, 2) + 0.0 AS duration,
+    round(sharp, 2) AS avg_sharpness, round(bright, 2) AS avg_brightness, CASE WHEN brisque <> 0 THEN round(brisque, 2) END AS avg_brisque,
+    round(mag, 4) AS avg_flow_magnitude, round(coh, 4) AS avg_flow_coherence, round(q, 3) AS quality_score,
+    row_number() OVER (PARTITION BY video_id ORDER BY round(q, 3) DESC, scene_id) AS rank, emb_start, emb_end, keyframes, subsegments
+  FROM scored JOIN ranges USING (video_id, scene_id) LEFT JOIN subs USING (video_id, scene_id)""")
 def analyse_scenes(spark, sf):
     a = scene_analysis(spark, sf)
     keys = ["video_id", "scene_id"]
@@ -380,8 +425,17 @@ def analyse_scenes(spark, sf):
     return a.scenes.join(frames, keys, "left").join(subs, keys, "left")
 
 
-@query("pl02_secondary_boundaries")
+@query("pl02_secondary_boundaries", f"""WITH RECURSIVE {NUMBERED_SQL},
+  flow AS (SELECT video_id, "timestamp", sqrt(pan) AS m, sqrt(tilt) / 11 AS c, sin(zoom / 10) AS s, cos(zoom / 10) AS o,
+    row_number() OVER (PARTITION BY video_id ORDER BY "timestamp", idx) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n FROM ev WHERE event_type <> 'view'),
+  turned AS (SELECT video_id, pos, n, [{", ".join(zero_range_sql(x) for x in "mcso")}] AS v FROM flow WINDOW v AS (PARTITION BY video_id)),
+  {ps.partition_sql('cut', 'turned', ps.kernel('v'), [3.0], min_rows=3)},
+  ser AS (SELECT video_id, pos, n, embedding::DOUBLE[] AS v FROM sig JOIN embeddings ON vec_id = idx % (SELECT count(*) FROM embeddings)),
+  {SCORE_STEPS_SQL}, {PEAKS_SQL}
+  SELECT cut.video_id, round("timestamp" - {FIRST_SECOND}, 6) + 0.0 AS "time", 'flow' AS kind FROM cut JOIN flow f ON f.video_id = cut.video_id AND f.pos = end_pos
+  UNION ALL SELECT r.video_id, round("timestamp" - {FIRST_SECOND}, 6) + 0.0, 'embedding' FROM rise r JOIN sig s ON s.video_id = r.video_id AND s.pos = r.pos
+    WHERE score - greatest(before, after) >= 0.05""")
 def secondary_boundaries(spark, sf):
     a = scene_analysis(spark, sf)
     flow = a.flow_boundaries.select("video_id", "time", F.lit("flow").alias("kind"))
-    return flow.unionByName(a.embedding_boundaries.select("video_id", "time", F.lit("embedding").alias("kind")))
+    return rounded(flow.unionByName(a.embedding_boundaries.select("video_id", "time", F.lit("embedding").alias("kind"))), "time")

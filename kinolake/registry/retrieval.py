@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kinolake.operators import changepoints as cp
 from kinolake.operators import ordering as o
+from kinolake.operators import peaks as pk
 from kinolake.operators import retrieve as rt
 from kinolake.operators import signal as sg
 from kinolake.plans.retrieval import candidate_pools
@@ -190,15 +191,15 @@ def split_score(spark, sf):
     return rounded(rt.split_score(s, ["video_id"], longest=size).select("video_id", "pos", "score"), "score")
 
 
-SCORE_SQL = f"""{SERIES_SQL}, x AS (SELECT s.video_id, s.pos, s.n, i, v[i] AS v FROM ser s, range(1, 65) r(i)),
+SCORE_STEPS_SQL = """x AS (SELECT s.video_id, s.pos, s.n, i, v[i] AS v FROM ser s, range(1, 65) r(i)),
   m AS (SELECT video_id, pos, n, i, avg(v) OVER (PARTITION BY video_id, i ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a,
     avg(v) OVER (PARTITION BY video_id, i ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS b FROM x),
   sc AS (SELECT video_id, pos, CASE WHEN pos >= 10 AND pos < max(n) - 10 THEN 1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) ELSE 0.0 END AS score FROM m GROUP BY video_id, pos)"""
+SCORE_SQL = f"{SERIES_SQL}, {SCORE_STEPS_SQL}"
 
 
 # tops of level stretches; the highest stays (of equals the last) and takes out those within ten rows; then prominence
-@query("wn09_find_peaks", f"""WITH RECURSIVE {SCORE_SQL},
-  marked AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY pos) AS level FROM (SELECT *,
+PEAKS_SQL = """marked AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY pos) AS level FROM (SELECT *,
     CASE WHEN score = lag(score) OVER (PARTITION BY video_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM sc)),
   levels AS (SELECT video_id, level, (min(pos) + max(pos)) // 2 AS pos, any_value(score) AS score FROM marked GROUP BY ALL),
   tops AS (SELECT video_id, pos, score FROM (SELECT *, lag(score) OVER v AS l, lead(score) OVER v AS r FROM levels
@@ -210,13 +211,15 @@ SCORE_SQL = f"""{SERIES_SQL}, x AS (SELECT s.video_id, s.pos, s.n, i, v[i] AS v
   base AS (SELECT p.video_id, p.pos, p.score, coalesce(max(CASE WHEN s.pos < p.pos AND s.score > p.score THEN s.pos END), -1) AS low,
     coalesce(min(CASE WHEN s.pos > p.pos AND s.score > p.score THEN s.pos END), 1000000000) AS high FROM peak p JOIN sc s USING (video_id) GROUP BY ALL),
   rise AS (SELECT b.video_id, b.pos, b.score, min(CASE WHEN s.pos <= b.pos THEN s.score END) AS before,
-    min(CASE WHEN s.pos >= b.pos THEN s.score END) AS after FROM base b JOIN sc s ON s.video_id = b.video_id AND s.pos > low AND s.pos < high GROUP BY ALL)
-  SELECT video_id, pos, round(score, 6) AS score, round(score - greatest(before, after), 6) AS prominence
+    min(CASE WHEN s.pos >= b.pos THEN s.score END) AS after FROM base b JOIN sc s ON s.video_id = b.video_id AND s.pos > low AND s.pos < high GROUP BY ALL)"""
+
+
+@query("wn09_find_peaks", f"""WITH RECURSIVE {SCORE_SQL}, {PEAKS_SQL} SELECT video_id, pos, round(score, 6) AS score, round(score - greatest(before, after), 6) AS prominence
   FROM rise WHERE score - greatest(before, after) >= 0.05""")
 def find_peaks(spark, sf):
     s, size = series(spark, sf)
     scores = rt.split_score(s, ["video_id"], longest=size)
-    return rounded(rt.find_peaks(scores, ["video_id"], longest=size), "score", "prominence")
+    return rounded(pk.find_peaks(scores, ["video_id"], longest=size), "score", "prominence")
 
 
 @query("wn11_kernel_change_points", f"""WITH RECURSIVE {SERIES_SQL}, {ps.partition_sql('cut', 'ser', ps.kernel('v'), [1.0], min_size=10, jump=1)}
@@ -241,7 +244,17 @@ def select_keyframes(spark, sf):
     return rt.select_keyframes(s, ["video_id"]).select("video_id", "pos")
 
 
-@query("sc32_pca")
+# axes are a rotation: squared lengths, their sum and the sum of squared variances do not depend on which one
+PCA_SQL = """x AS (SELECT vec_id, i, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i)),
+  c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM x),
+  m AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS s FROM c a JOIN c b USING (vec_id) GROUP BY a.i, b.i),
+  t AS (SELECT sum(s) FILTER (WHERE i = j) AS total, sum(s * s) AS squares FROM m)"""
+
+
+@query("sc32_pca", f"""WITH {PCA_SQL} SELECT vec_id, 64 AS dims, round(sum(v * v), 6) + 0.0 AS energy,
+  round(any_value(squares / (total * total)), 9) + 0.0 AS share_squares FROM c, t GROUP BY vec_id""")
 def pca(spark, sf):
-    out, _ = rt.pca(table(spark, sf, "embeddings"), "embedding")
-    return out.select("vec_id", F.size("projection").alias("dims"), r6(F.get("projection", F.lit(0))).alias("first"))
+    out, share = rt.pca(table(spark, sf, "embeddings"), "embedding", 64)
+    energy = F.aggregate("projection", F.lit(0.0), lambda s, x: s + x * x)
+    return out.select("vec_id", F.size("projection").alias("dims"), r6(energy).alias("energy"),
+                      F.round(F.lit(sum(x * x for x in share)), 9).alias("share_squares"))

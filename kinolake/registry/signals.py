@@ -203,10 +203,11 @@ def frame_pairs(spark, sf):
 # boundaries of a video: the times of its "signup" events
 BOUNDS_SQL = """bounds AS (SELECT video_id, "timestamp" AS "time" FROM ev WHERE event_type = 'signup'),
   extent AS (SELECT video_id, min("timestamp") AS s, max("timestamp") AS e FROM ev GROUP BY video_id)"""
-EDGES_SQL = BOUNDS_SQL + """, edges AS (SELECT video_id, s AS edge, 0 AS kind FROM extent UNION ALL SELECT video_id, "time", 1 FROM bounds
+EDGE_STEPS_SQL = """edges AS (SELECT video_id, s AS edge, 0 AS kind FROM extent UNION ALL SELECT video_id, "time", 1 FROM bounds
    UNION ALL SELECT video_id, e, 2 FROM extent),
   intervals AS (SELECT * FROM (SELECT video_id, row_number() OVER v - 1 AS scene_id, edge AS start_time, lead(edge) OVER v AS end_time
    FROM edges WINDOW v AS (PARTITION BY video_id ORDER BY edge, kind)) WHERE end_time IS NOT NULL)"""
+EDGES_SQL = f"{BOUNDS_SQL}, {EDGE_STEPS_SQL}"
 
 
 def bounds(e):
@@ -313,4 +314,4 @@ def penalty_sweep(spark, sf):
     penalties = np.linspace(0.5, 20.0, 40).tolist()
     smooth = sg.minmax(sg.savgol(s, CHANNELS, longest=size), CHANNELS, longest=size).withColumn("variant", F.lit("savgol"))
     median = sg.minmax(sg.median_filter(s, CHANNELS, longest=size), CHANNELS, longest=size).withColumn("variant", F.lit("median"))
-    return cp.penalty_sweep(smooth.unionByName(median), ["video_id", "variant"], CHANNELS, penalties, longest=size)
+    return cp.penalty_sweep(smooth.unionByName(median), ["video_id", "variant"], CHANNELS, penalties, longest=size).drop("searches")

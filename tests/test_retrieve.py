@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinolake.operators import ordering as o
+from kinolake.operators import peaks as pk
 from kinolake.operators import retrieve as rt
 from kinolake.operators import signal as sg
 
@@ -82,45 +83,76 @@ def test_similarity_profile(spark, data):
     assert row.nearest_id == 5 and row.mean_similarity == pytest.approx((c[4].sum() - 1) / 89)
 
 
-def peaks_of(x, prominence, distance):
+@pytest.mark.parametrize("size,chunk", [(None, 65536), (400, 65536), (None, 30), (400, 25)])
+def test_peaks(spark, size, chunk):
+    rng = np.random.default_rng(9)
+    shapes = [rng.integers(0, 9, size=300) / 4.0, np.arange(300) % 2 + np.arange(300) / 50.0, np.repeat(rng.integers(0, 4, 20), 15) / 1.0,
+              -np.abs(np.arange(300) - 150.0) + 2.0 * (np.arange(300) % 3), np.zeros(300)]
+    data = pd.concat([pd.DataFrame({"video_id": v, "pos": range(300), "n": 300, "score": x}) for v, x in enumerate(shapes)])
+    got = pk.find_peaks(spark.createDataFrame(data), ["video_id"], 0.5, 6, longest=size, chunk_rows=chunk).toPandas()
+    for video, part in data.groupby("video_id"):
+        want = plain_peaks(part.score.to_numpy(), 0.5, 6)
+        have = got[got.video_id == video].sort_values("pos")
+        assert list(zip(have.pos, have.score, have.prominence.round(9))) == want
+    assert pk.find_peaks(spark.createDataFrame(data).limit(0), ["video_id"], longest=size).count() == 0
+
+
+def plain_peaks(x, prominence, distance):
+    """The whole series at once: tops, suppression by falling height, valleys by scanning."""
     found, i = [], 1
     while i < len(x) - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < len(x) - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < len(x) - 1 and x[j + 1] < x[i]:
-                found.append((i + j) // 2)
-            i = j
-        i += 1
-    keep = {p: True for p in found}
+        j = i
+        while j < len(x) - 1 and x[j + 1] == x[i]:
+            j += 1
+        if x[i - 1] < x[i] and j < len(x) - 1 and x[j + 1] < x[i]:
+            found.append((i + j) // 2)
+        i = j + 1
+    keep = set(found)
     for p in sorted(found, key=lambda p: (x[p], p), reverse=True):
-        if keep[p]:
-            for q in found:
-                if q != p and abs(q - p) < distance:
-                    keep[q] = False
+        if p in keep:
+            keep -= {q for q in found if q != p and abs(q - p) < distance}
     out = []
-    for p in found:
-        if keep[p]:
-            i = p
-            while i > 0 and x[i - 1] <= x[p]:
-                i -= 1
-            j = p
-            while j < len(x) - 1 and x[j + 1] <= x[p]:
-                j += 1
-            if x[p] - max(min(x[i:p + 1]), min(x[p:j + 1])) >= prominence:
-                out.append(p)
+    for p in sorted(keep):
+        left, right = np.flatnonzero(x[:p] > x[p]), np.flatnonzero(x[p:] > x[p])
+        low = x[left[-1] + 1 if len(left) else 0:p + 1].min()
+        high = x[p:p + right[0] if len(right) else len(x)].min()
+        if x[p] - max(low, high) >= prominence:
+            out.append((p, x[p], round(x[p] - max(low, high), 9)))
     return out
 
 
-@pytest.mark.parametrize("size", [None, 400])
-def test_peaks(spark, size):
-    rng = np.random.default_rng(9)
-    frames = [pd.DataFrame({"video_id": v, "pos": range(300), "n": 300, "score": rng.integers(0, 9, size=300) / 4.0}) for v in range(3)]
-    data = pd.concat(frames)
-    got = rt.find_peaks(spark.createDataFrame(data), ["video_id"], 0.5, 6, longest=size).toPandas()
-    for video, part in data.groupby("video_id"):
-        assert sorted(got[got.video_id == video].pos) == peaks_of(part.score.tolist(), 0.5, 6)
+def test_peaks_of_a_long_series(spark):
+    """A million rows in chunks; the staircase passes its decisions through all of them."""
+    n = np.arange(1_000_000)
+    x = np.sin(n / 40.0) + n * 1e-6 + ((n * 2654435761) % 1000) / 1e4
+    rows = spark.range(1_000_000).selectExpr(
+        "1 AS video_id", "id AS pos", "1000000L AS n", "sin(id / 40.0D) + id * 1e-6D + ((id * 2654435761L) % 1000) / 1e4D AS score")
+    got = pk.find_peaks(rows, ["video_id"], 0.5, 100).toPandas().sort_values("pos")
+    assert len(got) > 3000 and got.pos.tolist() == long_peaks(x, 0.5, 100)
+
+
+def long_peaks(x, prominence, distance):
+    top = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1
+    keep = np.ones(len(top), bool)
+    for j in np.lexsort((top, x[top]))[::-1]:
+        if keep[j]:
+            a, b = np.searchsorted(top, top[j] - distance, "right"), np.searchsorted(top, top[j] + distance, "left")
+            keep[a:j] = keep[j + 1:b] = False
+    out = []
+    for p in top[keep]:
+        sides, step = [], 1
+        for way in (-1, 1):
+            reach = 1000
+            while True:
+                part = x[p::way][:reach] if way == 1 else x[p::-1][:reach]
+                above = np.flatnonzero(part > x[p])
+                if len(above) or reach >= len(x):
+                    sides.append(part[:above[0] if len(above) else None].min())
+                    break
+                reach *= 10
+        if x[p] - max(sides) >= prominence:
+            out.append(int(p))
+    return out
 
 
 def test_vector_series(spark):
