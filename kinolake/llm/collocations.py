@@ -2,9 +2,9 @@
 
 Every word starts one window: itself and the next words of its piece, side by side as columns and padded at the end.
 Only these windows are counted; Spark's ROLLUP over the columns adds them up to all shorter phrases.
-A window is padded from the first word or word pair on that occurs too seldom in the corpus, which
-loses no phrase: a frequent phrase has frequent words and pairs only. Which those are is a bit map of bounded size over
-hashes counted exactly; where bits collide, a window merely stays longer than needed.
+A window is padded from the first place on where a word, or two or three words in a row, occur too seldom in the
+corpus, which loses no phrase: all parts of a frequent phrase are frequent. Which those are is a bit map of bounded size
+over hashes counted exactly; where bits collide, a window merely stays longer than needed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-SLICE = 6 << 20  # bytes of text that a task turns into windows at once
+SLICE = 4 << 20  # bytes of text that a task turns into windows at once
 MAX_BITS = 1 << 27  # 16 MB; the map is no larger for any corpus
 SEGMENT = 1 << 15
 # A-Z become a-z, separators of pieces a line feed, tabs a space
@@ -52,11 +52,13 @@ class _Words:
         self.word_hash = mix(plain ^ seed)
         self.pair_hash = mix(plain * _PAIR + seed)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places whose word has a next one in its piece, and hashes of the two."""
+    def runs(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For two and for three words: places with so many words ahead in their piece, and hashes of these."""
         at = np.flatnonzero(self.is_word[:-1] & self.is_word[1:])
-        left, right = self.places[at], self.places[at + 1]
-        return at, mix(self.pair_hash[left] * _LANG + self.word_hash[right])
+        two = mix(self.pair_hash[self.places[at]] * _LANG + self.word_hash[self.places[at + 1]])
+        longer = np.flatnonzero(np.diff(at) == 1)
+        three = mix(two[longer] * _PAIR + self.word_hash[self.places[at[longer] + 2]])
+        return [(at, two), (at[longer], three)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -83,16 +85,15 @@ def _plain(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 
 def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int) -> np.ndarray:
-    """A bit map in which the hashes of all words and pairs with ``min_count`` occurrences are set."""
+    """A bit map in which the hashes of all runs of one to three words with ``min_count`` occurrences are set."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _slices(batches):
             own = np.bincount(words.places[words.is_word], minlength=len(words.names))
             some = np.flatnonzero(own)
-            pairs, times = np.unique(words.pairs()[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((words.word_hash[some], pairs)).view(np.int64)),
-                 pa.array(np.concatenate((own[some], times)))], names=["h", "n"])
+            parts = [(words.word_hash[some], own[some]), *(np.unique(h, return_counts=True) for _, h in words.runs())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in parts]).view(np.int64)),
+                                              pa.array(np.concatenate([n for _, n in parts]))], names=["h", "n"])
 
     frequent = cut_lineage(plain.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
                            .where(F.col("n") >= min_count).select("h"))
@@ -134,12 +135,15 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
             seen = words.places
             depth = (known[seen] & words.is_word).astype(np.int8)
             rare = int(words.is_word.sum() - depth.sum())
-            at, pair = words.pairs()
-            joined = np.zeros(len(seen) + LONGEST, bool)
-            joined[at] = _is_set(bits, pair) & known[seen[at]] & known[seen[at + 1]]
+            two, three = (np.zeros(len(seen) + LONGEST, bool) for _ in range(2))
+            for flags, (at, hashes) in zip((two, three), words.runs()):
+                flags[at] = _is_set(bits, hashes)
             run = depth > 0
-            for k in range(LONGEST - 1):
-                run = run & joined[k:k + len(seen)]
+            frequent = np.append(run, np.zeros(LONGEST, bool))
+            for k in range(1, LONGEST):
+                run = run & frequent[k:k + len(seen)] & two[k - 1:k - 1 + len(seen)]
+                if k > 1:
+                    run &= three[k - 2:k - 2 + len(seen)]
                 depth += run
             names = pa.array([b"" if x == b"\n" else x for x in words.names], pa.binary()).cast(pa.string())
             single = np.bincount(seen[depth == 1], minlength=len(words.names))
