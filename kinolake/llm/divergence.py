@@ -23,7 +23,7 @@ from kinolake.session import scratch_path
 
 SCALE = 1_000_000_000
 TILE = 1024  # groups of a language that meet as rows or as peers in one task
-BUCKET_POSTINGS = 500_000  # counts of one language in a bucket of terms
+BUCKET_POSTINGS = 100_000  # counts of one language in a bucket of terms, or as many as its pairs of sources
 STEP = 1 << 20  # places scattered at once
 HELD = 400_000  # different counts that a task holds before it passes them on
 # bytes outside letters and non-ASCII characters end a term; A-Z become a-z
@@ -150,7 +150,9 @@ def _groups(counts: DataFrame, postings: DataFrame, tile: int, bucket_postings:
     # as many rows per language as it has sources
     groups = groups.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = groups.withColumn("tiles", F.floor(F.max("place").over(Window.partitionBy("lang")) / tile) + 1)
-    buckets = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(0)) / bucket_postings)).alias("buckets")
+    # a bucket has no fewer counts than the pairs of sources that it gives back
+    groups = groups.withColumn("pairs", F.pow(F.max("place").over(Window.partitionBy("lang")) + 1, F.lit(2)))
+    buckets = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(0)) / F.greatest(F.lit(bucket_postings), "pairs"))).alias("buckets")
     return groups.select("lang", "source", *map(zero, ("total", "lang_total", "kinds")),
                          F.floor(F.col("place") / tile).alias("tile"), (F.col("place") % tile).alias("slot"), "tiles", buckets)
 
