@@ -44,31 +44,32 @@ class ChainField:
         return ratio / (1 + ratio)
 
     def fit(self, bins: np.ndarray, labels: np.ndarray, lengths: np.ndarray, rounds: int = 150, rate: float = 0.15,
-            ridge: float = 1.0) -> None:
-        """Adam on the likelihood; ``bins`` is place by sequence by kind, each a feature value from 1."""
-        inside = np.arange(len(bins))[:, None] < lengths[None, :]
-        both = inside[1:]
-        seen = np.zeros_like(self.theta)
-        one = (labels == 1) & inside
-        seen[0] = one.sum()
-        for kind in range(bins.shape[2]):
-            seen += np.bincount(bins[..., kind][one], minlength=len(seen))
-        a, b = labels[:-1][both], labels[1:][both]
-        moved = np.array([((a == 0) & (b == 1)).sum(), ((a == 1) & (b == 0)).sum(), ((a == 1) & (b == 1)).sum()])
+            ridge: float = 1.0, lanes: int = 1024) -> None:
+        """Adam on the likelihood; ``bins`` is place by sequence by kind, each a feature value from 1, in one byte.
+
+        Expectations are added up over ``lanes`` sequences at a time, so besides the input only grids of that
+        width are held.
+        """
+        blocks = []
+        for a in range(0, len(lengths), lanes):
+            size = int(lengths[a])
+            inside = np.arange(size)[:, None] < lengths[None, a:a + lanes]
+            blocks.append((bins[:size, a:a + lanes], labels[:size, a:a + lanes], lengths[a:a + lanes], inside))
+        seen, moved = np.zeros_like(self.theta), np.zeros(3)
+        for part, tags, _, inside in blocks:
+            one = (tags == 1) & inside
+            seen[0] += one.sum()
+            for kind in range(part.shape[2]):
+                seen += np.bincount(part[..., kind][one], minlength=len(seen))
+            both = inside[1:]
+            before, after = tags[:-1][both], tags[1:][both]
+            moved += [((before == 0) & (after == 1)).sum(), ((before == 1) & (after == 0)).sum(),
+                      ((before == 1) & (after == 1)).sum()]
         first, second = np.zeros(len(seen) + 3), np.zeros(len(seen) + 3)
         for i in range(1, rounds + 1):
-            odds, forward, backward = self.passes(self.emission(bins), lengths)
-            ratio = forward * backward
-            p = np.where(inside, ratio / (1 + ratio), 0)
-            expected = np.zeros_like(self.theta)
-            expected[0] = p.sum()
-            for kind in range(bins.shape[2]):
-                expected += np.bincount(bins[..., kind].ravel(), p.ravel(), len(seen))
-            up, out, stay = np.exp(self.step)
-            r, x = forward[:-1], odds[1:] * backward[1:]
-            parts = [up * x, r * out, r * stay * x]
-            whole = 1 + parts[0] + parts[1] + parts[2]
-            steps = np.array([(part / whole)[both].sum() for part in parts])
+            expected, steps = np.zeros_like(self.theta), np.zeros(3)
+            for part, _, sizes, inside in blocks:
+                self._expect(part, sizes, inside, expected, steps)
             slope = np.concatenate((seen - expected, moved - steps)) - ridge * np.concatenate((self.theta, self.step))
             slope[0] += ridge * self.theta[0]
             first = 0.9 * first + 0.1 * slope
@@ -77,5 +78,21 @@ class ChainField:
             self.theta += move[:-3]
             self.step += move[-3:]
 
+    def _expect(self, bins, lengths, inside, expected: np.ndarray, steps: np.ndarray) -> None:
+        """Adds the expected features and moves of some sequences."""
+        odds, forward, backward = self.passes(self.emission(bins), lengths)
+        ratio = forward * backward
+        p = np.where(inside, ratio / (1 + ratio), 0)
+        expected[0] += p.sum()
+        for kind in range(bins.shape[2]):
+            expected += np.bincount(bins[..., kind].ravel(), p.ravel(), len(expected))
+        up, out, stay = np.exp(self.step)
+        r, x = forward[:-1], odds[1:] * backward[1:]
+        parts = [up * x, r * out, r * stay * x]
+        whole = 1 + parts[0] + parts[1] + parts[2]
+        steps += [(part / whole)[inside[1:]].sum() for part in parts]
+
     def emission(self, bins: np.ndarray) -> np.ndarray:
-        return self.theta[0] + sum(np.where(bins[..., k] > 0, self.theta[bins[..., k]], 0) for k in range(bins.shape[-1]))
+        weights = self.theta.copy()
+        weights[0] = 0.0  # no feature
+        return self.theta[0] + sum(weights[bins[..., k]] for k in range(bins.shape[-1]))

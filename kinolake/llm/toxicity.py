@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from kinolake.llm.blocks import mix, utf8, word_hashes
 from kinolake.llm.chain_field import ChainField
 from kinolake.session import cut_lineage
 
@@ -27,7 +27,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TRAIN_DOCS = 20_000  # labelled documents used for fitting, chosen by a hash
 CHAIN_PIECES = 8_000  # pieces of at most PIECE tokens that the chain is fitted on
 PIECE = 256
-LEXICON = 50_000
 KINDS = (None, 5, 4)  # a word whole, and beginnings of these lengths
 EDGES = np.array([0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3.25, 3.75, 4.5, 5.5])
 TOKEN_LIMIT = 1.5  # log-odds from which a word of a toxic document is a labelled token
@@ -35,6 +34,8 @@ SHRINK = 5.0
 CACHE = 400_000
 LANES = 256
 TOKENS_AT_ONCE = 1 << 20
+COPY_KEYS = 3
+_SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def held_out(id_col: Column) -> Column:
@@ -134,11 +135,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "_llm_label")
-    # copies would make the words of one document look frequent: keep one of each group
-    found = found.mapInArrow(_copy_keys, "doc_id long, text string, _llm_label int, k1 long, k2 long")
-    for key in ("k1", "k2"):
-        found = found.groupBy(key).agg(F.min(F.struct("doc_id", "text", "_llm_label", "k2")).alias("r")).select("r.*")
-    train = cut_lineage(found.select("doc_id", "text", "_llm_label"))
+    # copies would make the words of one document look frequent: keep one of each group of a label
+    found = found.withColumn("_llm_row", F.monotonically_increasing_id())
+    keys = [f"k{i}" for i in range(COPY_KEYS)]
+    found = cut_lineage(found.mapInArrow(_copy_keys, ", ".join(
+        ["doc_id long, text string, _llm_label int, _llm_row long", *[f"{k} long" for k in keys]])))
+    light = found.select("doc_id", "_llm_label", "_llm_row", *keys)
+    for key in keys:
+        light = light.groupBy("_llm_label", key).agg(F.min(F.struct("doc_id", "_llm_row", *keys)).alias("r")).select(
+            "_llm_label", "r.*")
+    train = found.join(F.broadcast(light.select("_llm_row")), "_llm_row").select("doc_id", "text", "_llm_label")
+    train = cut_lineage(train)
     sizes = {r["_llm_label"]: r["count"] for r in train.groupBy("_llm_label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -157,8 +164,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
               .agg(F.sum("t").alias("t"), F.sum("c").alias("c")))
     base = toxic / (toxic + clean)
     rise = F.log((F.col("t") + SHRINK * base) / (F.col("c") + SHRINK * (1 - base)) * ((1 - base) / base))
-    best = totals.where((F.col("t") > 1) & (rise > float(EDGES[0]))).orderBy(F.desc(rise), "name").limit(LEXICON).collect()
+    # words of at most ``train_docs`` documents, so bounded with them
+    best = totals.where((F.col("t") > 1) & (rise > float(EDGES[0]))).collect()
     lexicon = Lexicon({r["name"]: (r["t"], r["c"]) for r in best}, toxic, clean)
+    del best
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +179,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 at = int(tags.argmax()) if tags.any() else len(words) // 2
                 at = max(0, min(at - PIECE // 2, len(words) - PIECE))
                 if words:
-                    rows.append((i, bins[at:at + PIECE].astype(np.int16).tobytes(), tags[at:at + PIECE].tobytes()))
+                    rows.append((i, bins[at:at + PIECE].astype(np.uint8).tobytes(), tags[at:at + PIECE].tobytes()))
             ids, b, t = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(b, pa.binary()), pa.array(t, pa.binary())],
                                              names=["doc_id", "bins", "tags"])
@@ -185,12 +194,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chain = ChainField(len(KINDS) * len(EDGES))
     if parts:
         lengths = np.array([len(r["tags"]) for r in parts])
-        bins = np.zeros((lengths[0], len(parts), len(KINDS)), np.int64)
-        tags = np.zeros((lengths[0], len(parts)), np.int64)
+        bins = np.zeros((lengths[0], len(parts), len(KINDS)), np.uint8)
+        tags = np.zeros((lengths[0], len(parts)), np.uint8)
         for lane, r in enumerate(parts):
-            bins[:lengths[lane], lane] = np.frombuffer(r["bins"], np.int16).reshape(-1, len(KINDS))
+            bins[:lengths[lane], lane] = np.frombuffer(r["bins"], np.uint8).reshape(-1, len(KINDS))
             tags[:lengths[lane], lane] = np.frombuffer(r["tags"], np.uint8)
+        del parts
         chain.fit(bins, tags, lengths)
+        del bins, tags
     model = ToxicModel(lexicon, chain, np.zeros(3))
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +219,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def _copy_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two smallest-hash keys over shingles of five words, which most near copies share."""
+    """Keys of two smallest hashes each over shingles of five words; near copies share one or more."""
     for batch in batches:
-        keys = []
-        for text in batch.column("text").to_pylist():
-            words = WORD.findall(text)
-            parts = [" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))]
-            keys.append([min(xxhash.xxh64_intdigest(x, seed) for x in parts) for seed in (1, 2)])
-        keys = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-        yield batch.append_column("k1", pa.array(keys[:, 0])).append_column("k2", pa.array(keys[:, 1]))
+        words, counts = word_hashes(utf8(batch.column("text")))
+        width = np.minimum(np.maximum(counts, 1), 5)
+        firsts = np.cumsum(counts) - counts
+        padded = np.concatenate((words, np.zeros(5, np.uint64)))
+        shingle = np.zeros(len(words), np.uint64)
+        for j in range(5):
+            shingle = shingle * _SHINGLE + padded[j:j + len(words)]
+        sizes = np.maximum(counts - width + 1, 1)
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+        values = shingle[np.minimum(np.repeat(firsts, sizes) + place, len(shingle) - 1)] if len(shingle) else np.zeros(len(place), np.uint64)
+        # texts of fewer words are one shingle of what they have
+        short = np.flatnonzero(counts < 5)
+        own = counts[short].astype(np.uint64)
+        for j in range(5):
+            own = own * _SHINGLE + np.where(j < counts[short], padded[np.minimum(firsts[short] + j, len(words))], 0).astype(np.uint64)
+        values[ends[short] - 1] = own
+        seeds = np.arange(2 * COPY_KEYS, dtype=np.uint64) * _SHINGLE
+        least = [np.minimum.reduceat(mix(values + s), ends - sizes) if len(ends) else values for s in seeds]
+        for k in range(COPY_KEYS):
+            key = mix(least[2 * k] * _SHINGLE + least[2 * k + 1])
+            batch = batch.append_column(f"k{k}", pa.array(key.view(np.int64)))
+        yield batch
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
