@@ -4,7 +4,7 @@ Every word starts one window: itself and the next words of its piece, side by si
 Only these windows are counted; Spark's ROLLUP over the columns adds them up to all shorter phrases.
 A window is padded from the first place on where a word, or two or three words in a row, occur too seldom in the
 corpus, which loses no phrase: all parts of a frequent phrase are frequent. Which those are is a bit map of bounded size
-over hashes counted exactly; where bits collide, a window merely stays longer than needed.
+over counted hashes; where hashes or bits collide, a window merely stays longer than needed.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolake.llm.blocks import mix
+from kinolake.llm.blocks import block_count, group_bounds, mix, pack, shard_of, unpack
 from kinolake.session import cut_lineage
 
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
 NO_LANGUAGE = "und"
-SLICE = 4 << 20  # bytes of text that a task turns into windows at once
+SLICE = 2 << 20  # bytes of text that a task turns into windows at once
+HELD = 4 << 20  # hashes that a task holds before it sends them
+SHARD_BYTES = 16 << 20  # text whose hashes meet in one task
 MAX_BITS = 1 << 27  # 16 MB; the map is no larger for any corpus
 SEGMENT = 1 << 15
 # A-Z become a-z, separators of pieces a line feed, tabs a space
@@ -84,19 +86,46 @@ def _plain(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int) -> np.ndarray:
-    """A bit map in which the hashes of all runs of one to three words with ``min_count`` occurrences are set."""
+def _cells(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a hash and 32 of its bits: what is counted."""
+    return shard_of(hashes, shards).astype(np.uint64) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+
+
+def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int, shards: int) -> np.ndarray:
+    """A bit map in which the cells of all runs of one to three words with ``min_count`` occurrences are set.
+
+    Tasks add up their counts and send them to the shards as packed arrays.
+    """
+    def packed(held) -> pa.RecordBatch:
+        cells, times = _summed(*map(np.concatenate, zip(*held)))
+        cut = group_bounds(cells >> np.uint64(32))
+        low = (cells & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array((cells[cut[:-1]] >> np.uint64(32)).astype(np.int64)),
+             pa.array([pack(low[a:b], times[a:b].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
+            names=["shard", "payload"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for words in _slices(batches):
             own = np.bincount(words.places[words.is_word], minlength=len(words.names))
             some = np.flatnonzero(own)
-            parts = [(words.word_hash[some], own[some]), *(np.unique(h, return_counts=True) for _, h in words.runs())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in parts]).view(np.int64)),
-                                              pa.array(np.concatenate([n for _, n in parts]))], names=["h", "n"])
-
-    frequent = cut_lineage(plain.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-                           .where(F.col("n") >= min_count).select("h"))
+            held += [(_cells(words.word_hash[some], shards), own[some]), *(
+                _summed(_cells(h, shards), np.ones(len(h), np.int64)) for _, h in words.runs())]
+            size += sum(len(h) for h, _ in held[-3:])
+            if size > HELD:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        low, times = map(np.concatenate, zip(*(unpack(p, np.uint32, np.uint32) for p in table["payload"].to_pylist())))
+        low, times = _summed(low, times.astype(np.int64))
+        cells = np.uint64(table["shard"][0].as_py()) << np.uint64(32) | low[times >= min_count].astype(np.uint64)
+        return pa.table({"h": pa.array(mix(cells).view(np.int64))})
+
+    frequent = cut_lineage(plain.mapInArrow(hashes, "shard long, payload binary").groupBy("shard").applyInArrow(add, "h long"))
     bits = 1 << min(max_bits.bit_length() - 1, max(SEGMENT.bit_length() - 1, (16 * frequent.count()).bit_length()))
 
     def segment(table: pa.Table) -> pa.Table:
@@ -105,8 +134,8 @@ def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int) -> np.ndarra
         return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     # at most bits / 8 bytes reach the driver
-    places = frequent.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("h"))
-    found = (places.select("h", F.shiftright("h", SEGMENT.bit_length() - 1).alias("part")).distinct().groupBy("part")
+    places = frequent.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("h")).distinct()
+    found = (places.select("h", F.shiftright("h", SEGMENT.bit_length() - 1).alias("part")).groupBy("part")
              .applyInArrow(segment, "part long, bits binary").collect())
     out = np.zeros(bits // 8, np.uint8)
     for row in found:
@@ -114,8 +143,16 @@ def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int) -> np.ndarra
     return out
 
 
-def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & np.uint64(8 * len(bits) - 1)
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of the counts of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, times = keys[order], times[order]
+    cut = group_bounds(keys)[:-1] if len(keys) else np.zeros(0, np.int64)
+    return keys[cut], np.add.reduceat(times, cut) if len(cut) else times
+
+
+def _is_set(bits: np.ndarray, hashes: np.ndarray, shards: int) -> np.ndarray:
+    at = mix(_cells(hashes, shards)) & np.uint64(8 * len(bits) - 1)
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
@@ -126,18 +163,19 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
     ``n`` counts all words of the language. Null languages count as ``und``, null texts have no words.
     """
     plain = _plain(docs, lang_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent_bits(plain, min_count, max_bits))
+    shards = block_count(plain, F.col("text"), SHARD_BYTES)
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent_bits(plain, min_count, max_bits, shards))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for words in _slices(batches):
-            known = _is_set(bits, words.word_hash)
+            known = _is_set(bits, words.word_hash, shards)
             seen = words.places
             depth = (known[seen] & words.is_word).astype(np.int8)
             rare = int(words.is_word.sum() - depth.sum())
             two, three = (np.zeros(len(seen) + LONGEST, bool) for _ in range(2))
             for flags, (at, hashes) in zip((two, three), words.runs()):
-                flags[at] = _is_set(bits, hashes)
+                flags[at] = _is_set(bits, hashes, shards)
             run = depth > 0
             frequent = np.append(run, np.zeros(LONGEST, bool))
             for k in range(1, LONGEST):
