@@ -52,7 +52,7 @@ def near_links(docs: DataFrame, key: str, similarity: float = 0.8, shingle: int
     texts = docs.select(F.col(key).alias(KEY), F.col(text_col).alias("text"))
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             keys, raw = batch.column(KEY).to_numpy(), [t.translate(_LOWER) for t in utf8(batch.column("text"))]
             hashes, counts = word_hashes(raw)
             ends = np.cumsum(counts)
@@ -101,10 +101,9 @@ def _missed(pairs: DataFrame, links: DataFrame, texts: DataFrame, similarity: fl
     placed = cut_lineage(placed.join(open_groups.where("n > 2 AND x <> y").select("group"), "group"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             keys, group = batch.column(KEY).to_numpy(), batch.column("group").to_numpy()
-            parts = [_shingles(text, shingle) for text in utf8(batch.column("text"))]
-            for i, part in enumerate(parts):
+            for i, part in enumerate(_shingles(text, shingle) for text in utf8(batch.column("text"))):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(keys[i], len(part))), pa.array(np.repeat(group[i], len(part))),
                      pa.array(part.view(np.int64)), pa.array(np.repeat(np.int64(len(part)), len(part)))],
@@ -144,8 +143,8 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, np.ndarray] = {}
+        for batch in _small(batches):
             fine = []
             for x, y in zip(utf8(batch.column("one")), utf8(batch.column("other"))):
                 if y not in known:
@@ -159,6 +158,13 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int)
     return met.mapInArrow(check, "a long, b long")
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Some texts at a time, as they are held several times over."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def _views(words: np.ndarray, views: int) -> np.ndarray:
     out, seeds = np.zeros(views, np.uint64), np.arange(1, views + 1, dtype=np.uint64) * GOLDEN
     for v in range(views if len(words) else 0):

@@ -34,6 +34,7 @@ SHRINK = 5.0
 CACHE = 400_000
 LANES = 256
 TOKENS_AT_ONCE = 1 << 20
+TEXTS_AT_ONCE = 512
 COPY_KEYS = 3
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -269,12 +270,11 @@ def score_toxicity(docs: DataFrame, model: ToxicModel | float, text_col: str = "
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
             scores, spans = [], []
             if isinstance(model, float):
-                scores, spans = [model] * len(texts), [[] for _ in texts]
-            for first in range(0, 0 if isinstance(model, float) else len(texts), 1024):
-                some = texts[first:first + 1024]
+                scores, spans = [model] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            for first in range(0, 0 if isinstance(model, float) else batch.num_rows, TEXTS_AT_ONCE):
+                some = [t or "" for t in batch.column(text_col).slice(first, TEXTS_AT_ONCE).to_pylist()]
                 marginals = model.marginals([model.emissions(WORD.findall(t)) for t in some])
                 for text, p in zip(some, marginals):
                     scores.append(model.score(p))
