@@ -26,6 +26,9 @@ from kinolake.settings import EDITOR
 
 SCENE_BLOCK, SEGMENT_BLOCK = 256, 8192
 TIE_DIGITS = 9
+MAX_PIVOTS, MAX_WORDS = 1024, 1000
+PLAIN_ROWS = 65536
+BOUND_SLACK = 1e-6  # angles and products are rounded
 
 
 # -- block products --------------------------------------------------------
@@ -58,11 +61,9 @@ def _overlap(tags: pd.Series, keywords: pd.Series) -> np.ndarray:
 
 
 def block_scores(scenes: DataFrame, segments: DataFrame, project: str, reduce: Callable, schema: str,
-                 alpha: float | None, scene_block: int = SCENE_BLOCK, segment_block: int = SEGMENT_BLOCK,
-                 scene_order: str = "scene_pos", segment_order: str = "seg_pos",
-                 bucket_rows: int = o.CHUNK_ROWS) -> DataFrame:
+                 scene_block: int = SCENE_BLOCK, segment_block: int = SEGMENT_BLOCK, scene_order: str = "scene_pos",
+                 segment_order: str = "seg_pos", bucket_rows: int = o.CHUNK_ROWS) -> DataFrame:
     """Apply ``reduce(scenes, segments, similarity, overlap)`` to every pair of blocks of a project."""
-    segments = segments.select(*[F.col(c).alias(c) for c in segments.columns])  # both sides may be one table
     side_a = o.number_rows(scenes, [project], [scene_order], o.id_bucket(F.col(scene_order), bucket_rows), "_i", None)
     side_b = o.number_rows(segments, [project], [segment_order], o.id_bucket(F.col(segment_order), bucket_rows), "_i", None)
     side_a = side_a.withColumn("block_a", F.floor(F.col("_i") / scene_block))
@@ -71,13 +72,18 @@ def block_scores(scenes: DataFrame, segments: DataFrame, project: str, reduce: C
     blocks_b = side_b.groupBy(project).agg(F.max("block_b").alias("_last"))
     spread = lambda side, blocks, name: (side.join(blocks, project).withColumn(
         name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last", "_i"))
-    left = spread(side_a, blocks_b, "block_b")
-    right = spread(side_b, blocks_a, "block_a")
-    keys = [project, "block_a", "block_b"]
+    return _products(spread(side_a, blocks_b, "block_b"), spread(side_b, blocks_a, "block_a"), project,
+                     [project, "block_a", "block_b"], reduce, schema)
+
+
+def _products(left: DataFrame, right: DataFrame, project: str, keys: Sequence[str], reduce: Callable, schema: str) -> DataFrame:
+    """``reduce`` for the scenes and segments that meet under ``keys``; the overlap is None without words."""
+    words = "keywords" in left.columns and "tags" in right.columns
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may be one table
 
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         similarity = _unit(b["vector"]) @ _unit(a["vector"]).T
-        overlap = _overlap(b["tags"], a["keywords"]) if alpha is not None else None
+        overlap = _overlap(b["tags"], a["keywords"]) if words else None
         out = reduce(a.reset_index(drop=True), b.reset_index(drop=True), similarity, overlap)
         out.insert(0, project, a[project].iloc[0])
         return out
@@ -85,30 +91,110 @@ def block_scores(scenes: DataFrame, segments: DataFrame, project: str, reduce: C
     def guarded(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return product(a, b) if len(a) and len(b) else pd.DataFrame(columns=names)
 
-    kind = T.StructType([scenes.schema[project], *T._parse_datatype_string(schema).fields])
+    kind = T.StructType([left.schema[project], *T._parse_datatype_string(schema).fields])
     names = kind.fieldNames()
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(guarded, kind)
 
 
-def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k highest scores, earlier order first among equals."""
-    if len(score) > k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        pool = np.flatnonzero(score >= edge)
-    else:
-        pool = np.arange(len(score))
-    return pool[np.lexsort((order[pool], -score[pool]))][:k]
+# -- blocks that need not all be opened --------------------------------------
 
+def word_set(words: Column | str) -> Column:
+    """Distinct lower-cased words, sorted, without nulls; empty for a null list."""
+    column = F.col(words) if isinstance(words, str) else words
+    lower = F.transform(column, lambda w: F.lower(w))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(lower, lambda w: w.isNotNull()))), F.array().cast("array<string>"))
 
-def retrieve_candidates(scenes: DataFrame, segments: DataFrame, project: str = "project",
-                        alpha: float = EDITOR.alpha, k: int = EDITOR.candidates_per_scene,
-                        scene_block: int = SCENE_BLOCK, segment_block: int = SEGMENT_BLOCK) -> DataFrame:
-    """The best k segments of each scene by vector and keyword score, ranked from 1.
 
-    ``scenes``: project, scene_id, scene_pos, vector, keywords. ``segments``: project,
-    segment_id, seg_pos, vector, tags. Scores equal to nine digits keep segment order.
+def ball_blocks(segments: DataFrame, project: str, segment_block: int = SEGMENT_BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Segments in blocks of like vectors: (segments with ``pivot`` and ``block``, pivots, blocks with their bounds).
+
+    Pivots are a few vectors per project, chosen by a hash (four per block of rows, at most ``MAX_PIVOTS``); a segment
+    belongs to the most similar one, and a pivot's segments are cut into blocks by their angle to it. A block has
+    its range of angles and, unless there are too many, the words that occur in it.
+    """
+    sizes = segments.groupBy(project).agg(F.count(F.lit(1)).alias("_n"))
+    count = F.least(F.lit(MAX_PIVOTS), F.when(F.col("_n") <= segment_block, 1).otherwise(F.ceil(4 * F.col("_n") / segment_block)))
+    by_hash = Window.partitionBy(project).orderBy(F.xxhash64("seg_pos"), "seg_pos")
+    pivots = (segments.select(project, "seg_pos", "vector").withColumn("pivot", F.row_number().over(by_hash))
+              .filter(F.col("pivot") <= MAX_PIVOTS).join(sizes, project).filter(F.col("pivot") <= count))
+    pivots = cut_lineage(pivots.select(project, F.col("pivot").cast("long").alias("pivot"), "vector"))
+
+    def closest(a, b, similarity, _):
+        at = similarity.argmax(axis=1)
+        return pd.DataFrame({"seg_pos": b["seg_pos"], "pivot": a["pivot"].to_numpy()[at],
+                             "cos": similarity[np.arange(len(b)), at]})
+    near = block_scores(pivots, segments.select(project, "seg_pos", "vector"), project, closest,
+                        "seg_pos long, pivot long, cos double", segment_block=segment_block, scene_order="pivot")
+    best = near.groupBy(project, "seg_pos").agg(F.max(F.struct("cos", -F.col("pivot"))).alias("_b")).select(
+        project, "seg_pos", (-F.col("_b.col2")).alias("pivot"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_b.cos")))).alias("_angle"))
+    placed = o.number_rows(best, [project, "pivot"], ["_angle", "seg_pos"], o.value_bucket(F.col("_angle")), "_i", None)
+    placed = placed.withColumn("block", F.floor(F.col("_i") / segment_block)).drop("_i")
+    rows = cut_lineage(segments.join(placed, [project, "seg_pos"]))
+    words = F.array_distinct(F.flatten(F.collect_set(word_set("tags")))) if "tags" in segments.columns else F.lit(None).cast("array<string>")
+    blocks = rows.groupBy(project, "pivot", "block").agg(F.min("_angle").alias("low"), F.max("_angle").alias("high"),
+                                                         F.count(F.lit(1)).alias("rows"), words.alias("_words"))
+    blocks = blocks.withColumn("_words", F.when(F.size("_words") <= MAX_WORDS, F.col("_words")))
+    return rows.drop("_angle"), pivots, cut_lineage(blocks)
+
+
+def open_blocks(scenes: DataFrame, segments: DataFrame, project: str, alpha: float, k: int,
+                segment_block: int = SEGMENT_BLOCK, scene_block: int = SCENE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The best k segments of each scene, and ``(project, opened, all_pairs)``: the scene-block pairs that were scored.
+
+    A block can hold no score above the bound that the triangle inequality on angles and the words of the block
+    give. Each scene first opens its most promising blocks, as many as hold k segments, and then only
+    those whose bound reaches the k-th score found there.
     """
+    rows, pivots, blocks = ball_blocks(segments, project, segment_block)
+    scenes = cut_lineage(scenes)
+
+    def angles(a, b, similarity, _):
+        return pd.DataFrame({"scene_pos": np.repeat(a["scene_pos"].to_numpy(), len(b)), "pivot": np.tile(b["pivot"].to_numpy(), len(a)),
+                             "_theta": np.arccos(np.clip(similarity.T.ravel(), -1.0, 1.0))})
+    seen = block_scores(scenes.select(project, "scene_pos", "vector"), pivots, project, angles,
+                        "scene_pos long, pivot long, _theta double", scene_block, scene_order="scene_pos", segment_order="pivot")
+    words = "keywords" in scenes.columns
+    seen = seen.join(blocks, [project, "pivot"])
+    if words:
+        seen = seen.join(scenes.select(project, "scene_pos", word_set("keywords").alias("_own")), [project, "scene_pos"])
+        share = F.coalesce(F.try_divide(F.size(F.array_intersect("_own", "_words")), F.size("_own")), F.lit(0.0))
+        share = F.when(F.col("_words").isNull(), 1.0).otherwise(share)
+    else:
+        share = F.lit(0.0)
+    gap = F.greatest(F.lit(0.0), F.col("_theta") - F.col("high"), F.col("low") - F.col("_theta"))
+    bound = alpha * F.cos(gap) + (1.0 - alpha) * share + BOUND_SLACK
+    bounds = seen.select(project, "scene_pos", "pivot", "block", "rows", bound.alias("_bound"))
+    order = Window.partitionBy(project, "scene_pos").orderBy(F.desc("_bound"), "pivot", "block")
+    before = F.coalesce(F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bounds = cut_lineage(bounds.withColumn("_first", before < k).drop("rows"))
+
+    first = cut_lineage(_score_opened(scenes, rows, bounds.filter("_first"), project, alpha, k, scene_block))
+    least = rank_candidates(first, project).filter(F.col("rank") == k).select(
+        project, "scene_pos", F.round("combined_score", TIE_DIGITS).alias("_least"))
+    more = cut_lineage(bounds.filter("NOT _first").join(least, [project, "scene_pos"], "left")
+                       .filter(F.col("_least").isNull() | (F.col("_bound") >= F.col("_least"))).drop("_least"))
+    found = first.unionByName(_score_opened(scenes, rows, more, project, alpha, k, scene_block))
+    opened = bounds.filter("_first").select(project).unionByName(more.select(project)).groupBy(project).agg(F.count(F.lit(1)).alias("opened"))
+    report = bounds.groupBy(project).agg(F.count(F.lit(1)).alias("all_pairs")).join(opened, project)
+    return rank_candidates(found, project).filter(F.col("rank") <= k), report
+
+
+def _score_opened(scenes: DataFrame, rows: DataFrame, opened: DataFrame, project: str, alpha: float, k: int, scene_block: int) -> DataFrame:
+    """Scores of the best k segments for each scene and block that it opens."""
+    block = [project, "pivot", "block"]
+    asked = scenes.join(opened.select(*block, "scene_pos"), [project, "scene_pos"])
+    asked = o.number_rows(asked, block, ["scene_pos"], o.id_bucket(F.col("scene_pos")), "_i", None)
+    asked = asked.withColumn("part", F.floor(F.col("_i") / scene_block)).drop("_i")
+    parts = asked.groupBy(*block).agg(F.max("part").alias("_last"))
+    held = rows.join(parts, block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))).drop("_last")
+
+    return _products(asked, held, project, [*block, "part"], *_best_of(scenes, rows, alpha, k))
+
+
+def _best_of(scenes: DataFrame, segments: DataFrame, alpha: float, k: int) -> tuple[Callable, str]:
+    """What keeps the best k segments of each scene among those it meets, and its columns."""
     def best(a, b, similarity, overlap):
+        overlap = np.zeros_like(similarity) if overlap is None else overlap
         combined = alpha * similarity + (1.0 - alpha) * overlap
         ranked, order = np.round(combined, TIE_DIGITS), b["seg_pos"].to_numpy()
         parts = []
@@ -121,10 +207,38 @@ def retrieve_candidates(scenes: DataFrame, segments: DataFrame, project: str = "
                 "combined_score": combined[hit, j]}))
         return pd.concat(parts, ignore_index=True)
 
-    columns = (f"scene_id {scenes.schema['scene_id'].dataType.simpleString()}, scene_pos long, "
-               f"segment_id {segments.schema['segment_id'].dataType.simpleString()}, seg_pos long, "
-               "embedding_score double, keyword_score double, combined_score double")
-    tops = block_scores(scenes, segments, project, best, columns, alpha, scene_block, segment_block)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return best, (f"scene_id {kind(scenes, 'scene_id')}, scene_pos long, segment_id {kind(segments, 'segment_id')}, seg_pos long, "
+                  "embedding_score double, keyword_score double, combined_score double")
+
+
+def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k highest scores, earlier order first among equals."""
+    if len(score) > k:
+        edge = np.partition(score, len(score) - k)[len(score) - k]
+        pool = np.flatnonzero(score >= edge)
+    else:
+        pool = np.arange(len(score))
+    return pool[np.lexsort((order[pool], -score[pool]))][:k]
+
+
+def retrieve_candidates(scenes: DataFrame, segments: DataFrame, project: str = "project",
+                        alpha: float = EDITOR.alpha, k: int = EDITOR.candidates_per_scene,
+                        scene_block: int = SCENE_BLOCK, segment_block: int = SEGMENT_BLOCK,
+                        plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """The best k segments of each scene by vector and keyword score, ranked from 1.
+
+    ``scenes``: project, scene_id, scene_pos, vector, keywords. ``segments``: project,
+    segment_id, seg_pos, vector, tags. Scores equal to nine digits keep segment order. ``scene_pos`` and
+    ``seg_pos`` are unique in a project. Where no project has more than ``plain_rows`` segments, bounds cost
+    more than they save and every block is scored; beyond, only blocks that may hold one of the best
+    (:func:`open_blocks`). The result is the same.
+    """
+    largest = segments.groupBy(project).count().agg(F.max("count")).first()[0] or 0
+    if largest > plain_rows:
+        return open_blocks(scenes, segments, project, alpha, k, segment_block, scene_block)[0]
+    best, columns = _best_of(scenes, segments, alpha, k)
+    tops = block_scores(scenes, segments, project, best, columns, scene_block, segment_block)
     return rank_candidates(tops, project).filter(F.col("rank") <= k)
 
 
@@ -133,44 +247,63 @@ def rank_candidates(candidates: DataFrame, project: str = "project") -> DataFram
     return candidates.withColumn("rank", F.row_number().over(w))
 
 
+def vector_sums(vectors: DataFrame, project: str, vector: str = "vector") -> DataFrame:
+    """``(project, count, total)``: number and sum of the unit vectors of each project."""
+    mean = Summarizer.mean(array_to_vector(F.col("_u"))).alias("_m")
+    sums = vectors.select(project, v.l2_normalise(F.col(vector)).alias("_u")).groupBy(project).agg(F.count(F.lit(1)).alias("count"), mean)
+    return sums.select(project, "count", F.transform(vector_to_array("_m"), lambda e: e * F.col("count")).alias("total"))
+
+
+def overlap_sums(scenes: DataFrame, segments: DataFrame, project: str) -> DataFrame:
+    """``(project, _set, overlaps)``: for each set of keywords the sum of its overlaps with the tags of all segments.
+
+    Equal sets count once, and only sets with a word in common meet, by way of the list of sets for each word.
+    """
+    sets = scenes.select(project, word_set("keywords").alias("_set")).distinct()
+    tags = segments.groupBy(project, word_set("tags").alias("_tags")).agg(F.count(F.lit(1)).alias("_times"))
+    left = sets.select(project, "_set", F.explode("_set").alias("_word"))
+    right = tags.select(project, "_tags", "_times", F.explode("_tags").alias("_word"))
+    common = left.join(right, [project, "_word"]).groupBy(project, "_set", "_tags", "_times").agg(F.count(F.lit(1)).alias("_c"))
+    each = F.col("_times") * F.col("_c") / (F.size("_set") + F.size("_tags") - F.col("_c"))
+    return common.groupBy(project, "_set").agg(F.sum(each).alias("overlaps"))
+
+
 def score_summary(scenes: DataFrame, segments: DataFrame, project: str = "project",
-                  alpha: float = EDITOR.alpha) -> DataFrame:
-    """All pairs of a scene in one row: number, mean and highest combined score."""
-    def sums(a, b, similarity, overlap):
-        combined = alpha * similarity + (1.0 - alpha) * overlap
-        return pd.DataFrame({"scene_id": a["scene_id"], "pairs": len(b), "total": combined.sum(axis=0),
-                             "top": combined.max(axis=0)})
-    kind = f"scene_id {scenes.schema['scene_id'].dataType.simpleString()}, pairs long, total double, top double"
-    parts = block_scores(scenes, segments, project, sums, kind, alpha)
-    return parts.groupBy(project, "scene_id").agg(
-        F.sum("pairs").alias("pairs"), (F.sum("total") / F.sum("pairs")).alias("mean_score"),
-        F.max("top").alias("top_score"))
+                  alpha: float = EDITOR.alpha, plain_rows: int = PLAIN_ROWS) -> DataFrame:
+    """All pairs of a scene in one row: number, mean and highest combined score.
 
+    The mean follows from sums: a scene's similarities add up to its product with the sum of all unit vectors,
+    its overlaps to a sum over word sets. Only the highest score looks at segments, in the blocks that may hold it.
+    """
+    sums = vector_sums(segments, project)
+    rows = scenes.select(project, "scene_id", v.l2_normalise(F.col("vector")).alias("_u"), word_set("keywords").alias("_set"))
+    rows = rows.join(sums, project).join(overlap_sums(scenes, segments, project), [project, "_set"], "left")
+    mean = (alpha * v.dot(F.col("_u"), F.col("total")) + (1.0 - alpha) * F.coalesce("overlaps", F.lit(0.0))) / F.col("count")
+    top = retrieve_candidates(scenes, segments, project, alpha, 1, plain_rows=plain_rows)
+    return rows.select(project, "scene_id", F.col("count").alias("pairs"), mean.alias("mean_score")).join(
+        top.select(project, "scene_id", F.col("combined_score").alias("top_score")), [project, "scene_id"])
 
-def similarity_profile(vectors: DataFrame, project: str = "project") -> DataFrame:
+
+def similarity_profile(vectors: DataFrame, project: str = "project", plain_rows: int = PLAIN_ROWS) -> DataFrame:
     """Row summary of the full cosine matrix: mean over the other vectors and the closest one.
 
-    ``vectors``: project, vec_id, vector.
+    ``vectors``: project, vec_id (unique in a project), vector. The mean comes from the sum of all unit vectors; the
+    closest vector is looked for in the blocks that may hold it.
     """
-    def closest(a, b, similarity, _):
-        own = b["vec_id"].to_numpy()[:, None] == a["vec_id"].to_numpy()[None, :]
-        others = np.where(own, -np.inf, np.round(similarity, TIE_DIGITS))
-        order = b["vec_id"].to_numpy()
-        hit = [_best(others[:, j], order, 1)[0] for j in range(len(a))]
-        return pd.DataFrame({"vec_id": a["vec_id"], "others": (~own).sum(axis=0),
-                             "total": np.where(own, 0.0, similarity).sum(axis=0),
-                             "near_id": order[hit], "near": others[hit, np.arange(len(a))]})
-    parts = block_scores(vectors, vectors, project, closest,
-                         "vec_id long, others long, total double, near_id long, near double", None,
-                         scene_order="vec_id", segment_order="vec_id")
-    pick = F.struct("near", (-F.col("near_id")).alias("first"))
-    sums = parts.groupBy(project, "vec_id").agg(
-        F.sum("others").alias("others"), F.sum("total").alias("_t"), F.max(pick).alias("_m"))
-    some = F.col("others") > 0
-    return sums.select(project, "vec_id", "others",
-                       F.when(some, F.col("_t") / F.col("others")).alias("mean_similarity"),
-                       F.when(some, -F.col("_m.first")).alias("nearest_id"),
-                       F.when(some, F.col("_m.near")).alias("nearest_similarity"))
+    both = vectors.select(project, "vec_id", "vector")
+    sums = vector_sums(both, project)
+    rows = both.select(project, "vec_id", v.l2_normalise(F.col("vector")).alias("_u")).join(sums, project)
+    others = F.col("count") - 1
+    rest = v.dot(F.col("_u"), F.col("total")) - v.dot(F.col("_u"), F.col("_u"))
+    asked = both.select(project, F.col("vec_id").alias("scene_id"), F.col("vec_id").alias("scene_pos"), "vector")
+    held = both.select(project, F.col("vec_id").alias("segment_id"), F.col("vec_id").alias("seg_pos"), "vector")
+    # a vector may be its own best: of two, one is another
+    two = retrieve_candidates(asked, held, project, 1.0, 2, plain_rows=plain_rows).filter("segment_id <> scene_id")
+    near = two.groupBy(project, F.col("scene_id").alias("vec_id")).agg(F.min_by(F.struct("segment_id", F.round(
+        "combined_score", TIE_DIGITS).alias("near")), "rank").alias("_n"))
+    return rows.join(near, [project, "vec_id"], "left").select(
+        project, "vec_id", others.alias("others"), F.when(others > 0, rest / others).alias("mean_similarity"),
+        F.col("_n.segment_id").alias("nearest_id"), F.col("_n.near").alias("nearest_similarity"))
 
 
 # -- pools -----------------------------------------------------------------

@@ -7,6 +7,7 @@ column per channel. Operators that need places in the series take numbered sampl
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -82,28 +83,35 @@ def savgol(df: DataFrame, columns: Sequence[str], window: int = 11, degree: int
     window use the polynomial of the series' first and last ``window`` samples. Short
     series use the widest odd window that fits; shorter than that they stay unchanged.
     """
-    reach = window - 1
+    reach, half = window - 1, window // 2
     sizes = [w for w in range(3, window + 1, 2) if w > degree]
     tables = F.create_map(*[x for w in sizes for x in (
         F.lit(w), F.array(*[F.array(*[F.lit(c) for c in row]) for row in smoothing_weights(w, degree)]))])
     pos, n = F.col("pos"), F.col("n")
+    chunks, window_rows = o.neighbourhood(df, keys, reach, reach, chunk_rows, longest)
+    # inner rows: a fixed sum over neighbours; only samples near the ends of a series are gathered in lists
+    centre = smoothing_weights(window, degree)[half]
+    near = (pos < window) | (pos >= n - window)
+    inner = {f"_in_{c}": functools.reduce(lambda acc, x: acc + x, [F.lit(0.0), *[
+        (F.lag(c, half - i) if i < half else F.lead(c, i - half)).over(window_rows) * k for i, k in enumerate(centre)]])
+        for c in columns}
+    ends = F.collect_list(F.when(near, F.struct(*columns))).over(window_rows.rowsBetween(-reach, reach))
+    chunks = o.own_rows(chunks.withColumns(inner | {"_near": ends}))
     w = _effective_window(n, window, degree)
     start = F.greatest(F.least(pos - (w - 1) / 2, n - w), F.lit(0)).cast("int")
-    skipped = F.greatest(pos - reach, F.lit(0)).cast("int")
-    chunks, window_rows = o.neighbourhood(df, keys, reach, reach, chunk_rows, longest)
-    frame = window_rows.rowsBetween(-reach, reach)
-    chunks = chunks.withColumn("_near", F.collect_list(F.struct(*columns)).over(frame))
-    chunks = o.own_rows(chunks)
-    enough = n >= F.greatest(w, F.lit(2))
+    whole = (n >= window) & (pos >= half) & (pos < n - half)
+    enough = (n >= F.greatest(w, F.lit(2))) & ~whole
+    first = F.greatest(pos - reach, F.lit(0))  # place of the first sample in the list
+    first = F.when((n > 2 * window) & (pos >= window), n - window).otherwise(first)
     rows = (chunks.withColumn("_w", w).withColumn("_start", start)
             .withColumn("_weights", F.when(enough, F.element_at(F.element_at(tables, F.col("_w")),
                                                                (pos - F.col("_start")).cast("int") + 1)))
-            .withColumn("_near", F.when(enough, F.slice(F.col("_near"), F.col("_start") - skipped + 1,
-                                                        F.col("_w")))))
+            .withColumn("_near", F.when(enough, F.slice(F.col("_near"), (F.col("_start") - first + 1).cast("int"), F.col("_w")))))
 
     def weighted(c: str) -> Column:
         products = F.zip_with(F.col("_near"), F.col("_weights"), lambda s, k: s[c] * k)
-        return F.coalesce(F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x), F.col(c))
+        edge = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+        return F.coalesce(F.when(whole, F.col(f"_in_{c}")).otherwise(edge), F.col(c))
 
     smooth = {c: weighted(c) for c in columns}
     return rows.withColumns(smooth).select(*df.columns)

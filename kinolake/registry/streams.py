@@ -11,8 +11,8 @@ from kinolake.streaming import incremental as inc
 SLICES, FILES = 5, 4
 
 
-def as_file_stream(df, name, order):
-    """The rows as files that arrive slice by slice; a micro-batch takes one slice."""
+def as_file_stream(df, name, order, closing=None):
+    """The rows as files that arrive slice by slice; a micro-batch takes one slice, and ``closing`` rows come last."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     place = F.col(order).cast("double")
@@ -20,6 +20,8 @@ def as_file_stream(df, name, order):
     part = F.least(F.floor((place - low) / (high - low) * SLICES), F.lit(SLICES - 1))
     for i in range(SLICES):
         df.filter(part == i).repartition(FILES).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
@@ -29,7 +31,11 @@ def frame_pairs(spark, sf):
     e = table(spark, sf, "events").select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("idx"), (micros("ts") / 1e6).alias("timestamp"),
         F.col("value").alias("pan"), F.timestamp_micros(micros("ts")).alias("ts"))
-    pairs = inc.stream_frame_pairs(as_file_stream(e, "samples", "ts"), "40 days")
+    # a sample of no video, two hours after the last one, lets the others leave
+    closing = e.agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("long").alias("video_id"), F.lit(-1).cast("long").alias("idx"), F.lit(0.0).alias("timestamp"), F.lit(0.0).alias("pan"),
+        (F.col("last") + F.expr("INTERVAL 2 HOURS")).alias("ts"))
+    pairs = inc.stream_frame_pairs(as_file_stream(e, "samples", "ts", closing), "1 hour")
     return inc.run_to_table(pairs, "pairs").select("idx", "pan", "prev_idx", "prev_pan")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from kinolake.functions import scalars as s
 # Media suffixes and the name of a version file.
 MEDIA_GLOB, MEDIA_PATTERN = "*.[mM][pPoO][4vV]", r"(?i)\.(mp4|mov)$"
 VERSION_FILE, VERSION_PARTITION = r"/v(\d+)\.json$", r"/version=(\d+)/[^/]+$"
+VERSION_FOLDER = re.compile(r"version=(\d+)")
 VIDEO_IN_PATH = r"/videos/([^/]+)/[^/]+/[^/]+$"
 
 
@@ -73,14 +76,28 @@ def list_versions(spark: SparkSession, folder: str, pattern: str = VERSION_FILE)
             .agg(F.max("modificationTime").alias("created_at")).orderBy("version"))
 
 
+def file_system(spark: SparkSession, folder: str):
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return root, root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def child(spark: SparkSession, parent, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(parent, name)
+
+
+def stored_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the versions in a folder, from the names of its folders alone."""
+    root, files = file_system(spark, folder)
+    if not files.exists(root):
+        return []
+    names = (status.getPath().getName() for status in files.listStatus(root))
+    return sorted(int(m[1]) for m in map(VERSION_FOLDER.fullmatch, names) if m)
+
+
 def read_version(spark: SparkSession, folder: str, version: int | str = "latest") -> DataFrame:
-    """Rows of one stored version, given as number, ``v`` and number, or ``latest``."""
-    stored = spark.read.parquet(folder)
-    if version == "latest":
-        wanted = stored.agg(F.max("version")).first()[0]
-    else:
-        wanted = int(str(version).lstrip("v"))
-    rows = stored.filter(F.col("version") == wanted)
-    if wanted is None or rows.isEmpty():
+    """Rows of one stored version, given as number, ``v`` and number, or ``latest``; no other version is listed."""
+    stored = stored_versions(spark, folder)
+    wanted = max(stored, default=None) if version == "latest" else int(str(version).lstrip("v"))
+    if wanted not in stored:
         raise FileNotFoundError(f"no version {version} in {folder}")
-    return rows
+    return spark.read.option("basePath", folder).parquet(f"{folder}/version={wanted}")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-
-from kinolake.sources.readers import VERSION_PARTITION, list_versions
+from kinolake.sources.readers import child, file_system, stored_versions
 
 
 def _clean(c: Column, kind: T.DataType) -> Column:
@@ -43,22 +45,49 @@ def write_doc(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrit
 
 
 def save_versioned(df: DataFrame, folder: str) -> int:
-    """Append as the next version (1 for the first) and return its number.
+    """Append as the next version (1 for the first) and return its number; several writers may do so at once.
 
-    The partition column is the version, so reading the latest prunes all others. One
-    writer at a time per folder is assumed, as for any numbered output.
+    Tasks write to a staging folder that readers do not see. Only when all have committed is a number claimed, by
+    creating a file that must not exist yet, and the staged folder renamed to that version; of two writers one
+    moves on to the next number. A write that fails leaves neither a version nor staged files. The partition column is the version, so
+    reading the latest prunes all others.
     """
     spark = df.sparkSession
+    root, files = file_system(spark, folder)
+    staged = child(spark, root, f"_staged-{uuid.uuid4().hex}")
+    try:
+        sanitise(df).write.parquet(staged.toString())
+        return _publish(spark, files, root, staged)
+    finally:
+        files.delete(staged, True)
+
+
+def _claim(files, claim) -> bool:
+    """Whether this writer is the one that made ``claim``."""
     try:
-        # the folder names hold the numbers; no file is opened
-        last = list_versions(spark, folder, VERSION_PARTITION).agg(F.max("version")).first()[0] or 0
-    except AnalysisException as exc:
-        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        last = 0
-    version = int(last) + 1
-    sanitise(df).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(folder)
-    return version
+        if files.getUri().getScheme() == "file":  # the local file system of a single machine: only mkdir is exclusive
+            os.mkdir(claim.toUri().getPath())
+        else:
+            files.create(claim, False).close()
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as exc:
+        if "FileAlreadyExists" in exc.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def _publish(spark: SparkSession, files, root, staged) -> int:
+    version = max(stored_versions(spark, root.toString()), default=0) + 1
+    while True:
+        claim, target = child(spark, root, f"_claim-{version}"), child(spark, root, f"version={version}")
+        if _claim(files, claim) and not files.exists(target):
+            if not files.rename(staged, target):
+                files.delete(claim, True)
+                raise OSError(f"version {version} could not be put in place in {root.toString()}")
+            return version
+        version += 1
 
 
 def write_per_video(df: DataFrame, path: str) -> None:

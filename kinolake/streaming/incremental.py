@@ -2,67 +2,134 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kinolake.session import scratch_path
+from kinolake.sources.readers import child, file_system
 
 PAIR_SCHEMA = "video_id long, idx long, timestamp double, pan double, prev_idx long, prev_timestamp double, prev_pan double"
+SAMPLE = ("idx", "timestamp", "pan")
 STATE_SCHEMA = "idx long, timestamp double, pan double"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """Keyed state with timers needs the store on local disk; queries with a checkpoint keep the store they began with."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+class _Pairs(StatefulProcessor):
+    """Samples wait until the watermark has passed them, and then leave in order of time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", STATE_SCHEMA + ", at long")
+        self.last = handle.getValueState("last", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows))
+        # the first millisecond at which no earlier sample can come any more
+        fresh["at"] = -(-fresh["ts"].astype("datetime64[us]").astype("int64") // 1000)
+        self.waiting.appendList([(int(i), float(t), float(p), int(a)) for i, t, p, a in
+                                 fresh[[*SAMPLE, "at"]].itertuples(index=False)])
+        self.handle.registerTimer(int(fresh["at"].min()))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=[*SAMPLE, "at"])
+        ready, rest = rows[rows["at"] <= mark].sort_values(["timestamp", "idx"]), rows[rows["at"] > mark]
+        if ready.empty:
+            return
+        if rest.empty:
+            self.waiting.clear()
+        else:
+            self.waiting.put([(int(i), float(t), float(p), int(a)) for i, t, p, a in rest.itertuples(index=False)])
+            self.handle.registerTimer(int(rest["at"].min()))
+        before = ready[list(SAMPLE)].shift(1)
+        if self.last.exists():
+            before.iloc[0] = tuple(self.last.get())
+        end = ready.iloc[-1]
+        self.last.update((int(end["idx"]), float(end["timestamp"]), float(end["pan"])))
+        out = pd.concat([ready[list(SAMPLE)], before.add_prefix("prev_").astype({"prev_idx": "Int64"})], axis=1)
+        out.insert(0, "video_id", key[0])
+        yield out
 
 
 def stream_frame_pairs(samples: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Each sample with its predecessor across micro-batches.
+    """Each sample with its predecessor across micro-batches, as the batch form gives it.
 
-    ``samples``: video_id, idx, timestamp, pan and the event time ``ts``. State is the last
-    sample of a video, kept however long the video is silent: one row per video. A sample
-    older than the state is compared with nothing that is kept, so it is emitted without a
-    predecessor; one that comes later than ``lateness`` is left out by the watermark.
+    ``samples``: video_id, idx, timestamp, pan and the event time ``ts``. A sample is held back until the watermark
+    passes it, so those that arrive in any order within ``lateness`` find their true predecessor; one
+    that comes later is left out by the watermark. State is the samples held back and, however long a video is
+    silent, its last one. The last ``lateness`` of a stream leaves when later samples of any video arrive.
     """
-    def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "idx"])
-        last = state.get if state.exists else None
-        fresh = rows["timestamp"] >= last[1] if last else rows["timestamp"].notna()
-        before = rows.loc[fresh, ["idx", "timestamp", "pan"]].shift(1)
-        if last and len(before):
-            before.iloc[0] = last
-        before = before.reindex(rows.index).add_prefix("prev_").astype({"prev_idx": "Int64"})
-        if fresh.any():
-            end = rows[fresh].iloc[-1]
-            state.update((int(end["idx"]), float(end["timestamp"]), float(end["pan"])))
-        yield pd.concat([rows[["video_id", "idx", "timestamp", "pan"]], before], axis=1)
-
-    # of event time, as only then late rows are left out; no timestamp is set, so no state ends
-    keyed = samples.withWatermark("ts", lateness).groupBy("video_id")
-    return keyed.applyInPandasWithState(pair, PAIR_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    _keep_state_on_disk(samples.sparkSession)
+    return samples.withWatermark("ts", lateness).groupBy("video_id").transformWithStateInPandas(
+        _Pairs(), PAIR_SCHEMA, "Append", "EventTime")
+
+
+class _FirstSeen(StatefulProcessor):
+    """The first row of every key; a flag per key is all that is kept."""
+
+    def __init__(self, order: str):
+        self.order = order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        self.seen.update((True,))
+        yield pd.concat(list(rows)).sort_values(self.order).iloc[:1]
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
 
 
 def stream_register(files: DataFrame, manifest_path: str, key: str, order: str, checkpoint: str):
     """Add unseen content hashes to the manifest table, micro-batch by micro-batch.
 
-    A replayed batch finds its hashes in the table and adds nothing.
+    Known hashes are keyed state on local disk, saved with the checkpoint. The manifest is read once, when a
+    checkpoint is new, as the first state. A replayed batch replaces its own files and adds nothing.
     """
     spark = files.sparkSession
+    _keep_state_on_disk(spark)
     try:
-        spark.read.parquet(manifest_path)
+        known = spark.read.schema(files.schema).parquet(manifest_path).select(key).distinct().groupBy(key)
     except AnalysisException as exc:
-        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
         spark.createDataFrame([], files.schema).write.parquet(manifest_path)
-
-    def add(batch: DataFrame, _: int) -> None:
-        known = batch.sparkSession.read.schema(files.schema).parquet(manifest_path).select(key)
-        fields = [c for c in batch.columns if c != key]
-        first = batch.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_f"))
-        fresh = first.select(key, *[F.col(f"_f.{c}").alias(c) for c in fields]).join(known, key, "left_anti")
-        fresh.select(*files.columns).write.mode("append").parquet(manifest_path)
-
-    return (files.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        known = None
+    fresh = files.groupBy(key).transformWithStateInPandas(_FirstSeen(order), files.schema, "Append", "None", known)
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        root, store = file_system(batch.sparkSession, manifest_path)
+        prefix, staged = f"batch-{run}-{epoch}-", child(batch.sparkSession, root, f"_staged-{uuid.uuid4().hex}")
+        try:
+            batch.write.parquet(staged.toString())
+            for old in store.listStatus(root):
+                if old.getPath().getName().startswith(prefix):
+                    store.delete(old.getPath(), False)
+            for part in store.listStatus(staged):
+                name = part.getPath().getName()
+                if name.startswith("part-") and not store.rename(part.getPath(), child(batch.sparkSession, root, prefix + name)):
+                    raise OSError(f"batch {epoch} could not be put in place in {manifest_path}")
+        finally:
+            store.delete(staged, True)
+
+    return (fresh.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

@@ -52,6 +52,59 @@ def test_top_candidates(spark, data):
     assert not got["keyword_score"].isna().any()
 
 
+def clustered(spark, seed=3, n=400):
+    """Two projects of segments around few directions, one of them with most rows, and scenes near some of them."""
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(12, 6))
+    segs, scenes = [], []
+    for i in range(n):
+        p = int(i % 5 == 0)
+        vec = middles[i % 12] + 0.05 * rng.normal(size=6) if i % 50 else np.zeros(6)
+        tags = None if i % 40 == 7 else [str(x) for x in rng.choice(WORDS + [f"c{i % 12}", None], 2)]
+        segs.append((p, f"g{i}", i, (vec / max(np.linalg.norm(vec), 1e-12)).tolist(), tags))
+    segs += [(0, f"h{i}", 1000 + i, segs[1][3], segs[1][4]) for i in range(20)]  # ties
+    for i in range(30):
+        vec = middles[i % 12] + 0.05 * rng.normal(size=6) if i else np.zeros(6)
+        scenes.append((i % 2, f"s{i}", i, vec.tolist(), [["Sea", f"C{i % 12}"], [], None, ["hill"]][i % 4]))
+    seg_df = spark.createDataFrame(segs, "project int, segment_id string, seg_pos long, vector array<double>, tags array<string>")
+    scene_df = spark.createDataFrame(scenes, "project int, scene_id string, scene_pos long, vector array<double>, keywords array<string>")
+    return scene_df, seg_df
+
+
+def test_bounds_open_few_blocks_and_lose_nothing(spark):
+    scene_df, seg_df = clustered(spark)
+    want = rt.retrieve_candidates(scene_df, seg_df, k=5)
+    got, report = rt.open_blocks(scene_df, seg_df, "project", 0.7, 5, segment_block=16, scene_block=4)
+    key = lambda df: sorted((r.project, r.scene_id, r.rank, r.segment_id, round(r.combined_score, 9)) for r in df.collect())
+    assert key(got) == key(want)
+    assert key(rt.retrieve_candidates(scene_df, seg_df, k=5, segment_block=16, plain_rows=10)) == key(want)
+    opened = {r.project: r.opened / r.all_pairs for r in report.collect()}
+    assert opened[0] < 0.5 and len(opened) == 2
+    assert rt.open_blocks(scene_df, seg_df.limit(0), "project", 0.7, 5)[0].count() == 0
+
+
+@pytest.mark.parametrize("plain", [rt.PLAIN_ROWS, 0])
+def test_summaries_equal_all_pairs(spark, plain):
+    scene_df, seg_df = clustered(spark, 4, 120)
+    scenes, segs = scene_df.toPandas(), seg_df.toPandas()
+    unit = lambda x: np.array(x) / max(np.linalg.norm(x), 1e-9)
+    for r in rt.score_summary(scene_df, seg_df, plain_rows=plain).collect():
+        scene = scenes[(scenes.project == r.project) & (scenes.scene_id == r.scene_id)].iloc[0]
+        own = segs[segs.project == r.project]
+        score = [0.7 * unit(x) @ unit(scene.vector) + 0.3 * jaccard([w for w in t if w] if t is not None else [], [w for w in scene.keywords if w] if scene.keywords is not None else [])
+                 for x, t in zip(own.vector, own.tags)]
+        assert r.pairs == len(own) and r.mean_score == pytest.approx(np.mean(score), abs=1e-9) and r.top_score == pytest.approx(max(score), abs=1e-9)
+    assert rt.score_summary(scene_df, seg_df, plain_rows=plain).count() == len(scenes)
+    vectors = seg_df.select("project", F.col("seg_pos").alias("vec_id"), "vector")
+    for r in rt.similarity_profile(vectors, plain_rows=plain).collect():
+        own = segs[segs.project == r.project].set_index("seg_pos")
+        same = np.round([unit(x) @ unit(own.vector[r.vec_id]) for x in own.vector], 9)
+        rest = np.where(own.index == r.vec_id, -np.inf, same)
+        assert r.others == len(own) - 1 and r.nearest_similarity == pytest.approx(rest.max(), abs=1e-8)
+        assert rest[list(own.index).index(r.nearest_id)] == pytest.approx(rest.max(), abs=1e-8)
+        assert r.mean_similarity == pytest.approx((same.sum() - same[list(own.index).index(r.vec_id)]) / (len(own) - 1), abs=1e-7)
+
+
 def test_pools_and_gaps(spark, data):
     segs, scenes, seg_df, scene_df = data
     cand = rt.retrieve_candidates(scene_df, seg_df, k=4).cache()
@@ -176,11 +229,21 @@ def test_vector_series(spark):
 
 def test_pca_keeps_the_variance(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(40, 4)) @ np.diag([5, 2, 1, 0.1])
-    out, share = rt.pca(spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>"), components=2)
-    values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
-    np.testing.assert_allclose(share, (values / values.sum())[:2])
-    assert len(out.first().projection) == 2
+    x = rng.normal(size=(40, 4)) @ np.diag([5, 2, 1, 0.1]) + 7
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows + [(99, None, "x")], "i int, vector array<double>, projection string")
+    out, share = rt.pca(frame, components=2)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    np.testing.assert_allclose(share, (values[::-1] / values.sum())[:2])
+    got = {r.i: r.projection for r in out.collect()}
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    np.testing.assert_allclose(np.array([got[i] for i in range(40)]), (x - x.mean(axis=0)) @ axes, atol=1e-9)
+    assert got[99] is None
+    out, share = rt.pca(frame.limit(0))
+    assert out.collect() == [] and share == []
+    out, share = rt.pca(frame.where("i = 3"))
+    assert [r.projection for r in out.collect()] == [[]] and share == []
 
 
 def test_mean_pool_masks_and_keeps_empty_documents(spark):

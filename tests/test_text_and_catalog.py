@@ -3,6 +3,7 @@
 import json
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,30 @@ def test_versions(spark, tmp_path):
     assert [r.version for r in readers.list_versions(spark, files).collect()] == [1, 10]
 
 
+def test_writers_at_once_get_versions_of_their_own(spark, tmp_path):
+    folder = str(tmp_path / "boards")
+    one = spark.createDataFrame([(i,) for i in range(20)], "a int")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda i: writers.save_versioned(one.withColumn("b", F.lit(i)), folder), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    for i, n in enumerate(numbers):
+        rows = readers.read_version(spark, folder, n)
+        assert {r.b for r in rows.collect()} == {i} and rows.count() == 20
+
+
+def test_a_failed_write_leaves_no_version(spark, tmp_path):
+    folder = str(tmp_path / "boards")
+    good = spark.range(3)
+    assert writers.save_versioned(good, folder) == 1
+    bad = spark.range(100).repartition(4).select(F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("id"))
+    with pytest.raises(Exception):
+        writers.save_versioned(bad, folder)
+    assert readers.stored_versions(spark, folder) == [1] and not [f for f in os.listdir(folder) if f.startswith("_staged")]
+    with pytest.raises(FileNotFoundError):
+        readers.read_version(spark, str(tmp_path / "none"))
+    assert writers.save_versioned(good, folder) == 2 and readers.read_version(spark, folder).count() == 3
+
+
 def test_nan_becomes_null_at_any_depth(spark):
     bad = F.lit(math.inf)
     df = spark.range(1).select(F.struct(F.array(F.struct(bad.alias("x"), F.lit(1.5).alias("y"))).alias("l")).alias("s"),
