@@ -26,17 +26,24 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = SHAR
     ``bin_id``. No bin exceeds ``capacity`` or holds two pieces of one source (null is a source, too) or of
     one cluster (null: none). Longer documents are cut: full pieces fill bins of their own, the
     remainder is packed. Every row is placed once, empty documents as a piece of length 0; null
-    sizes count as 0 and repeated rows are separate documents. An empty table gives no bins.
+    sizes count as 0 and repeated rows are separate documents, dealt to different shards. An empty table gives no bins.
     """
     rows = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source",
                                    F.col("cluster").cast("long").alias("cluster"),
                                    F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")))
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(shards)))
+    # equal rows travel as one with a number of times, and go to as many shards as there are of them
+    equal = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("times"))
+    spread = F.least("times", F.lit(shards))
+    dealt = equal.withColumn("spread", spread).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), spread - 1)))
+    dealt = dealt.withColumns({
+        "shard": F.pmod(F.pmod(F.xxhash64("doc_id", "cluster", "size"), F.lit(shards)) + F.col("copy"), F.lit(shards)),
+        "times": F.expr("times div spread") + (F.col("copy") < F.col("times") % F.col("spread")).cast("long")}).drop("copy", "spread")
 
     def pack(table: pa.Table) -> pa.Table:
         base = table["shard"][0].as_py() << 32
-        items = sorted(table.select(["doc_id", "source", "cluster", "size"]).to_pylist(), key=lambda r: (
+        rows = table.select(["doc_id", "source", "cluster", "size", "times"]).to_pylist()
+        items = sorted((r for r in rows for _ in range(r["times"])), key=lambda r: (
             -(r["size"] % capacity), r["doc_id"] is None, r["doc_id"] or 0, r["source"] or "", r["size"]))
         shelf, out = Shelf(capacity, items), []
         for item in items:

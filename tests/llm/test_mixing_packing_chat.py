@@ -120,6 +120,15 @@ def test_bins_keep_every_rule_and_every_word(spark):
     assert pack_documents(frame.limit(0)).count() == 0
 
 
+def test_equal_rows_are_dealt_to_all_shards(spark):
+    rows = [(7, 40, "hot", None)] * 3000 + [(i, 30, "b", None) for i in range(100, 1100)]
+    frame = spark.createDataFrame(rows, "doc_id long, size long, source string, cluster long")
+    got = pack_documents(frame, 100, 100).collect()
+    shards = Counter(r.bin_id >> 32 for r in got)
+    assert len(got) == 4000 and len(shards) == 40 and max(shards.values()) < 250
+    assert Counter((r.bin_id, r.source) for r in got).most_common(1)[0][1] == 1
+
+
 def test_bins_match_plain_best_fit(spark):
     rows = packable(4)
     frame = spark.createDataFrame(rows, "doc_id long, size long, source string, cluster long")
