@@ -1,7 +1,7 @@
 """Documents in blocks, and packed arrays that blocks and shards exchange.
 
-A block is a bounded set of documents, chosen by a hash of the id, so every run makes the same
-blocks. Blocks send packed arrays to shards (ranges of hash values) and get packed answers
+A block is a bounded set of documents, chosen by a hash of the id (and the text, where order among equal ids
+does not matter), so every run makes the same blocks. Blocks send packed arrays to shards (ranges of hash values) and get packed answers
 back. A block sends a value once however often it occurs inside, so what meets in one shard for
 one value grows with the number of blocks, never with the number of copies.
 """
@@ -30,8 +30,8 @@ def block_count(df: DataFrame, text: Column, block_bytes: int = BLOCK_BYTES) ->
     return max(1, -(-int(total or 0) // block_bytes))
 
 
-def in_blocks(df: DataFrame, key: str, blocks: int) -> DataFrame:
-    return df.withColumn(BLOCK, F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int"))
+def in_blocks(df: DataFrame, blocks: int, *keys: str) -> DataFrame:
+    return df.withColumn(BLOCK, F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
 
 
 def mix(values: np.ndarray) -> np.ndarray:

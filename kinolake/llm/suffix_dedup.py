@@ -53,7 +53,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     columns = docs.columns
     out_schema = StructType(docs.schema.fields + added.fields)
     blocks = block_count(docs, F.col(text_col), block_bytes)
-    placed = in_blocks(docs, id_col, blocks)
+    placed = in_blocks(docs, blocks, id_col, text_col)
 
     def prepared(table, inner=False):
         texts = utf8(table[text_col])

@@ -45,7 +45,7 @@ def dedup_windows(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
     blocks = block_count(docs, F.col(text_col), block_bytes)
     # counters of one shard: a power of two for about block_bytes / 6 windows
     bits = min(31, max(8, int(np.ceil(np.log2(COUNTERS_PER_WINDOW * block_bytes / 6)))))
-    placed = in_blocks(docs, id_col, blocks)
+    placed = in_blocks(docs, blocks, id_col)
 
     def hashed(table: pa.Table):
         return _windows(table, window, id_col, text_col)
