@@ -61,42 +61,51 @@ def bucket_edges(nodes: DataFrame, settings=EDITOR) -> DataFrame:
                         "start", "end", "video_file", step_cost("_out_", settings).alias("cost"))
 
 
-def _link(cost: Column) -> Column:
-    return F.struct("segment_id", "bucket_idx", "start", "end", "video_file", cost.alias("edge_cost"))
-
-
 def cheapest_paths(nodes: DataFrame, edges: DataFrame, keep: int) -> DataFrame:
-    """The ``keep`` cheapest full paths of each scene, numbered from 1.
+    """The ``keep`` cheapest full paths of each scene as segment ids in order, numbered from 1 (``path_no``).
 
     Layer by layer, the cheapest partial paths into each node are extended. With layered
     edges a full path among the cheapest has only such prefixes, so none is missed. Equal
-    costs are ordered by segment ids.
+    costs are ordered by segment ids. A partial path is its ids and two sums; scenes that have reached their
+    last bucket take no part in further layers.
     """
-    edges = cut_lineage(edges)
     layers = edges.agg(F.max("rank")).first()[0] or 1
-    # a path is keyed by its current node; finished ones ride along until the last layer
     state = nodes.filter("rank = 1").select(
         *SCENE, "last_rank", F.col("segment_id").alias("from_id"), F.lit(0.0).alias("total_cost"),
-        (F.col("end") - F.col("start")).alias("total_duration"), F.array(_link(F.lit(0.0))).alias("links"))
-    best = Window.partitionBy(*SCENE, "from_id").orderBy("total_cost", "_ids")
-    ids = F.transform("links", lambda x: x["segment_id"])
+        (F.col("end") - F.col("start")).alias("total_duration"), F.array("segment_id").alias("ids"))
+    best = Window.partitionBy(*SCENE, "from_id").orderBy("total_cost", "ids")
+    finished = state.filter("last_rank = 1")
     for rank in range(2, layers + 1):
-        steps = edges.filter(F.col("rank") == rank).drop("last_rank", "from_bucket", "rank")
-        grown = state.join(steps, [*SCENE, "from_id"], "left")
-        grown = grown.filter((F.col("last_rank") < rank) | F.col("segment_id").isNotNull())
-        moved = F.col("segment_id").isNotNull()
+        steps = edges.filter(F.col("rank") == rank).select(
+            *SCENE, "from_id", "segment_id", "cost", (F.col("end") - F.col("start")).alias("_duration"))
+        grown = state.filter(F.col("last_rank") >= rank).join(steps, [*SCENE, "from_id"])
         state = grown.select(
-            *SCENE, "last_rank", F.coalesce("segment_id", "from_id").alias("from_id"),
-            (F.col("total_cost") + F.coalesce("cost", F.lit(0.0))).alias("total_cost"),
-            (F.col("total_duration") + F.coalesce(F.col("end") - F.col("start"), F.lit(0.0))).alias("total_duration"),
-            F.when(moved, F.concat("links", F.array(_link(F.col("cost"))))).otherwise(F.col("links")).alias("links"))
-        state = (state.withColumn("_ids", ids).withColumn("_r", F.row_number().over(best))
-                 .filter(F.col("_r") <= keep).drop("_r", "_ids"))
+            *SCENE, "last_rank", F.col("segment_id").alias("from_id"), (F.col("total_cost") + F.col("cost")).alias("total_cost"),
+            (F.col("total_duration") + F.col("_duration")).alias("total_duration"), F.concat("ids", F.array("segment_id")).alias("ids"))
+        state = state.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= keep).drop("_r")
         if rank % LAYERS_PER_CUT == 0 and rank < layers:
             state = cut_lineage(state)
-    full = Window.partitionBy(*SCENE).orderBy("total_cost", "_ids")
-    done = state.filter(F.size("links") == F.col("last_rank")).drop("from_id", "last_rank").withColumn("_ids", ids)
-    return done.withColumn("path_no", F.row_number().over(full)).filter(F.col("path_no") <= keep).drop("_ids")
+        finished = finished.unionByName(state.filter(F.col("last_rank") == rank))
+    full = Window.partitionBy(*SCENE).orderBy("total_cost", "ids")
+    done = finished.drop("from_id", "last_rank")
+    return done.withColumn("path_no", F.row_number().over(full)).filter(F.col("path_no") <= keep)
+
+
+def with_links(chains: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chains with their links in full (array ``links``) in place of the segment ids."""
+    keys = [*SCENE, "chain_no"]
+    steps = chains.select(*keys, "ids", F.posexplode("ids").alias("_at", "segment_id"))
+    steps = steps.withColumns({"rank": F.col("_at") + 1, "from_id": F.when(F.col("_at") > 0, F.get("ids", F.col("_at") - 1))}).drop("ids")
+    facts = ["segment_id", "bucket_idx", "start", "end", "video_file"]
+    known = (edges.select(*SCENE, "rank", "from_id", *facts, F.col("cost").alias("edge_cost")).unionByName(
+        nodes.filter("rank = 1").select(*SCENE, "rank", F.lit(None).cast(edges.schema["from_id"].dataType).alias("from_id"), *facts,
+                                        F.lit(0.0).alias("edge_cost"))))
+    known = known.withColumn("from_key", F.coalesce("from_id", "segment_id")).drop("from_id")
+    steps = steps.withColumn("from_key", F.coalesce("from_id", "segment_id")).drop("from_id")
+    links = steps.join(known, [*SCENE, "rank", "from_key", "segment_id"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_at", *facts, "edge_cost"))).alias("_l"))
+    full = F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in (*facts, "edge_cost")]))
+    return chains.drop("ids").join(links.select(*keys, full.alias("links")), keys)
 
 
 def accept_chains(paths: DataFrame, targets: DataFrame, k: int = EDITOR.chains_per_scene) -> DataFrame:
@@ -118,8 +127,7 @@ def accept_chains(paths: DataFrame, targets: DataFrame, k: int = EDITOR.chains_p
     rows = rows.withColumn("_n", F.row_number().over(scene.orderBy("path_no"))).filter(F.col("_n") <= k)
     rows = rows.withColumn("duration_delta", F.abs(duration - F.col("ideal")))
     rows = rows.withColumn("chain_no", F.row_number().over(scene.orderBy("duration_delta", "path_no")) - 1)
-    return rows.select(*SCENE, "chain_no", "total_cost", "total_duration", "duration_delta", "links",
-                       F.lit("path").alias("origin"))
+    return rows.select(*SCENE, "chain_no", "total_cost", "total_duration", "duration_delta", "ids")
 
 
 def greedy_chains(assignments: DataFrame, segments: DataFrame, targets: DataFrame, settings=EDITOR) -> DataFrame:
@@ -152,8 +160,10 @@ def find_chains(assignments: DataFrame, segments: DataFrame, targets: DataFrame,
     """Cheapest chains per scene under its duration target, else one greedy chain."""
     k = settings.chains_per_scene
     nodes = cut_lineage(scene_nodes(assignments, segments))
-    paths = cheapest_paths(nodes, bucket_edges(nodes, settings), k * PATHS_PER_CHAIN)
-    accepted = cut_lineage(accept_chains(paths, targets, k))
+    edges = cut_lineage(bucket_edges(nodes, settings))
+    chains = accept_chains(cheapest_paths(nodes, edges, k * PATHS_PER_CHAIN), targets, k)
+    accepted = with_links(cut_lineage(chains), nodes, edges).withColumn("origin", F.lit("path"))
+    accepted = cut_lineage(accepted.select(*SCENE, "chain_no", "total_cost", "total_duration", "duration_delta", "links", "origin"))
     left = assignments.join(accepted.select(*SCENE), [*SCENE], "left_anti")
     return accepted.unionByName(greedy_chains(left, segments, targets, settings))
 
