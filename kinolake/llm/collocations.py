@@ -2,8 +2,8 @@
 
 Every word starts one window: itself and the next words of its piece, side by side as columns and padded at the end.
 Only these windows are counted; Spark's ROLLUP over the columns adds them up to all shorter phrases.
-A window is padded from the first place on where a word, or two or three words in a row, occur too seldom in the
-corpus, which loses no phrase: all parts of a frequent phrase are frequent. Which those are is a bit map of bounded size
+A window is padded from the place on where the run of words up to there occurs too seldom in the corpus, which loses no
+phrase: all parts of a frequent phrase are frequent. Which runs those are is a bit map of bounded size
 over counted hashes; where hashes or bits collide, a window merely stays longer than needed.
 """
 
@@ -54,13 +54,16 @@ class _Words:
         self.word_hash = mix(plain ^ seed)
         self.pair_hash = mix(plain * _PAIR + seed)
 
-    def runs(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For two and for three words: places with so many words ahead in their piece, and hashes of these."""
+    def runs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For two words up to the longest: places with so many words ahead in their piece, and hashes of these."""
         at = np.flatnonzero(self.is_word[:-1] & self.is_word[1:])
-        two = mix(self.pair_hash[self.places[at]] * _LANG + self.word_hash[self.places[at + 1]])
-        longer = np.flatnonzero(np.diff(at) == 1)
-        three = mix(two[longer] * _PAIR + self.word_hash[self.places[at[longer] + 2]])
-        return [(at, two), (at[longer], three)]
+        hashes = mix(self.pair_hash[self.places[at]] * _LANG + self.word_hash[self.places[at + 1]])
+        yield at, hashes
+        for size in range(3, LONGEST + 1):
+            longer = np.flatnonzero(np.diff(at) == 1)
+            at = at[longer]
+            hashes = mix(hashes[longer] * _PAIR + self.word_hash[self.places[at + size - 1]])
+            yield at, hashes
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
@@ -92,7 +95,7 @@ def _cells(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int, shards: int) -> np.ndarray:
-    """A bit map in which the cells of all runs of one to three words with ``min_count`` occurrences are set.
+    """A bit map in which the cells of all runs of one to five words with ``min_count`` occurrences are set.
 
     Tasks add up their counts and send them to the shards as packed arrays.
     """
@@ -110,9 +113,10 @@ def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int, shards: int)
         for words in _slices(batches):
             own = np.bincount(words.places[words.is_word], minlength=len(words.names))
             some = np.flatnonzero(own)
-            held += [(_cells(words.word_hash[some], shards), own[some]), *(
-                _summed(_cells(h, shards), np.ones(len(h), np.int64)) for _, h in words.runs())]
-            size += sum(len(h) for h, _ in held[-3:])
+            for cells, times in [(_cells(words.word_hash[some], shards), own[some]), *(
+                    _counted(_cells(h, shards)) for _, h in words.runs())]:
+                held.append((cells, times))
+                size += len(cells)
             if size > HELD:
                 yield packed(held)
                 held, size = [], 0
@@ -145,12 +149,19 @@ def _frequent_bits(plain: DataFrame, min_count: int, max_bits: int, shards: int)
 
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and the sum of the counts of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, times = keys[order], times[order]
     cut = group_bounds(keys)[:-1] if len(keys) else np.zeros(0, np.int64)
     return keys[cut], np.add.reduceat(times, cut) if len(cut) else times
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    cut = group_bounds(keys)
+    return keys[cut[:-1]], np.diff(cut)
+
+
 def _is_set(bits: np.ndarray, hashes: np.ndarray, shards: int) -> np.ndarray:
     at = mix(_cells(hashes, shards)) & np.uint64(8 * len(bits) - 1)
     return (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
@@ -173,15 +184,11 @@ def count_phrases(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "
             seen = words.places
             depth = (known[seen] & words.is_word).astype(np.int8)
             rare = int(words.is_word.sum() - depth.sum())
-            two, three = (np.zeros(len(seen) + LONGEST, bool) for _ in range(2))
-            for flags, (at, hashes) in zip((two, three), words.runs()):
-                flags[at] = _is_set(bits, hashes, shards)
             run = depth > 0
-            frequent = np.append(run, np.zeros(LONGEST, bool))
-            for k in range(1, LONGEST):
-                run = run & frequent[k:k + len(seen)] & two[k - 1:k - 1 + len(seen)]
-                if k > 1:
-                    run &= three[k - 2:k - 2 + len(seen)]
+            for at, hashes in words.runs():
+                whole = np.zeros(len(seen), bool)
+                whole[at] = _is_set(bits, hashes, shards)
+                run = run & whole
                 depth += run
             names = pa.array([b"" if x == b"\n" else x for x in words.names], pa.binary()).cast(pa.string())
             single = np.bincount(seen[depth == 1], minlength=len(words.names))
