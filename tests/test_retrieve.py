@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinolake.operators import ordering as o
 from kinolake.operators import peaks as pk
 from kinolake.operators import retrieve as rt
 from kinolake.operators import signal as sg

@@ -7,7 +7,6 @@ from datetime import datetime
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from kinolake.streaming import incremental as inc
