@@ -80,3 +80,10 @@ def test_stages_match_brute_force(spark, tmp_path):
         assert sum(p[0] for p in pieces) <= 2048 and len({p[1] for p in pieces}) == len({p[2] for p in pieces}) == len(pieces)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(map(tuple, again.collect())) == Counter(kept[5])
+
+
+def test_empty_tables_give_an_empty_result(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
